@@ -13,8 +13,7 @@ open windows' ids are written to the shared folder before merging, so a lost exe
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +30,6 @@ OPEN = 32
 MAX_GAP = 64
 END = 1
 MERGE = 32  # tasks whose open windows are merged together
-KNOWN = 200_000  # pieces of text whose ids a task remembers
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -40,41 +38,27 @@ PIECES = pa.schema([
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+#: Fixed value: how byte-level vocabularies of this kind split a text before merging.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
-    The vocabulary's splitting rule starts a piece at any single space between two other characters, so the pieces
-    between such spaces are encoded on their own and remembered."""
+class Encoder:
+    """Token ids of texts as little-endian unsigned 32-bit bytes, for a byte-level vocabulary whose ids are its merge
+    ranks. The file is the tokenizers library's; its ids come out the same from the faster merge code of tiktoken."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.doubled = re.compile(r"\s\s")
-        self.single = re.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(printed)]
+        byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if not (t.startswith("<|") and t.endswith("|>"))}
+        self.encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or self.doubled.search(text):
-            words = self.single.split(text)
-        else:
-            words = text.split(" ")
-        first = self.tokenizer.encode(words[0], add_special_tokens=False).ids
-        rest = words[1:]
-        try:
-            tail = b"".join(map(self.known.__getitem__, rest))
-        except KeyError:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            new = list(set(rest) - self.known.keys())
-            own = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch([" " + w for w in new], add_special_tokens=False), strict=True)}
-            self.known.update(own)
-            tail = b"".join(map(self.known.__getitem__, rest))
-        return np.array(first, dtype="<u4").tobytes() + tail
+        return np.array(self.encode(text), dtype="<u4").tobytes()
 
 
 class Rows:

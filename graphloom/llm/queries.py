@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, secret_scan
+from . import licenses, mixing, packing, quality, repeated_words, secret_scan, suffix_repeats
 from .common import documents
 
 
@@ -50,7 +50,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
 
-QUERIES = {"op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
+def op4_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words.dedup(documents(spark, sf_dir)).drop("kept")
+
+
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.dedup(documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES = {"op4_repeated_words": op4_repeated_words, "op10_suffix_repeats": op10_suffix_repeats, "op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
 
 SPACES = r"[\x20\x09-\x0D]+"
 
