@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, repeated_words, secret_scan, suffix_repeats
+from . import licenses, mixing, near_dups, packing, quality, repeated_words, secret_scan, suffix_repeats
 from .common import documents
 
 
@@ -58,7 +58,11 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.dedup(documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {"op4_repeated_words": op4_repeated_words, "op10_suffix_repeats": op10_suffix_repeats, "op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
+def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(documents(spark, sf_dir))
+
+
+QUERIES = {"op5_near_dups": op5_near_dups, "op4_repeated_words": op4_repeated_words, "op10_suffix_repeats": op10_suffix_repeats, "op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
 
 SPACES = r"[\x20\x09-\x0D]+"
 
