@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, text_of
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("blob", pa.binary())])
 BLOCK_DDL = "block long, ids array<long>, lens array<long>, blob binary"
 SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("twice", pa.binary())])
@@ -145,7 +145,7 @@ def on_blocks(blocks: DataFrame, body: Callable[[dict], Iterator[pa.RecordBatch]
 
 
 def bucket_count(blocks: DataFrame) -> int:
-    return max(16, blocks.count() // 3)
+    return max(16, blocks.count() // 4)
 
 
 def distinct(hashes: np.ndarray, owners: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, near_dups, packing, quality, repeated_words, secret_scan, suffix_repeats
+from . import language, licenses, mixing, near_dups, packing, quality, repeated_words, secret_scan, suffix_repeats, topk
 from .common import documents
 
 
@@ -62,7 +62,18 @@ def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.classes(documents(spark, sf_dir))
 
 
-QUERIES = {"op5_near_dups": op5_near_dups, "op4_repeated_words": op4_repeated_words, "op10_suffix_repeats": op10_suffix_repeats, "op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language.train(docs.filter(F.coalesce(~F.col("held_out"), F.lit(False))))
+    return language.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {"op1_topk": op1_topk, "op3_language": op3_language, "op5_near_dups": op5_near_dups, "op4_repeated_words": op4_repeated_words, "op10_suffix_repeats": op10_suffix_repeats, "op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -160,4 +171,13 @@ SELECT doc_id, coalesce(l, '') AS licenses, coalesce(n, 0) AS n_windows, coalesc
 """
 
 
-ORACLES = {"op8_licenses": _op8_sql(), "op2_secret_scan": _op2_sql(), "op6_mixing": OP6_SQL, "op7_quality": OP7_SQL}
+OP1_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op1_topk": OP1_SQL, "op8_licenses": _op8_sql(), "op2_secret_scan": _op2_sql(), "op6_mixing": OP6_SQL, "op7_quality": OP7_SQL}

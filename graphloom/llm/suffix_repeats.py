@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ def meet(table: pa.Table) -> pa.Table:
     every = np.concatenate(names)
     lens = np.concatenate([np.frombuffer(x, np.int32) for x in table["lens"].to_pylist()]).astype(np.int64)
     least = np.concatenate([np.frombuffer(x, np.int64) for x in table["least"].to_pylist()])
-    raw = np.frombuffer(b"".join(table["raw"].to_pylist()), np.uint8)
+    raw = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, table["raw"].to_pylist())), np.uint8)
     distinct_names, first, which = np.unique(every, return_index=True, return_inverse=True)
     low = np.full(len(distinct_names), np.iinfo(np.int64).max)
     np.minimum.at(low, which, least)
@@ -205,11 +206,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         at, name, owner, to = at[order], name[order], owner[order], to[order]
         ends = np.searchsorted(to, np.arange(buckets + 1))
         rows: list[list] = [[], [], [], [], [], []]
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in range(buckets):
             a, e = ends[b], ends[b + 1]
             if a < e:
                 lo, hi = r.lo[at[a:e]], r.hi[at[a:e]]
-                for c, x in zip(rows, (b, row["block"], name[a:e].tobytes(), (hi - lo).astype(np.int32).tobytes(), owner[a:e].tobytes(), b"".join(r.raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True))), strict=True):
+                for c, x in zip(rows, (b, row["block"], name[a:e].tobytes(), (hi - lo).astype(np.int32).tobytes(), owner[a:e].tobytes(), squeeze(b"".join(r.raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)))), strict=True):
                     c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, SNIPPETS.types, strict=True)], schema=SNIPPETS)
 
