@@ -32,9 +32,10 @@ LENGTH = 50
 GRAM = 20
 MOST = LENGTH - GRAM + 1
 DEPTH = LENGTH + MOST - 1
+PARTS = 32  # a bucket's suffix array is built in so many parts, by the minimizer again, one after another
 
-SNIPPETS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("lens", pa.binary()), ("least", pa.binary()), ("raw", pa.binary())])
-SNIPPETS_DDL = "bucket long, block long, names binary, lens binary, least binary, raw binary"
+SNIPPETS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("lens", pa.binary()), ("least", pa.binary()), ("part", pa.binary()), ("raw", pa.binary())])
+SNIPPETS_DDL = "bucket long, block long, names binary, lens binary, least binary, part binary, raw binary"
 REPEATS_DDL = "block long, names binary, starts binary, lens binary, least binary"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -119,6 +120,12 @@ def repeats(raw: bytes, lens: np.ndarray, least: np.ndarray) -> tuple[np.ndarray
     snippet = np.repeat(np.arange(len(lens)), count)
     offset = np.arange(len(snippet)) - np.repeat(np.cumsum(count) - count, count)
     at = base[snippet] + offset
+    once = Rolling(BYTES[text[: len(raw)]]).windows(LENGTH)[at]  # a suffix whose first bytes occur once is in no repeat
+    order = np.argsort(once)
+    same = once[order[1:]] == once[order[:-1]]
+    keep = np.zeros(len(at), bool)
+    keep[order[1:][same]] = keep[order[:-1][same]] = True
+    snippet, offset, at = snippet[keep], offset[keep], at[keep]
     room = lens[snippet] - offset
 
     def key(k: int) -> np.ndarray:
@@ -165,10 +172,14 @@ def meet(table: pa.Table) -> pa.Table:
     low = np.full(len(distinct_names), np.iinfo(np.int64).max)
     np.minimum.at(low, which, least)
     start, size = (np.cumsum(lens) - lens)[first], lens[first]
-    pick = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    s, o, n, m = repeats(raw[pick].tobytes(), size, low)
-    s = np.concatenate([np.arange(len(low)), s])  # a snippet that two documents hold repeats whole
-    o, n, m = np.concatenate([np.zeros(len(low), np.int64), o]), np.concatenate([size, n]), np.concatenate([low, m])
+    parts = np.concatenate([np.frombuffer(x, np.uint8) for x in table["part"].to_pylist()])[first]
+    found = [(np.arange(len(low)), np.zeros(len(low), np.int64), size, low)]  # a snippet that two documents hold repeats whole
+    for p in range(PARTS):
+        own = np.flatnonzero(parts == p)
+        pick = np.repeat(start[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
+        s, o, n, m = repeats(raw[pick].tobytes(), size[own], low[own])
+        found.append((own[s], o, n, m))
+    s, o, n, m = (np.concatenate(c) for c in zip(*found, strict=True))
     by = np.argsort(s, kind="stable")
     s, o, n, m = s[by], o[by], n[by], m[by]
     bounds = np.searchsorted(s, np.arange(len(low) + 1))
@@ -205,13 +216,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         order = np.argsort(to, kind="stable")
         at, name, owner, to = at[order], name[order], owner[order], to[order]
         ends = np.searchsorted(to, np.arange(buckets + 1))
-        rows: list[list] = [[], [], [], [], [], []]
+        rows: list[list] = [[] for _ in SNIPPETS]
+        part = ((r.key[at] >> np.uint64(8)) % np.uint64(PARTS)).astype(np.uint8)
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in range(buckets):
             a, e = ends[b], ends[b + 1]
             if a < e:
                 lo, hi = r.lo[at[a:e]], r.hi[at[a:e]]
-                for c, x in zip(rows, (b, row["block"], name[a:e].tobytes(), (hi - lo).astype(np.int32).tobytes(), owner[a:e].tobytes(), squeeze(b"".join(r.raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)))), strict=True):
+                for c, x in zip(rows, (b, row["block"], name[a:e].tobytes(), (hi - lo).astype(np.int32).tobytes(), owner[a:e].tobytes(), part[a:e].tobytes(), squeeze(b"".join(r.raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)))), strict=True):
                     c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, SNIPPETS.types, strict=True)], schema=SNIPPETS)
 
