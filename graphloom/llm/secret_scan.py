@@ -165,9 +165,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     the shared folder while the bars are set."""
     rest = [c for c in docs.columns if c.lower() != text.lower()]
     carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(text).alias("text"))
-    found = cut(scanned(carried, "text", "found").drop("text"))
-    bars = thresholds(found, "found")
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], all_spans("found", bars).alias("spans"))
+    own = free_name(docs, "found")
+    found = cut(scanned(carried, "text", own).drop("text"))
+    bars = thresholds(found, own)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], all_spans(own, bars).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
