@@ -33,6 +33,7 @@ GRAM = 20
 MOST = LENGTH - GRAM + 1
 DEPTH = LENGTH + MOST - 1
 PARTS = 32  # a bucket's suffix array is built in so many parts, by the minimizer again, one after another
+SLICE = 1 << 18
 
 SNIPPETS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("lens", pa.binary()), ("least", pa.binary()), ("part", pa.binary()), ("raw", pa.binary())])
 SNIPPETS_DDL = "bucket long, block long, names binary, lens binary, least binary, part binary, raw binary"
@@ -111,9 +112,10 @@ def intervals(lcp: list[int], left: list[int], least: list[int], length: int) ->
         carry = top
 
 
-def repeats(raw: bytes, lens: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(raw: bytes, lens: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Maximal repeats between distinct snippets: per occurrence the snippet, the start in it, the length, the least
-    document of all occurrences."""
+    document of all occurrences. Nested repeats list a suffix many times, so they come in slices of whole repeats, a
+    slice ending once it has SLICE occurrences."""
     text = np.frombuffer(raw + bytes(DEPTH + 8), np.uint8)
     base = np.cumsum(lens) - lens
     count = np.maximum(lens - LENGTH + 1, 0)
@@ -152,13 +154,27 @@ def repeats(raw: bytes, lens: np.ndarray, least: np.ndarray) -> tuple[np.ndarray
     found: list[tuple[int, int, int, int]] = []
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
         found += [(p, a + i, a + j, m) for p, i, j, m in intervals(lcp[a:b].tolist(), left[a : b + 1].tolist(), mins[a : b + 1].tolist(), LENGTH)]
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    p, i, j, m = np.array(found, np.int64).T
-    n = j - i + 1
-    which = np.repeat(i, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return snippet[which], offset[which], np.repeat(p, n), np.repeat(m, n)
+    every = np.array(found, np.int64).reshape(-1, 4).T
+    size = every[2] - every[1] + 1
+    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // SLICE)) + 1
+    for p, i, j, m in (every[:, a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)], strict=True)):
+        n = j - i + 1
+        which = np.repeat(i, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield snippet[which], offset[which], np.repeat(p, n), np.repeat(m, n)
+
+
+def telling(s: np.ndarray, o: np.ndarray, n: np.ndarray, m: np.ndarray, own: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the occurrences of repeats() those that can remove more bytes than others do: not those whose least document
+    is that of their whole snippet, which goes back anyway, and of those with the same snippet, start and least document
+    the longest."""
+    s = own[s]
+    keep = m < low[s]
+    s, o, n, m = s[keep], o[keep], n[keep], m[keep]
+    order = np.lexsort((-n, m, o, s))
+    s, o, n, m = s[order], o[order], n[order], m[order]
+    head = np.ones(len(s), bool)
+    head[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1]) | (m[1:] != m[:-1])
+    return s[head], o[head], n[head], m[head]
 
 
 def meet(table: pa.Table) -> pa.Table:
@@ -177,8 +193,7 @@ def meet(table: pa.Table) -> pa.Table:
     for p in range(PARTS):
         own = np.flatnonzero(parts == p)
         pick = np.repeat(start[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-        s, o, n, m = repeats(raw[pick].tobytes(), size[own], low[own])
-        found.append((own[s], o, n, m))
+        found += [telling(*x, own, low) for x in repeats(raw[pick].tobytes(), size[own], low[own])]
     s, o, n, m = (np.concatenate(c) for c in zip(*found, strict=True))
     by = np.argsort(s, kind="stable")
     s, o, n, m = s[by], o[by], n[by], m[by]
