@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import language, licenses, mixing, near_dups, packing, quality, secret_scan, topk
-from graphloom.llm.queries import vocabulary
+from graphloom.llm.queries import OP7_SQL, ORACLES, vocabulary
 
 ROWS = [
     (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu", "en", "a", 9),
@@ -127,6 +127,60 @@ def test_topk(spark):
         assert [(r.vec_id, -r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == [(j, s) for s, j in want]
 
 
+def same_classes(rows):
+    """The least id of each row's class, from every pair's shingle sets."""
+    parent, sets = {r[0]: r[0] for r in rows}, {r[0]: set(near_dups.shingles((r[1] or "").encode()).tolist()) for r in rows}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if (not sets[a] and not sets[b]) or (both and both / len(sets[a] | sets[b]) >= 0.8):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {i: find(i) for i in parent}
+
+
+def redacted(text, spans):
+    """The text with the mark for each run of spans that overlap."""
+    out, at = "", 0
+    for s, e in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
+        if s >= at:
+            out += text[at:s] + "[SECRET]"
+        at = max(at, e)
+    return out + text[at:]
+
+
 def test_pipeline(spark):
+    """The pipeline against SQL for its quality, secret and mixing stages, all pairs for near duplicates, and the
+    tokens of every copy for packing."""
+    import duckdb
+    import pandas as pd
+
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scans", "source_mixing", "pack"]
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    folder = "/root/testdata/sf0.001"
+    docs = duckdb.sql(f"SELECT * FROM '{folder}/documents.parquet'").df()
+
+    def sql(query, table):
+        with duckdb.connect() as db:
+            db.register("documents", table)
+            return db.sql(query).df()
+
+    kept = sql(OP7_SQL, docs)
+    docs = docs[docs.doc_id.isin(kept[kept.kept].doc_id)]
+    least = same_classes(list(zip(docs.doc_id, docs.text, strict=True)))
+    docs = docs[[least[i] == i for i in docs.doc_id]]
+    spans = dict(sql(ORACLES["op2_secret_scan"], docs)[["doc_id", "spans"]].itertuples(index=False))
+    docs = docs.assign(text=[t if pd.isna(t) or not spans[i] else redacted(t, spans[i]) for i, t in zip(docs.doc_id, docs.text, strict=True)])
+    mixed = sql(ORACLES["op6_mixing"], docs)
+    got = corpus_pipeline.run(spark, folder).toPandas()
+    assert set(got.doc_id) == set(mixed.doc_id) and got.length.sum() == got.drop_duplicates("doc_id").merge(mixed.groupby("doc_id").size().rename("n").reset_index()).eval("doc_tokens * n").sum()
+    encoder = packing.Encoder(vocabulary())
+    for doc_id, copies in mixed.groupby("doc_id"):
+        ids = encoder.ids(copies.text.iloc[0] or "") + np.array([1], "<u4").tobytes()
+        cover = np.zeros(len(ids) // 4, int)
+        for r in got[got.doc_id == doc_id].itertuples():
+            assert r.doc_tokens == len(cover) and zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+            cover[r.start : r.start + r.length] += 1
+        assert (cover == len(copies)).all()
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= packing.LENGTH
