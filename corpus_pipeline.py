@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scans", secret_scans), ("source_mixing", source_mixing), ("pack", pack)]
 
-#: Tokenizing, and the darts, have no SQL form. A plain version of the whole pipeline to test against is still missing.
+#: Tokenizing, and the darts, have no SQL form; a test holds the rows against a plain version of all five stages.
 ORACLE_SQL = None
 
 
