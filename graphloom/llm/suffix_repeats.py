@@ -6,8 +6,9 @@ that only one document holds are sifted out; then each block sends, for each run
 snippet that these starts span, once per distinct snippet, with its least document. A bucket sorts the suffixes of its
 distinct snippets (DEPTH bytes deep), computes the common prefixes of neighbours and scans them with a stack: each
 interval of the tree with a prefix of `length` or more whose left extensions differ (or are unknown, at the edge of a
-snippet or every MOST starts) is a maximal repeat with all its occurrences and its least document. These come back to
-the blocks, where every document above the least one loses the bytes.
+snippet or every MOST starts) is a maximal repeat with all its occurrences and its least document. Those that can
+remove more than their snippet as a whole does come back to the blocks with it, where every document above the least one
+loses the bytes.
 
 Defined cases: null and empty texts keep their row with nothing removed; a null id is neither smaller nor larger than
 another, so such rows take no part; rows with equal ids remove nothing from each other; an empty table gives an empty
