@@ -1,11 +1,10 @@
 """Operator 5, MinHash near-dedup with DartMinHash signatures.
 
-A document is the weighted set of its shingles of five words (all its words, if it has fewer), the weight being the
-damped number of times a shingle occurs (1 + log2). DartMinHash throws darts at the region of each unit of weight of an
-element: ranks are cut into levels by powers of four, in each region and level a hashed Poisson number of darts falls
+A document is the set of its shingles of five words (all its words, if it has fewer); how often a shingle occurs does not
+count, neither for candidates nor for links. DartMinHash throws darts at the region of each element (of weight 1):
+ranks are cut into levels by powers of four, in each region and level a hashed Poisson number of darts falls
 with hashed ranks and coordinates, and each coordinate of the signature keeps its dart of least rank. Darts depend on
-the element, unit and level alone, so two sets agree in a coordinate with the probability of their weighted Jaccard
-similarity. Levels are thrown from the lowest that can matter for the weight (fewer than 0.001 darts lie below it)
+the element and level alone, so two sets agree in a coordinate with the probability of their Jaccard similarity. Levels are thrown from the lowest that can matter for the weight (fewer than 0.001 darts lie below it)
 until every coordinate has its dart.
 
 Signatures are cut into BANDS bands of ROWS coordinates. The first document of a band's bucket (the least id) is its
@@ -94,12 +93,9 @@ def dart_signatures(units: np.ndarray, owner: np.ndarray, n: int, size: int) ->
     return name.reshape(n, size)
 
 
-def weighted_units(h: np.ndarray) -> np.ndarray:
-    """The unit regions of a text's shingles: 1 + log2(count) units for each distinct one."""
-    element, count = np.unique(h, return_counts=True)
-    weight = 1 + np.floor(np.log2(np.maximum(count, 1))).astype(np.int64)
-    turn = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-    return mixed(np.repeat(element, weight) + np.uint64(0x9E3779B97F4A7C15) * turn.astype(np.uint64))
+def set_units(h: np.ndarray) -> np.ndarray:
+    """The unit regions of a text's shingles, one for each distinct one: similarities() judges the same set."""
+    return mixed(np.unique(h))
 
 
 def signer(bands: int, rows: int):
@@ -120,7 +116,7 @@ def signer(bands: int, rows: int):
             for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(i)
                 hs.append(h)
-                units.append(weighted_units(shingles(t)))
+                units.append(set_units(shingles(t)))
                 size += len(units[-1])
                 if size > 150_000:
                     yield flush(ids, hs, units)

@@ -184,3 +184,11 @@ def test_pipeline(spark):
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert (g.offset.to_numpy() == np.cumsum(g.length) - g.length).all() and g.length.sum() <= packing.LENGTH
+
+
+def test_near_dups_repeated_passages(spark):
+    """A text and itself written many times have nearly the same shingles: similarity 0.98 or more."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(300)) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join([t] * (2, 4, 16)[i % 3])) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
