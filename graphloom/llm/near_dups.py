@@ -10,7 +10,10 @@ until every coordinate has its dart.
 Signatures are cut into BANDS bands of ROWS coordinates. The first document of a band's bucket (the least id) is its
 centre; it is compared with each other member, exactly, on the shingle sets, and pairs of SIMILARITY or more are links.
 Members of a bucket that stay in another class than its centre are then compared with a further centre, for ROUNDS
-rounds, with the buckets reduced to those that still hold several classes. No pairs within a bucket are formed otherwise.
+rounds in all, the first centre taken out and the buckets reduced to those that still hold several classes. In what
+is left then, all members of different classes are compared, so no two documents that share a bucket stay untried: pair
+by pair in buckets of up to PAIRED members; larger buckets are sorted by class and cut into blocks of BLOCK shingles, and
+two blocks at a time are multiplied as 0-1 matrices, unless both hold one and the same class alone.
 Classes are the connected components of the links, found by least-label steps in Spark. Equal texts are one
 representative throughout.
 
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BYTES, Rolling, mixed
@@ -34,6 +37,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 ROUNDS = 2
+PAIRED = 32
+BLOCK = 200_000
+LEAST = 800  # shingles that a document counts as at least: a block holds 250 documents at most
+SLICE = 4096  # columns of a matrix at a time
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -145,6 +152,50 @@ def similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
+def block_links(similarity: float):
+    """An applyInArrow function: the documents of two blocks (side 0 and 1) or of one (side 0 alone) with label and set
+    to the pairs (a, b, similarity) of different labels and enough similarity."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+
+    def link(table: pa.Table) -> pa.Table:
+        side, rep, label = (np.array(table[c]) for c in ("side", "rep", "label"))
+        sets = [np.frombuffer(x, np.uint32) for x in table["s"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        _, slot, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        twice = count > 1  # what one document has alone is in no intersection
+        owner = np.repeat(np.arange(len(sets)), size)[twice[slot]]
+        slot = (np.cumsum(twice) - 1)[slot[twice[slot]]]
+        order = np.argsort(slot, kind="stable")
+        owner, slot = owner[order], slot[order]
+        both = np.zeros((len(left), len(right)))
+        for first in range(0, int(twice.sum()), SLICE):
+            own = slice(*np.searchsorted(slot, [first, first + SLICE]))
+            m = np.zeros((len(sets), SLICE), np.float32)
+            m[owner[own], slot[own] - first] = 1
+            both += m[left] @ m[right].T
+        found = both / np.maximum(size[left][:, None] + size[right] - both, 1)
+        x, y = np.nonzero((found >= similarity) & (label[left][:, None] != label[right]))
+        a, b = rep[left[x]], rep[right[y]]
+        return pa.Table.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[x, y])], schema=schema)
+
+    return link
+
+
+def compared_blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b, similarity) between the members (band, key, rep, label) of different labels of each bucket."""
+    sized = large.join(sets.select(F.col("doc_id").alias("rep"), (F.length("s") / 4).alias("n")), "rep")
+    so_far = Window.partitionBy("band", "key").orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut(sized.select("band", "key", "rep", "label", F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(so_far) / BLOCK).alias("block")))
+    blocks = placed.groupBy("band", "key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left, right = blocks.select("band", "key", F.col("block").alias("i"), "lo"), blocks.select("band", "key", F.col("block").alias("j"), "hi")
+    two = cut(left.join(right, ["band", "key"]).filter("i <= j AND lo <> hi").select("band", "key", "i", "j"))
+    put = lambda side, at: placed.join(two.filter("i < j OR " + str(side == 0)), ["band", "key"]).filter(F.col("block") == F.col(at)).select("band", "key", "i", "j", F.lit(side).alias("side"), "rep", "label")
+    rows = put(0, "i").union(put(1, "j")).join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep")
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(block_links(similarity), "a long, b long, similarity double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node and label, the least node of its component."""
     edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -159,7 +210,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, broadcast_rows: int = 200_000) -> DataFrame:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, broadcast_rows: int = 200_000, paired: int = PAIRED) -> DataFrame:
     """One row per id: doc_id and class_id, the least id of its class.
 
     Texts are read to sign them, and the texts of documents that meet in a bucket again to compare them. The ids of the
@@ -170,27 +221,55 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     reps = cut(ids.groupBy("h").agg(F.min("doc_id").alias("rep")))
     own = signed.join(reps, (signed["h"] == reps["h"]) & (signed["doc_id"] == reps["rep"])).select("rep", "bands")
     spread = own.select("rep", F.posexplode("bands").alias("band", "key")).dropDuplicates(["rep", "band"])
-    shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1").drop("n")
     members = stored(spread.join(shared, ["band", "key"]))
     labels, links = None, None
+
+    def labelled() -> DataFrame:
+        """The members with their classes so far; after the first round without each bucket's first, compared with all."""
+        if labels is None:
+            return members.withColumn("label", F.col("rep"))
+        return members.filter("rep <> first").join(labels, members["rep"] == labels["node"], "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        few = wanted.count() <= broadcast_rows
+        texts = plain.withColumn("h", F.md5("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+        texts = texts.join(F.broadcast(wanted.join(reps, wanted["doc_id"] == reps["rep"]).select("doc_id", "h")) if few else reps.select(F.col("rep").alias("doc_id"), "h"), ["doc_id", "h"], "left_semi")
+        return stored(texts.select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, s binary")).dropDuplicates(["doc_id"])
+
+    def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+        found = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(similarities, "a long, b long, similarity double")
+        return found.filter(F.col("similarity") >= similarity)
+
     for turn in range(rounds):
-        now = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels, members["rep"] == labels["node"], "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
+        now = labelled()
         order = F.struct(F.col("rep").alias("o"), "rep", "label") if labels is None else F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "label")
         centres = now.groupBy("band", "key").agg(F.min(order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         pairs = now.join(centres, ["band", "key"]).filter("label <> c.label").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
         pairs = cut(pairs.distinct())
         if pairs.isEmpty():
             break
-        wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        few = wanted.count() <= broadcast_rows
-        texts = plain.withColumn("h", F.md5("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-        texts = texts.join(F.broadcast(wanted.join(reps, wanted["doc_id"] == reps["rep"]).select("doc_id", "h")) if few else reps.select(F.col("rep").alias("doc_id"), "h"), ["doc_id", "h"], "left_semi")
-        sets = stored(texts.select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, s binary")).dropDuplicates(["doc_id"])
-        left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-        scored = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(similarities, "a long, b long, similarity double")
-        found = cut(scored.filter(F.col("similarity") >= similarity))
+        found = cut(scored(pairs, sets_of(cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))))
         links = found if links is None else links.union(found)
         labels = components(links)
+    else:
+        now = labelled()
+        mixed_ones = now.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band", "key", "n")
+        left = cut(now.join(mixed_ones, ["band", "key"]))
+        if not left.isEmpty():
+            sets = sets_of(cut(left.select(F.col("rep").alias("doc_id")).distinct()))
+            small = left.filter(F.col("n") <= paired).select("band", "key", "rep", "label")
+            other = small.select("band", "key", F.col("rep").alias("b"), F.col("label").alias("other"))
+            pairs = cut(small.join(other, ["band", "key"]).filter("rep < b AND label <> other").select(F.col("rep").alias("a"), "b").distinct())
+            found = [cut(scored(pairs, sets))]
+            large = left.filter(F.col("n") > paired).select("band", "key", "rep", "label")
+            if not large.isEmpty():
+                found.append(cut(compared_blocks(large, sets, similarity)))
+            if any(not x.isEmpty() for x in found):
+                for x in found:
+                    links = x if links is None else links.union(x)
+                labels = components(links)
     out = ids.join(reps, "h")
     if labels is None:
         return out.select("doc_id", F.col("rep").alias("class_id"))

@@ -192,3 +192,23 @@ def test_near_dups_repeated_passages(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join([t] * (2, 4, 16)[i % 3])) for i, t in enumerate(texts)]
     got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i % 100 for i, _ in rows}
+
+
+@pytest.mark.parametrize("paired", [4, 1000])
+def test_near_dups_family(spark, paired, monkeypatch):
+    """Pairs a little above 0.8 among many documents of one template, below 0.8 to each other, by blocks and by pairs."""
+    monkeypatch.setattr(near_dups, "BLOCK", 40 * near_dups.LEAST)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(400)]
+        for k in rng.choice(80, 7, replace=False):
+            words[5 * k + 2] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            for k in rng.choice(80, 8, replace=False):
+                words[5 * k + 2] = f"new{i}x{k}"
+            rows.append((1000 + i, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string"), paired=paired).collect()}
+    want = same_classes(rows)
+    assert want == {i: i % 1000 for i, _ in rows} and got == want
