@@ -3,9 +3,12 @@
 Words are lower-case runs of letters and digits. A template is the set of its shingles of five words (of all its words,
 if it has fewer). Only shingles of some template can add to a containment, so windows are built from these alone:
 windows of 2 * span words start every span words, span being the longest template's length, so any passage as long as
-a template lies whole in some window. Each window's MinHash has BANDS rows of one hash each; a window and a template
-with Jaccard similarity j meet in some band with probability 1 - (1 - j) ** BANDS, over 0.998 for j = 0.25 (four
-templates of one size in the same window). Exact containment of the template's shingles in the window then decides.
+a template lies whole in some window. Templates are classed by size (powers of two of their numbers of shingles), and a
+window has a MinHash for each class, of the class's shingles alone, in bands of one hash each. A class's number of bands
+is set from its least template against the fullest window (all of the class's shingles, as far as a window has room):
+with Jaccard similarity j they meet in some band with probability 1 - (1 - j) ** bands, which is 1 - MISS at least.
+Hashes are fixed, so tests go through all pairs and triples of templates in one window. Exact containment of the
+template's shingles in the window then decides.
 
 Defined cases: null and empty texts match nothing and keep their row; each row is scanned on its own, whole; ties
 between templates are all reported; an empty table gives an empty result; text is replaced by the results and other
@@ -14,6 +17,7 @@ columns are carried.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, let, text_of
 
 SHINGLE = 5
-BANDS = 24
+MISS = 1e-6
 MIN_CONTAINMENT = 0.8
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
@@ -65,13 +69,26 @@ def shingle_hits(words: Column, templates: dict[str, str]) -> Column:
     return F.concat(*[of_size(k) for k in sorted({len(s) for s in shingles})])
 
 
-def minhash(shingles: Column) -> Column:
-    """BANDS strings, each the band's number and the least hash of the shingles under the band's seed."""
+def size_classes(templates: dict[str, str], least: float = MIN_CONTAINMENT) -> list[tuple[int, int, list[str]]]:
+    """Class, its number of bands and its templates' names."""
+    sets = {name: {tuple(g) for g in template_shingles(t)} for name, t in templates.items()}
+    room = 2 * max(len(template_words(t)) for t in templates.values())
+    classes: dict[int, list[str]] = {}
+    for name, g in sets.items():
+        classes.setdefault(len(g).bit_length(), []).append(name)
+    out = []
+    for c, names in sorted(classes.items()):
+        every = set().union(*[sets[n] for n in names])
+        fullest = sum(min(room, sum(len(g) == k for g in every)) for k in {len(g) for g in every})  # a shingle of each size starts at a word
+        worst = min(1.0, max(1, math.ceil(least * min(len(sets[n]) for n in names) - 1e-9)) / max(fullest, 1))
+        out.append((c, 1 if worst == 1 else math.ceil(math.log(MISS) / math.log1p(-worst)), names))
+    return out
 
-    def least(b: int) -> Column:
-        return F.concat_ws(":", F.lit(b), F.array_min(F.transform(shingles, lambda g: F.xxhash64(F.lit(b), g))))
 
-    return F.array(*[least(b) for b in range(BANDS)])
+def minhash(shingles: Column, bands: Column) -> Column:
+    """Strings, each a band's number and the least hash of the shingles under the band's seed."""
+    least = lambda b: F.array_min(F.transform(shingles, lambda g: F.xxhash64(b, g)))
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.concat_ws(":", b, least(b)))
 
 
 def matches(docs: DataFrame, row: str, text: str = "text", templates: dict[str, str] = TEMPLATES, least: float = MIN_CONTAINMENT) -> DataFrame:
@@ -82,11 +99,12 @@ def matches(docs: DataFrame, row: str, text: str = "text", templates: dict[str,
     hits = docs.select(F.col(row).alias("row"), let(words, lambda w: shingle_hits(w, templates)).alias("h"))
     each = hits.select("row", F.explode("h").alias("h")).select("row", F.col("h.g").alias("g"), F.floor(F.col("h.p") / span).cast("long").alias("j"))
     placed = each.select("row", "g", F.explode(F.array(F.col("j"), F.col("j") - 1)).alias("window"))
-    windows = placed.groupBy("row", "window").agg(F.collect_set("g").alias("g"))  # at most 4 * span shingles
-    table = [(name, [" ".join(s) for s in template_shingles(t)]) for name, t in templates.items()]
-    known = spark.createDataFrame(table, "license string, tg array<string>")
-    bands = known.select("license", "tg", F.explode(minhash(F.col("tg"))).alias("band"))  # as large as the templates
-    met = windows.select("row", "window", "g", F.explode(minhash(F.col("g"))).alias("band")).join(F.broadcast(bands), "band").dropDuplicates(["row", "window", "license"])
+    table = [(c, n, name, [" ".join(s) for s in template_shingles(templates[name])]) for c, n, names in size_classes(templates, least) for name in names]
+    known = spark.createDataFrame(table, "class int, bands int, license string, tg array<string>")
+    classed = known.select("class", "bands", F.explode("tg").alias("g")).distinct()  # as large as the templates
+    windows = placed.join(F.broadcast(classed), "g").groupBy("row", "window", "class", "bands").agg(F.collect_set("g").alias("g"))  # at most 4 * span shingles
+    bands = known.select("class", "license", "tg", F.explode(minhash(F.col("tg"), F.col("bands"))).alias("band"))  # as large as the templates
+    met = windows.select("row", "window", "class", "g", F.explode(minhash(F.col("g"), F.col("bands"))).alias("band")).join(F.broadcast(bands), ["class", "band"]).dropDuplicates(["row", "window", "license"])
     share = F.size(F.array_intersect("tg", "g")) / F.size("tg")
     return met.select("row", "window", "license", share.alias("containment")).filter(F.col("containment") >= least)
 

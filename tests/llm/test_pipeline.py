@@ -212,3 +212,15 @@ def test_near_dups_family(spark, paired, monkeypatch):
     got = {r.doc_id: r.class_id for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string"), paired=paired).collect()}
     want = same_classes(rows)
     assert want == {i: i % 1000 for i, _ in rows} and got == want
+
+
+def test_licenses_together(spark):
+    """All single templates, pairs and triples of them in one window, in both orders, against the SQL."""
+    import duckdb
+
+    texts = [" ".join(x) for n in (1, 2, 3) for c in combinations(licenses.TEMPLATES.values(), n) for x in (c, c[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with duckdb.connect() as db:
+        db.register("documents", docs.toPandas())
+        want = {r[0]: r[1:] for r in db.execute(ORACLES["op8_licenses"]).fetchall()}
+    assert {r.doc_id: (",".join(r.licenses), r.n_windows, pytest.approx(r.containment)) for r in licenses.scan(docs).collect()} == want
