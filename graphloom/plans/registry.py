@@ -222,6 +222,30 @@ def _(spark, d):
     return rows.select(F.explode(nodes).alias("n")).select("n.*")
 
 
+def payloads(spark, d) -> DataFrame:
+    """Extraction payloads as a model gives them (M8), made from the star schema: for each id, every entity of it as a node
+    and its outgoing edges as relationships."""
+    e = ents(spark, d).select("id", F.struct("id", "entity_type", "entity_role").alias("node"), F.lit(None).cast("struct<source:string,target:string,relationship_type:string>").alias("rel"))
+    r = star.edges(spark, d).select(F.col("source").alias("id"), F.lit(None).cast("struct<id:string,entity_type:string,entity_role:string>").alias("node"), F.struct("source", "target", F.col("rel_type").alias("relationship_type")).alias("rel"))
+    return e.unionByName(r).groupBy("id").agg(F.to_json(F.struct(F.collect_list("node").alias("nodes"), F.collect_list("rel").alias("relationships"))).alias("payload")).select("payload")
+
+
+def parsed(rows: DataFrame, field: str, names: tuple[str, ...]) -> DataFrame:
+    """The structs in one array of the payloads; a payload without it gives none."""
+    kind = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
+    return rows.select(F.explode(F.from_json("payload", f"{field} {kind}")[field]).alias("x")).select("x.*")
+
+
+@query("extraction_parse_nodes", f"{GRAPH} SELECT id, entity_type, entity_role FROM entities")
+def _(spark, d):
+    return parsed(payloads(spark, d), "nodes", ("id", "entity_type", "entity_role"))
+
+
+@query("extraction_parse_relationships", f"{GRAPH} SELECT source, target, rel_type AS relationship_type FROM edges")
+def _(spark, d):
+    return parsed(payloads(spark, d), "relationships", ("source", "target", "relationship_type"))
+
+
 def _snapshot(spark, d) -> str:
     import tempfile
     import uuid
