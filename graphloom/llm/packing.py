@@ -7,13 +7,14 @@ windows that stay open at the end of the tasks are merged, some tasks' worth at
 windows exactly and the last window of a merge is cut into powers of two, so merging leaves no padding.
 
 Defined cases: null text counts as empty (one piece, the end id); null or repeated ids are packed row by row; an empty
-table gives an empty result; texts are whole; of further columns none is carried. The finished windows' pieces and the
+table gives an empty result; texts are whole; the vocabulary's added tokens count as such inside texts; of further columns none is carried. The finished windows' pieces and the
 open windows' ids are written to the shared folder before merging, so a lost executor cannot change what was packed.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,21 +45,33 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, for a byte-level vocabulary whose ids are its merge
-    ranks. The file is the tokenizers library's; its ids come out the same from the faster merge code of tiktoken."""
+    ranks. The file is the tokenizers library's; its ids come out the same from the faster merge code of tiktoken.
 
-    def __init__(self, path: str):
+    added: whether the file's added tokens are recognised inside texts, as that library's encode() does unless its
+    encode_special_tokens is set; without, they are plain characters."""
+
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            told = json.load(f)
+        vocab, tokens = told["model"]["vocab"], told.get("added_tokens") or []
+        if added and any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError(f"added tokens of {path} with single_word, lstrip or rstrip are not supported")
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(printed)]
         byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(hidden)}
         ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if not (t.startswith("<|") and t.endswith("|>"))}
+        self.marks = {t["content"]: t["id"] for t in tokens} if added else {}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")").split
         self.encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype="<u4").tobytes()
+        if not any(m in text for m in self.marks):
+            return np.array(self.encode(text), dtype="<u4").tobytes()
+        parts = self.split(text)  # text and mark in turn
+        ids = [x for i, part in enumerate(parts) for x in ([self.marks[part]] if i % 2 else self.encode(part))]
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 class Rows:
@@ -86,7 +99,7 @@ def packer(path: str, length: int, space: int, max_gap: int, end: int):
     and has the negative sequence -1 - its task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, task = Encoder(path), Rows(), TaskContext.get().partitionId()
+        encoder, out, task = Encoder(path, added=True), Rows(), TaskContext.get().partitionId()
         stop = np.array([end], dtype="<u4").tobytes()
         open_windows: list[tuple[int, list]] = []
         n = 0

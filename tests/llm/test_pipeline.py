@@ -214,6 +214,19 @@ def test_near_dups_family(spark, paired, monkeypatch):
     assert want == {i: i % 1000 for i, _ in rows} and got == want
 
 
+def test_added_tokens(spark):
+    """The library's default call, also where a text holds an added token."""
+    from tokenizers import Tokenizer
+
+    t, encoder = Tokenizer.from_file(vocabulary()), packing.Encoder(vocabulary(), added=True)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b <|endoftext", "it's  plain \n\n", ""]
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    assert want[0] == [87, 220, 50256, 331] and all(np.frombuffer(encoder.ids(x), "<u4").tolist() == want[i] for i, x in enumerate(texts))
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary()).collect():
+        ids = np.array([*want[r.doc_id], 1], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_licenses_together(spark):
     """All single templates, pairs and triples of them in one window, in both orders, against the SQL."""
     import duckdb
