@@ -51,11 +51,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words.dedup(documents(spark, sf_dir)).drop("kept")
+    return repeated_words.dedup(documents(spark, sf_dir), keep=False)
 
 
 def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_repeats.dedup(documents(spark, sf_dir)).drop("kept")
+    return suffix_repeats.dedup(documents(spark, sf_dir), keep=False)
 
 
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,18 @@
 """Operator 10, suffix-array dedup: maximal repeats from the common-prefix interval tree of an enhanced suffix array.
 
-Equal strings of `length` bytes have the same minimizer (the least hash of their GRAM-byte parts), so suffixes are
-dealt to buckets by the minimizer of their first `length` bytes and all occurrences of a repeat meet. First, minimizers
-that only one document holds are sifted out; then each block sends, for each run of starts under a shared minimizer, the
-snippet that these starts span, once per distinct snippet, with its least document. A bucket sorts the suffixes of its
-distinct snippets (DEPTH bytes deep), computes the common prefixes of neighbours and scans them with a stack: each
-interval of the tree with a prefix of `length` or more whose left extensions differ (or are unknown, at the edge of a
-snippet or every MOST starts) is a maximal repeat with all its occurrences and its least document. Those that can
-remove more than their snippet as a whole does come back to the blocks with it, where every document above the least one
-loses the bytes.
+Equal strings of `length` bytes have the same minimizer (the least hash of their GRAM-byte parts), so the runs of strings
+under one minimizer are dealt to buckets by it (see blocks.py: the sieve, the split of hot minimizers by the bytes
+around them, and the exchange of snippets). A bucket sorts the suffixes of its distinct snippets, computes the common
+prefixes of neighbours and scans them with a stack: each interval of the tree with a prefix of `length` or more whose
+left extensions differ (or are unknown, at the start of a snippet), and each leaf that occurs several times, is a
+maximal repeat with all its occurrences and its least document. A snippet gets back which of its strings lie in a repeat
+whose least document is below its own; documents of its block with the same snippet and a larger id lose all of it.
+Snippets have 80 bytes at most, so a longer repeat is a chain of overlapping ones. groups() gives the repeats themselves.
 
 Defined cases: null and empty texts keep their row with nothing removed; a null id is neither smaller nor larger than
-another, so such rows take no part; rows with equal ids remove nothing from each other; an empty table gives an empty
-result; texts are whole; other columns are not carried.
+another, so such rows take no part and keep their text; rows with equal ids (repeated rows) remove nothing from each
+other; ties cannot arise, as only smaller ids remove; an empty table gives an empty result; texts are whole, however
+long; other columns are not carried, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -22,56 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BYTES, SENT_DDL, Rolling, beside, bucket_count, distinct, on_blocks, opened, packed, sent, shared, within
+from .blocks import BYTES, HOT, KEYS, MASKS, MOST, ROW_DDL, Chosen, Rolling, Runs, Units, answered, bucket_count, dealt, exchanged, key_rows, on_blocks, opened, packed, ragged, sieve, squeezed, told
 from .common import stored
 
 LENGTH = 50
 GRAM = 20
-MOST = LENGTH - GRAM + 1
 DEPTH = LENGTH + MOST - 1
-PARTS = 32  # a bucket's suffix array is built in so many parts, by the minimizer again, one after another
-SLICE = 1 << 18
+PARTS = 32  # a bucket's suffix array is built in so many parts, by the key again, one after another
 
-SNIPPETS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("names", pa.binary()), ("lens", pa.binary()), ("least", pa.binary()), ("part", pa.binary()), ("raw", pa.binary())])
-SNIPPETS_DDL = "bucket long, block long, names binary, lens binary, least binary, part binary, raw binary"
-REPEATS_DDL = "block long, names binary, starts binary, lens binary, least binary"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-class Runs:
-    """Runs of starts of a block's documents whose first `length` bytes have the same minimizer."""
-
-    def __init__(self, row: dict):
-        self.ids, self.lens, self.raw = opened(row)
-        self.ends = np.cumsum(self.lens)
-        n = len(self.raw)
-        self.rolling = Rolling(BYTES[np.frombuffer(self.raw, np.uint8)])
-        least = self.rolling.windows(GRAM)
-        width = 1
-        while 2 * width < MOST:
-            least = np.minimum(least[:-width], least[width:]) if len(least) > width else least[:0]
-            width *= 2
-        rest = MOST - width
-        least = np.minimum(least[:-rest], least[rest:]) if len(least) > rest else least[:0]
-        doc = np.repeat(np.arange(len(self.lens)), self.lens)
-        m = max(0, n - LENGTH + 1)
-        named = np.array([i is not None for i in self.ids], bool)
-        ok = (doc[:m] == doc[LENGTH - 1 :]) & named[doc[:m]] if m else np.zeros(0, bool)
-        start = np.flatnonzero(ok)
-        key, owner = least[start], doc[start]
-        head = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else np.zeros(0, bool)
-        first = np.flatnonzero(head)
-        self.lo, self.key, self.doc = start[first], key[first], owner[first]
-        self.hi = start[np.append(first[1:], len(start)) - 1] + LENGTH if len(first) else first
-        self.number = np.array([0 if i is None else i for i in self.ids], np.int64)
-
-    def names(self) -> np.ndarray:
-        return self.rolling.of(self.lo, self.hi) ^ (self.hi - self.lo).astype(np.uint64)
+def runs_of(row: dict) -> Runs:
+    units = Units(row)
+    units.able = np.array([i is not None for i in units.ids], bool)
+    return Runs(units, LENGTH, GRAM)
 
 
 def intervals(lcp: list[int], left: list[int], least: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -113,20 +82,21 @@ def intervals(lcp: list[int], left: list[int], least: list[int], length: int) ->
         carry = top
 
 
-def repeats(raw: bytes, lens: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Maximal repeats between distinct snippets: per occurrence the snippet, the start in it, the length, the least
-    document of all occurrences. Nested repeats list a suffix many times, so they come in slices of whole repeats, a
-    slice ending once it has SLICE occurrences."""
+def repeats(texts: list[bytes], least: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal repeats of distinct snippets: (prefix, first, last, least document), each a column, and the suffix array
+    (snippet and offset) that first and last point into. many: which snippets occur several times."""
+    lens = np.array([len(t) for t in texts])
+    raw = b"".join(texts)
     text = np.frombuffer(raw + bytes(DEPTH + 8), np.uint8)
     base = np.cumsum(lens) - lens
-    count = np.maximum(lens - LENGTH + 1, 0)
+    count = lens - LENGTH + 1
     snippet = np.repeat(np.arange(len(lens)), count)
-    offset = np.arange(len(snippet)) - np.repeat(np.cumsum(count) - count, count)
+    offset = ragged(np.zeros(len(lens), np.int64), count)
     at = base[snippet] + offset
     once = Rolling(BYTES[text[: len(raw)]]).windows(LENGTH)[at]  # a suffix whose first bytes occur once is in no repeat
     order = np.argsort(once)
     same = once[order[1:]] == once[order[:-1]]
-    keep = np.zeros(len(at), bool)
+    keep = many[snippet] & (offset == 0)
     keep[order[1:][same]] = keep[order[:-1][same]] = True
     snippet, offset, at = snippet[keep], offset[keep], at[keep]
     room = lens[snippet] - offset
@@ -146,132 +116,152 @@ def repeats(raw: bytes, lens: np.ndarray, least: np.ndarray) -> Iterator[tuple[n
         x = k[1:] ^ k[:-1]
         lcp += np.where(open_, sum((x < np.uint64(1 << (8 * j))).astype(np.int64) for j in range(8)), 0)
         open_ &= x == 0
-    lcp = np.minimum(np.minimum(lcp, DEPTH), np.minimum(room[1:], room[:-1]))
-    edge = offset % MOST == 0
-    left = np.where(edge, -1, text[np.maximum(at - 1, 0)].astype(np.int64))
+    lcp = np.minimum(lcp, np.minimum(room[1:], room[:-1]))
+    left = np.where(offset == 0, -1, text[np.maximum(at - 1, 0)].astype(np.int64))
     mins = least[snippet]
+    leaf = np.flatnonzero(many[snippet] & (left < 0))
     joined = np.concatenate([[False], lcp >= LENGTH, [False]])
     begin, end = np.flatnonzero(joined[1:] & ~joined[:-1]), np.flatnonzero(~joined[1:] & joined[:-1])
     found: list[tuple[int, int, int, int]] = []
     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
         found += [(p, a + i, a + j, m) for p, i, j, m in intervals(lcp[a:b].tolist(), left[a : b + 1].tolist(), mins[a : b + 1].tolist(), LENGTH)]
-    every = np.array(found, np.int64).reshape(-1, 4).T
-    size = every[2] - every[1] + 1
-    cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // SLICE)) + 1
-    for p, i, j, m in (every[:, a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(size)], strict=True)):
-        n = j - i + 1
-        which = np.repeat(i, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield snippet[which], offset[which], np.repeat(p, n), np.repeat(m, n)
-
-
-def telling(s: np.ndarray, o: np.ndarray, n: np.ndarray, m: np.ndarray, own: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the occurrences of repeats() those that can remove more bytes than others do: not those whose least document
-    is that of their whole snippet, which goes back anyway, and of those with the same snippet, start and least document
-    the longest."""
-    s = own[s]
-    keep = m < low[s]
-    s, o, n, m = s[keep], o[keep], n[keep], m[keep]
-    order = np.lexsort((-n, m, o, s))
-    s, o, n, m = s[order], o[order], n[order], m[order]
-    head = np.ones(len(s), bool)
-    head[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1]) | (m[1:] != m[:-1])
-    return s[head], o[head], n[head], m[head]
+    inner = np.array(found, np.int64).reshape(-1, 4)
+    every = np.concatenate([inner, np.stack([room[leaf], leaf, leaf, mins[leaf]], axis=1)])
+    return every, snippet, offset, room
+
+
+def tree(table: pa.Table):
+    """A bucket's snippets, each distinct text once, and per part the repeats among them."""
+    (_, _, key, owner, again), texts, sizes = told(table)
+    number: dict[bytes, int] = {}
+    which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
+    low, many = np.full(len(number), np.iinfo(np.int64).max), np.bincount(which, weights=1 + again) > 1
+    np.minimum.at(low, which, owner)
+    part = np.zeros(len(number), np.int64)
+    part[which] = key % PARTS
+    distinct = list(number)
+
+    def parts():
+        for p in range(PARTS):
+            own = np.flatnonzero(part == p)
+            if len(own):
+                yield own, repeats([distinct[i] for i in own.tolist()], low[own], many[own])
+
+    return which, owner, low, np.array([len(t) for t in distinct], np.int64), sizes, parts()
+
+
+def bits(n: np.ndarray) -> np.ndarray:
+    return ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)).astype(np.uint64)
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """A bucket: snippets of many blocks to the repeats of each block's snippets."""
-    names = [np.frombuffer(x, np.uint64) for x in table["names"].to_pylist()]
-    every = np.concatenate(names)
-    lens = np.concatenate([np.frombuffer(x, np.int32) for x in table["lens"].to_pylist()]).astype(np.int64)
-    least = np.concatenate([np.frombuffer(x, np.int64) for x in table["least"].to_pylist()])
-    raw = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, table["raw"].to_pylist())), np.uint8)
-    distinct_names, first, which = np.unique(every, return_index=True, return_inverse=True)
-    low = np.full(len(distinct_names), np.iinfo(np.int64).max)
-    np.minimum.at(low, which, least)
-    start, size = (np.cumsum(lens) - lens)[first], lens[first]
-    parts = np.concatenate([np.frombuffer(x, np.uint8) for x in table["part"].to_pylist()])[first]
-    found = [(np.arange(len(low)), np.zeros(len(low), np.int64), size, low)]  # a snippet that two documents hold repeats whole
-    for p in range(PARTS):
-        own = np.flatnonzero(parts == p)
-        pick = np.repeat(start[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(size[own].sum())
-        found += [telling(*x, own, low) for x in repeats(raw[pick].tobytes(), size[own], low[own])]
-    s, o, n, m = (np.concatenate(c) for c in zip(*found, strict=True))
-    by = np.argsort(s, kind="stable")
-    s, o, n, m = s[by], o[by], n[by], m[by]
-    bounds = np.searchsorted(s, np.arange(len(low) + 1))
-    out: list[list] = [[], [], [], []]
-    at = 0
-    for x in names:
-        own = which[at : at + len(x)]
-        at += len(x)
-        k = bounds[own + 1] - bounds[own]
-        i = np.repeat(bounds[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        for c, v in zip(out, (np.repeat(x, k), o[i].astype(np.int32), n[i].astype(np.int32), m[i]), strict=True):
-            c.append(v.tobytes())
-    return pa.table({"block": table["block"]} | {c: pa.array(v, pa.binary()) for c, v in zip(("names", "starts", "lens", "least"), out, strict=True)})
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document n_bytes, n_removed, n_spans, the kept bytes and their SHA-256."""
-    blocks = packed(docs, doc_id, text)
-    buckets = bucket_count(blocks)
+    """A bucket: for each snippet the windows that lie in a repeat with a smaller document."""
+    which, owner, low, lens, sizes, parts = tree(table)
+    mask = np.zeros(len(low), np.uint64)  # for the snippet's least document; all of it for others
+    whole = np.zeros(len(low), bool)
+    for own, (every, snippet, offset, room) in parts:
+        prefix, first, last, least = every.T
+        leaf = (first == last) & (offset[first] == 0) & (prefix == room[first])
+        whole[own[snippet[first[leaf]]]] = True
+        at = np.repeat(np.arange(len(every)), last - first + 1)
+        i = ragged(first, last - first + 1)
+        s = own[snippet[i]]
+        some = least[at] < low[s]
+        s, o, n = s[some], offset[i[some]], prefix[at[some]] - LENGTH + 1
+        np.bitwise_or.at(mask, s, bits(n) << o.astype(np.uint64))
+    out = np.where((owner > low[which]) & whole[which], bits(lens - LENGTH + 1)[which], mask[which])
+    return answered(table, sizes, out.astype(np.uint32))
 
-    def send_keys(row: dict) -> Iterator[pa.RecordBatch]:
-        r = Runs(row)
-        yield from sent(row["block"], *distinct(r.key, r.number[r.doc]), buckets)
-
-    def send_snippets(row: dict, back: list[dict]) -> Iterator[pa.RecordBatch]:
-        r = Runs(row)
-        at = np.flatnonzero(within(r.key, back))
-        name, owner = r.names()[at], r.number[r.doc[at]]
-        order = np.lexsort((owner, name))
-        at, name, owner = at[order], name[order], owner[order]
-        head = np.concatenate([[True], name[1:] != name[:-1]]) if len(at) else np.zeros(0, bool)
-        at, name, owner = at[head], name[head], owner[head]
-        to = ((r.key[at] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        at, name, owner, to = at[order], name[order], owner[order], to[order]
-        ends = np.searchsorted(to, np.arange(buckets + 1))
-        rows: list[list] = [[] for _ in SNIPPETS]
-        part = ((r.key[at] >> np.uint64(8)) % np.uint64(PARTS)).astype(np.uint8)
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in range(buckets):
-            a, e = ends[b], ends[b + 1]
-            if a < e:
-                lo, hi = r.lo[at[a:e]], r.hi[at[a:e]]
-                for c, x in zip(rows, (b, row["block"], name[a:e].tobytes(), (hi - lo).astype(np.int32).tobytes(), owner[a:e].tobytes(), part[a:e].tobytes(), squeeze(b"".join(r.raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)))), strict=True):
-                    c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, SNIPPETS.types, strict=True)], schema=SNIPPETS)
-
-    def remove(row: dict, back: list[dict]) -> Iterator[pa.RecordBatch]:
-        r = Runs(row)
-        join = lambda c, t: np.concatenate([np.frombuffer(x[c], t) for x in back]) if back else np.zeros(0, t)
-        names, starts, lens, least = join("names", np.uint64), join("starts", np.int32), join("lens", np.int32), join("least", np.int64)
-        order = np.argsort(names, kind="stable")
-        names, starts, lens, least = names[order], starts[order], lens[order], least[order]
-        own = r.names()
-        a, b = np.searchsorted(names, own), np.searchsorted(names, own, side="right")
-        k = b - a
-        i = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        run = np.repeat(np.arange(len(own)), k)
-        ok = least[i] < r.number[r.doc[run]]
-        i, run = i[ok], run[ok]
-        cover = np.zeros(len(r.raw) + 1, np.int64)
-        at = r.lo[run] + starts[i]
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + lens[i], -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        text = np.frombuffer(r.raw, np.uint8)
+
+def remover(keep: bool):
+    def remove(runs: Runs, chosen: Chosen, back: list[dict]) -> Iterator[pa.RecordBatch]:
+        units, masks, at = runs.units, chosen.masks(back), 0
+        cover = np.zeros(len(units.raw) + 1, np.int32)
+        for r, members, head in chosen.sets:
+            k = int(head.sum())
+            group = np.cumsum(head) - 1
+            number = units.number[r.doc[members]]
+            mask = np.where(number > number[head][group], bits(r.n[members]), masks[at : at + k].astype(np.uint64)[group]) if k else np.zeros(0, np.uint64)
+            at += k
+            for j in range(MOST):
+                s = r.lo[members[(mask >> np.uint64(j)) & np.uint64(1) == 1]] + j
+                np.add.at(cover, s, 1)
+                np.add.at(cover, s + LENGTH, -1)
+        gone = np.cumsum(cover[:-1]) > 0
+        text = np.frombuffer(units.raw, np.uint8)
         columns: list[list] = [[] for _ in OUT]
-        for d, (e, n) in enumerate(zip(r.ends.tolist(), r.lens.tolist(), strict=True)):
+        for d, (e, n) in enumerate(zip(units.ends.tolist(), units.lens.tolist(), strict=True)):
             g = gone[e - n : e]
             lost = int(g.sum())
-            kept = text[e - n : e][~g].tobytes() if lost else r.raw[e - n : e]
+            kept = text[e - n : e][~g].tobytes() if lost else units.raw[e - n : e]
             spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if lost else 0
-            for c, x in zip(columns, (r.ids[d], n, lost, spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            for c, x in zip(columns, (units.ids[d], n, lost, spans, hashlib.sha256(kept).hexdigest(), kept if keep else None), strict=True):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, OUT.types, strict=True)], schema=OUT)
 
-    met = stored(shared(on_blocks(blocks, send_keys, SENT_DDL)))
-    found = stored(beside(blocks, met, send_snippets, SNIPPETS_DDL).groupBy("bucket").applyInArrow(meet, REPEATS_DDL))
-    return beside(blocks, found.filter(F.length("names") > 0), remove, DDL)
+    return remove
+
+
+def _sifted(docs: DataFrame, doc_id: str, text: str, hot: int) -> tuple[DataFrame, DataFrame, int]:
+    """The blocks, the minimizers that two documents share, and the number of buckets."""
+    blocks = packed(docs, doc_id, text)
+    buckets = bucket_count(blocks)
+
+    def send_keys(row: dict) -> Iterator[pa.RecordBatch]:
+        runs = runs_of(row)
+        yield from key_rows(row["block"], KEYS, dealt(runs.hash, buckets), runs.key_weights(np.arange(len(runs.lo)), True))
+
+    return blocks, stored(sieve(on_blocks(blocks, send_keys, ROW_DDL), hot)), buckets
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: bool = True, hot: int = HOT) -> DataFrame:
+    """Per document n_bytes, n_removed, n_spans, the kept bytes (keep) and their SHA-256."""
+    blocks, keys, buckets = _sifted(docs, doc_id, text, hot)
+    out = exchanged(blocks, keys, runs_of, meet, remover(keep), DDL, buckets, False, hot)
+    return out if keep else out.drop("kept")
+
+
+def list_groups(table: pa.Table) -> pa.Table:
+    """A bucket: for each row of snippets its occurrences in repeats: repeat (bucket << 32 | number), snippet, offset, length."""
+    which, _, _, _, sizes, parts = tree(table)
+    bucket, found, n = table["bucket"][0].as_py(), [], 0
+    for own, (every, snippet, offset, _) in parts:
+        prefix, first, last, _ = every.T
+        at, i = np.repeat(np.arange(len(every)), last - first + 1), ragged(first, last - first + 1)
+        found.append(np.stack([own[snippet[i]], (bucket << 32) + n + at, offset[i], prefix[at]]))
+        n += len(every)
+    every = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+    every = every[:, np.argsort(every[0], kind="stable")]
+    bounds = np.searchsorted(every[0], np.arange(which.max(initial=0) + 2))
+    ends, data = np.cumsum([0, *sizes]).tolist(), []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        k = bounds[which[a:b] + 1] - bounds[which[a:b]]
+        data.append(squeezed(np.concatenate([np.repeat(np.arange(b - a), k)[None], every[1:, ragged(bounds[which[a:b]], k)]])))
+    return table.select(["block", "kind", "bucket"]).append_column("data", pa.array(data, pa.binary())).append_column("more", pa.nulls(len(data), pa.binary())).append_column("text", pa.nulls(len(data), pa.binary()))
+
+
+GROUPS = pa.schema([("repeat", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """The maximal repeat groups with all occurrences: repeat (a group's number), length, doc_id, start (bytes). A group's
+    rows come from many tasks, so no task holds all of a large one's. A repeat of more than 80 bytes is a chain of groups."""
+    blocks, keys, buckets = _sifted(docs, doc_id, text, hot)
+
+    def place(runs: Runs, chosen: Chosen, back: list[dict]) -> Iterator[pa.RecordBatch]:
+        units, key = runs.units, chosen.key[chosen.order]
+        heads = np.concatenate([np.flatnonzero(head) + n for (_, _, head), n in zip(chosen.sets, (0, len(chosen.sets[0][1])), strict=True)])
+        lo = np.concatenate([r.lo[at] for r, at, _ in chosen.sets])
+        size = np.diff(np.append(heads, len(lo)))
+        columns = [np.zeros(0, np.int64)] * 4
+        for r in (r for r in back if r["kind"] == MASKS):
+            snippet, repeat, offset, length = opened(r["data"], np.int64).reshape(4, -1)
+            snippet = chosen.order[np.searchsorted(key, np.uint64(r["bucket"] << 32)) + snippet]
+            n = size[snippet]
+            at = lo[ragged(heads[snippet], n)] + np.repeat(offset, n)
+            doc = units.doc[at]
+            for c, x in enumerate((np.repeat(repeat, n), np.repeat(length, n), units.number[doc], at - (units.ends - units.lens)[doc])):
+                columns[c] = np.concatenate([columns[c], x])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=GROUPS)
+
+    return exchanged(blocks, keys, runs_of, list_groups, place, "repeat long, length long, doc_id long, start long", buckets, False, hot)
