@@ -13,7 +13,7 @@ have in common is found in three exchanges, each keyed by content and each with
    and sends back 32 bits for each: which of its windows go.
 
 Hashes only bring texts together; what is removed is decided on the texts. Rows grow with blocks times buckets, but
-never past the number of keys: at 30 GB of Parquet 6 thousand blocks meet 1.5 thousand buckets."""
+never past the number of keys: at 30 GB of Parquet 6 thousand blocks meet as many buckets."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import stored, text_of
 
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 PIECE = 1 << 20  # windows that are hashed at a time
 MOST = 31
 GROUP = 4
@@ -96,14 +96,14 @@ class Rolling:
 
     BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
+    up = down = np.ones(1, np.uint64)  # powers of the two, as far as they were needed
+
     def __init__(self, values: np.ndarray):
         n = len(values)
-        up, down = np.full(n + 1, self.BASE, np.uint64), np.full(n + 1, self.INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        self.sums, self.down = np.zeros(n + 1, np.uint64), down
-        np.cumsum(values * up[:n], out=self.sums[1:])
+        if len(Rolling.up) <= n:
+            Rolling.up, Rolling.down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n, PIECE + 64), x, np.uint64))) for x in (self.BASE, self.INVERSE))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * Rolling.up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start])
@@ -123,6 +123,14 @@ def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def covered(starts: np.ndarray, window: int) -> np.ndarray:
+    """Which units lie in a window, from the marks of windows' starts (as long as the units)."""
+    so_far = np.cumsum(starts, dtype=np.int32)
+    out = so_far.copy()
+    out[window:] -= so_far[:-window]
+    return out > 0
+
+
 def dealt(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Keys of hashes: the bucket in the upper 32 bits, 32 bits of the hash below."""
     return (((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
@@ -365,7 +373,7 @@ class Chosen:
             yield rows_of(columns)
 
     def masks(self, back: list[dict]) -> np.ndarray:
-        """Per snippet the bits that came back."""
+        """Per snippet, in the order of the sets' heads, the bits that came back."""
         out = np.zeros(len(self.key), np.uint32)
         key = self.key[self.order]
         for row in (r for r in back if r["kind"] == MASKS):

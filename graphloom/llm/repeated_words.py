@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BYTES, HOT, KEYS, MOST, OTHER, PIECE, ROW_DDL, Chosen, Rolling, Runs, Units, among, answered, beside, bucket_count, dealt, exchanged, key_rows, on_blocks, packed, shared, sieve, told
+from .blocks import BYTES, HOT, KEYS, MOST, OTHER, PIECE, ROW_DDL, Chosen, Rolling, Runs, Units, among, answered, beside, bucket_count, covered, dealt, exchanged, key_rows, on_blocks, packed, shared, sieve, told
 from .common import stored
 
 WINDOW = 35
@@ -131,25 +131,22 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
         runs = Runs(Words(row), window, anchor, moving=True)
         at, h = anchors(runs.units)
         at = at[among(dealt(h, buckets), shared(back, OTHER)[0])[0]]
-        near = np.zeros(len(runs.units.doc) + 1, np.int64)  # windows that hold a shared anchor start up to PERIOD - 1 before it
-        np.add.at(near, np.maximum(at - PERIOD + 1, 0), 1)
-        np.add.at(near, at + 1, -1)
-        covered = np.cumsum(np.cumsum(near) > 0)
-        some = np.flatnonzero(covered[runs.lo + runs.n - 1] > np.where(runs.lo > 0, covered[runs.lo - 1], 0))
+        hit = np.zeros(len(runs.units.doc) + PERIOD, bool)
+        hit[at] = True
+        near = np.append(0, np.cumsum(covered(hit[::-1], PERIOD)[::-1]))  # windows that hold a shared anchor start up to PERIOD - 1 before it
+        some = np.flatnonzero(near[runs.lo + runs.n] > near[runs.lo])
         yield from key_rows(row["block"], KEYS, dealt(runs.hash[some], buckets), runs.key_weights(some, False))
 
     def remove(runs: Runs, chosen: Chosen, back: list[dict]) -> Iterator[pa.RecordBatch]:
         w, masks, at = runs.units, chosen.masks(back), 0
-        gone = np.zeros(len(w.doc) + 1, np.int64)
+        starts = np.zeros(len(w.doc), bool)
         for r, members, head in chosen.sets:
             k = int(head.sum())
             mask = masks[at : at + k][np.cumsum(head) - 1]
             at += k
             for j in range(MOST):
-                s = r.lo[members[(mask >> np.uint32(j)) & np.uint32(1) == 1]] + j
-                np.add.at(gone, s, 1)
-                np.add.at(gone, s + window, -1)
-        kept_word = np.cumsum(gone)[:-1] == 0
+                starts[r.lo[members[(mask >> np.uint32(j)) & np.uint32(1) == 1]] + j] = True
+        kept_word = ~covered(starts, window)
         columns: list[list] = [[], [], [], [], []]
         for i, t in enumerate(w.texts):
             a, b = w.bounds[i], w.bounds[i + 1]

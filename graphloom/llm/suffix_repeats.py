@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BYTES, HOT, KEYS, MASKS, MOST, ROW_DDL, Chosen, Rolling, Runs, Units, answered, bucket_count, dealt, exchanged, key_rows, on_blocks, opened, packed, ragged, sieve, squeezed, told
+from .blocks import BYTES, HOT, KEYS, MASKS, MOST, ROW_DDL, Chosen, Rolling, Runs, Units, answered, bucket_count, covered, dealt, exchanged, key_rows, on_blocks, opened, packed, ragged, sieve, squeezed, told
 from .common import stored
 
 LENGTH = 50
@@ -176,7 +176,7 @@ def meet(table: pa.Table) -> pa.Table:
 def remover(keep: bool):
     def remove(runs: Runs, chosen: Chosen, back: list[dict]) -> Iterator[pa.RecordBatch]:
         units, masks, at = runs.units, chosen.masks(back), 0
-        cover = np.zeros(len(units.raw) + 1, np.int32)
+        starts = np.zeros(len(units.raw), bool)
         for r, members, head in chosen.sets:
             k = int(head.sum())
             group = np.cumsum(head) - 1
@@ -184,10 +184,8 @@ def remover(keep: bool):
             mask = np.where(number > number[head][group], bits(r.n[members]), masks[at : at + k].astype(np.uint64)[group]) if k else np.zeros(0, np.uint64)
             at += k
             for j in range(MOST):
-                s = r.lo[members[(mask >> np.uint64(j)) & np.uint64(1) == 1]] + j
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + LENGTH, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+                starts[r.lo[members[(mask >> np.uint64(j)) & np.uint64(1) == 1]] + j] = True
+        gone = covered(starts, LENGTH)
         text = np.frombuffer(units.raw, np.uint8)
         columns: list[list] = [[] for _ in OUT]
         for d, (e, n) in enumerate(zip(units.ends.tolist(), units.lens.tolist(), strict=True)):

@@ -1,14 +1,20 @@
 """Operator 1, exact top-k search with block-at-a-time pruning.
 
-Vectors become integers, floor(scale * x). Candidates are dealt to ranges of `block` ids; a block keeps its forward index
-(the integer matrix) and, per term (component), its maximum and minimum, so that the sum over terms of the larger of
-q * max and q * min bounds the score of every row in it. Queries are dealt to groups. A group meets each range of blocks
-in one task: per query the range's blocks are ordered by bound and scored through their forward indexes until the bound
-falls below the query's k-th score (ties go on, as a smaller id may win). Ranges' results are merged by rank.
-
-Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; rows
-that repeat id and vector count once; an id with several vectors is several candidates, and its first one (least vector) is
-the query; shorter vectors count as filled up with zeros; fewer than k candidates give all; ties go to smaller ids.
+Vectors become integers, floor(scale * x). Candidates lie in blocks of `block` successive ids; a block keeps its forward
+index (the integer matrix) and, per term (component), its maximum and minimum, so that the sum over terms of the larger
+of q * max and q * min bounds the score of every row in it. Queries are dealt to groups. First the bounds alone are
+computed, and each query is scored in the SEEDS blocks of the highest bounds, which gives it a k-th score to begin with.
+Only blocks whose bound reaches that of some query of a group are then sent to the group. In a task, a group meets a
+range of its blocks: per query they are taken in the order of their bounds and scored through their forward indexes
+until the bound falls below the query's k-th score (ties go on, as a smaller id may win). Ranges' results are merged by
+rank. So vectors are shuffled once to make the blocks, and then in proportion to the pairs of block and group that survive.
+
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; every
+finite component does (an integer beyond a long's range counts as that range's end; sums are exact, and a score beyond the
+range counts as its end, too); rows that repeat id and vector count once; an id with several vectors is several candidates,
+and its first one (least vector) is the query; shorter vectors count as filled up with zeros; fewer than k candidates give
+all; ties go to smaller ids; an empty table gives an empty result; other columns are not carried, so their names clash
+with nothing.
 """
 
 from __future__ import annotations
@@ -18,21 +24,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import cut, stored
 
 K = 10
 SCALE = 1024
-BLOCK = 1024
-RANGE = 16  # blocks a task holds
+BLOCK = 128
+RANGE = 128  # blocks a task holds
+CHUNK = 4096  # bounds a task holds
 GROUP = 512  # queries a task holds
+SEEDS = 2
 OUT = "query_id long, vec_id long, score long"
+MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
     """vec_id and v, an array of long, of the rows that take part."""
-    v = F.col(embedding).cast("array<double>")
-    fine = F.col(vec_id).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**40)))
-    return vectors.filter(fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v")).distinct()
+    v = F.col("v").cast("array<double>")
+    fine = F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    whole = lambda x: F.floor(F.greatest(F.least(x * F.lit(float(scale)), F.lit(float(MOST))), F.lit(-float(MOST)))).cast("long")
+    named = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("v"))
+    return named.filter(fine).select("vec_id", F.transform(v, whole).alias("v")).distinct()
 
 
 def matrix(rows: list, width: int) -> np.ndarray:
@@ -43,61 +54,157 @@ def matrix(rows: list, width: int) -> np.ndarray:
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T of integers; through doubles where these are exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64) if most < 2**52 else a @ b.T
-
-
-def search_range(k: int):
-    """An applyInArrow function: a group of queries and a range of candidates to each query's k best of the range."""
-
-    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        none = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        if not len(queries) or not len(candidates):
-            return none
-        candidates = candidates.sort_by("vec_id")
-        qv, cv = queries["v"].to_pylist(), candidates["v"].to_pylist()
-        width = max(max(map(len, qv)), max(map(len, cv)))
-        q, c = matrix(qv, width), matrix(cv, width)
-        qid, cid = queries["query_id"].to_numpy(), candidates["vec_id"].to_numpy()
-        blocks = [slice(a, min(a + BLOCK, len(cid))) for a in range(0, len(cid), BLOCK)]
-        high, low = np.array([c[b].max(axis=0) for b in blocks]), np.array([c[b].min(axis=0) for b in blocks])
-        bound = dot(np.maximum(q, 0), high) + dot(np.minimum(q, 0), low)
+    """a @ b.T of integers: through doubles where these are exact, through unbounded integers where longs are too short."""
+    width = min(a.shape[1], b.shape[1])  # what is missing is zeros
+    a, b = a[:, :width], b[:, :width]
+    most = float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0)) * max(1, width)
+    if most < 2**52:
+        return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
+    return a @ b.T if most < 2**61 else a.astype(object) @ b.astype(object).T
+
+
+def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return dot(np.maximum(q, 0), high) + dot(np.minimum(q, 0), low)
+
+
+def shorter(x: np.ndarray) -> np.ndarray:
+    """As longs, what is beyond them at their ends."""
+    return np.array([max(-MOST, min(MOST, int(v))) for v in x], np.int64) if x.dtype == object else x
+
+
+def index_block(table: pa.Table) -> pa.Table:
+    """A block's candidates to one row: its ids and forward index by id, and its maxima and minima."""
+    table = table.sort_by("vec_id")
+    rows = table["v"].to_pylist()
+    m = matrix(rows, max(map(len, rows)))
+    return pa.table({"block": table["block"][:1], "ids": [table["vec_id"].to_numpy().tobytes()], "m": [m.tobytes()], "high": [m.max(axis=0).tolist()], "low": [m.min(axis=0).tolist()]})
+
+
+INDEX = "block long, ids binary, m binary, high array<long>, low array<long>"
+
+
+def met(left: DataFrame, right: DataFrame, names: tuple[str, str], body, schema: str) -> DataFrame:
+    """left and right cogrouped by names; right under new column references, as both may come from one table."""
+    return left.groupBy(*names).cogroup(right.toDF(*right.columns).groupBy(*names)).applyInArrow(body, schema)
+
+
+def sides(queries: pa.Table, blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The queries' matrix and their bounds for blocks (the one of which no maximum is positive is filled up by zero)."""
+    qv, high, low = queries["v"].to_pylist(), blocks["high"].to_pylist(), blocks["low"].to_pylist()
+    width = max(map(len, [*qv, *high]))
+    q = matrix(qv, width)
+    return q, bounds(q, matrix(high, width), matrix(low, width)), np.array([x is None for x in queries["kth"].to_pylist()])
+
+
+def best_blocks(seeds: int):
+    """A function for a group of queries and a chunk of bounds: each query's best blocks."""
+
+    def best(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not len(queries) or not len(blocks):
+            return pa.table({"g": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "bound": pa.array([], pa.int64())})
+        blocks = blocks.sort_by("block")
+        _, bound, _ = sides(queries, blocks)
+        top = np.argsort(-bound, axis=1, kind="stable")[:, :seeds]
+        names = blocks["block"].to_numpy()
+        n = top.shape[1]
+        return pa.table({"g": np.repeat(queries["g"].to_numpy(), n), "query_id": np.repeat(queries["query_id"].to_numpy(), n), "block": names[top].ravel(), "bound": shorter(np.take_along_axis(bound, top, 1).ravel())})
+
+    return best
+
+
+def surviving(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+    """A group of queries and a chunk of bounds to the blocks that some query of the group has to see."""
+    if not len(queries) or not len(blocks):
+        return pa.table({"g": pa.array([], pa.int64()), "block": pa.array([], pa.int64())})
+    _, bound, fresh = sides(queries, blocks)
+    kth = np.array([0 if x is None else x for x in queries["kth"].to_pylist()])
+    see = (fresh[:, None] | (bound >= kth[:, None])).astype(bool).any(axis=0)
+    names = blocks["block"].to_numpy()[see]
+    return pa.table({"g": np.full(len(names), queries["g"][0].as_py()), "block": names})
+
+
+def search_blocks(k: int):
+    """A function for a group of queries and some blocks: each query's k best of the blocks."""
+
+    def search(queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not len(queries) or not len(blocks):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
+        q, bound, fresh = sides(queries, blocks)
+        ids = [np.frombuffer(x, np.int64) for x in blocks["ids"].to_pylist()]
+        m = [np.frombuffer(x, np.int64).reshape(len(i), -1) for x, i in zip(blocks["m"].to_pylist(), ids, strict=True)]
+        kth = np.array([0 if x is None else x for x in queries["kth"].to_pylist()])
+        out: list[list] = [[], [], []]
         order = np.argsort(-bound, axis=1, kind="stable")
-        floor = -np.iinfo(np.int64).max
-        best, ids = np.full((len(q), k), floor), np.full((len(q), k), np.iinfo(np.int64).max)
-        live = np.arange(len(q))
-        for turn in range(len(blocks)):
-            block = order[live, turn]
-            go = bound[live, block] >= best[live, k - 1]
-            live, block = live[go], block[go]  # later blocks have lower bounds still
-            for b in np.unique(block):
-                at = live[block == b]
-                score = dot(q[at], c[blocks[b]])
-                score[qid[at][:, None] == cid[blocks[b]][None, :]] = floor
-                scores = np.concatenate([best[at], score], axis=1)
-                names = np.concatenate([ids[at], np.broadcast_to(cid[blocks[b]], score.shape)], axis=1)
-                top = np.lexsort((names, -scores), axis=1)[:, :k]
-                best[at], ids[at] = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
-        ok = best > floor
-        return pa.table({"query_id": pa.array(np.repeat(qid, k).reshape(-1, k)[ok]), "vec_id": pa.array(ids[ok]), "score": pa.array(best[ok])})
+        for i, query in enumerate(queries["query_id"].to_pylist()):
+            score, name = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for b in order[i]:
+                least = score[-1] if len(score) == k else None
+                if (not fresh[i] and bound[i, b] < kth[i]) or (least is not None and bound[i, b] < least):
+                    break  # later blocks have lower bounds still
+                other = ids[b] != query
+                s, n = np.append(score, shorter(dot(q[i : i + 1], m[b])[0])[other]), np.append(name, ids[b][other])
+                top = np.lexsort((n, -s))[:k]
+                score, name = s[top], n[top]
+            for c, x in zip(out, ([query] * len(name), name.tolist(), score.tolist()), strict=True):
+                c += x
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
     return search
 
 
-def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE) -> DataFrame:
+class Search:
+    """The steps of a search; survivors() shows what pruning leaves."""
+
+    def __init__(self, vectors: DataFrame, is_query: Column, vec_id: str, embedding: str, k: int, scale: int, block: int):
+        self.k = k
+        rows = stored(quantised(vectors, vec_id, embedding, scale)).withColumn("b", F.floor(F.col("vec_id") / block))
+        sizes = rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))  # above 1 where ids repeat
+        named = rows.join(sizes, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("v"), "parts")).alias("block"), "vec_id", "v")
+        self.index = stored(named.groupBy("block").applyInArrow(index_block, INDEX))
+        self.blocks, n = self.index.count(), rows.filter(is_query).select("vec_id").distinct().count()
+        self.groups = max(1, -(-n // GROUP))
+        group = F.pmod(F.xxhash64("query_id"), F.lit(self.groups)).cast("long")
+        own = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+        self.queries = stored(own.select(group.alias("g"), "query_id", "v", F.lit(None).cast("long").alias("kth")))
+
+    def against_bounds(self, queries: DataFrame, body, schema: str) -> DataFrame:
+        """Each group of queries beside each chunk of bounds; these are some hundredths of the vectors."""
+        chunks = max(1, -(-self.blocks // CHUNK))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+        left = queries.withColumn("c", every(chunks))
+        right = self.index.select("block", "high", "low", F.pmod("block", F.lit(chunks)).cast("long").alias("c")).withColumn("g", every(self.groups))
+        return met(left, right, ("g", "c"), body, schema)
+
+    def seeded(self) -> DataFrame:
+        """The queries with their k-th scores in the best blocks (null if there are fewer)."""
+        best = self.against_bounds(self.queries, best_blocks(SEEDS), "g long, query_id long, block long, bound long")
+        by = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+        first = cut(best.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= SEEDS).select("g", "query_id", "block"))
+        left = first.join(self.queries.drop("g"), "query_id")
+        right = self.index.join(first.select("g", "block").distinct(), "block")
+        found = met(left, right, ("g", "block"), search_blocks(self.k), OUT)
+        kth = found.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(self.k - 1)).alias("kth"))
+        return cut(self.queries.drop("kth").join(kth, "query_id", "left").select("g", "query_id", "v", "kth"))
+
+    def survivors(self, queries: DataFrame) -> DataFrame:
+        """The pairs of group g and block that have to meet."""
+        return cut(self.against_bounds(queries, surviving, "g long, block long"))
+
+    def found(self) -> DataFrame:
+        queries = self.seeded()
+        left = self.survivors(queries)
+        ranges = max(1, -(-self.blocks // RANGE))
+        part = F.pmod(F.xxhash64("block"), F.lit(ranges)).cast("long")
+        pairs = left.withColumn("r", part)
+        right = self.index.join(pairs, "block")
+        own = queries.join(pairs.select("g", "r").distinct(), "g")
+        return met(own, right, ("g", "r"), search_blocks(self.k), OUT)
+
+
+def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, scale: int = SCALE, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best candidates of each query; is_query: over vec_id.
 
-    The queries are a stated set: each group of GROUP of them is sent to each range of RANGE * BLOCK candidates, in
-    blocks, so a task holds one group and one range whatever the table's size."""
-    rows = stored(quantised(vectors.withColumnRenamed(vec_id, "vec_id"), "vec_id", embedding, scale))
-    n = rows.count()
-    ranges = max(1, -(-n // (RANGE * BLOCK)))
-    queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    groups = max(1, -(-queries.count() // GROUP))
-    part, group = F.pmod(F.xxhash64(F.floor(F.col("vec_id") / BLOCK)), F.lit(ranges)), F.pmod(F.xxhash64("query_id"), F.lit(groups))
-    q = queries.withColumn("g", group).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1)).cast("array<long>")))
-    c = rows.withColumn("r", part).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
-    found = q.groupBy("g", "r").cogroup(c.groupBy("g", "r")).applyInArrow(search_range(k), OUT)
+    The queries are a stated set: a task holds GROUP of them and RANGE blocks, whatever the table's size."""
+    found = Search(vectors, is_query, vec_id, embedding, k, scale, block).found()
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """Edge cases and plain versions of the other operators, and the pipeline."""
 
+import math
 import zlib
 from itertools import combinations
 
@@ -116,15 +117,44 @@ def test_language(spark, docs, empty):
     assert language.predict(docs, language.train(empty)).filter("lang_pred <> 'und'").count() == 0
 
 
-def test_topk(spark):
+def nearest(rows, k=10):
+    """The k best of each query by every pair, in unbounded integers, scores cut to longs."""
+    q = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    out = {}
+    for i in sorted({i for i, _ in q if i % 50 == 0}):
+        own = min(v for j, v in q if j == i)
+        out[i] = sorted((-max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(own, v)))), j) for j, v in q if j != i)[:k]
+    return out
+
+
+@pytest.mark.parametrize("block", [8, 128])
+def test_topk(spark, block):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)).round(2)
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(300, None), (301, [float("nan")] * 8), (None, [1.0] * 8), (5, [float(x) for x in v[5]])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
-    q = np.floor(v * 1024).astype(int)
-    for i in range(0, 300, 50):
-        want = sorted(((-int(q[i] @ q[j]), j) for j in range(300) if j != i))[:10]
-        assert [(r.vec_id, -r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == [(j, s) for s, j in want]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(300, None), (301, [float("nan")] * 8), (302, [float("inf")] * 8), (303, [1.0, None]), (None, [1.0] * 8), (5, [float(x) for x in v[5]]), (306, []), (7, [2.0] * 9), (50, [-3.0] * 7)]
+    rows += [(350, [2.0**41] + [0.0] * 7), (351, [-(2.0**45), 1.0, 2.0])] + [(400 + i, rows[3][1]) for i in range(12)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, block string, kth int")
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0, block=block).collect()
+    want = nearest(rows)
+    assert {r.query_id for r in got} == set(want)
+    for i, best in want.items():
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == best
+    assert topk.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    few = topk.top_k(frame.filter("vec_id < 3"), F.col("vec_id") == 0).collect()
+    assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2]
+
+
+def test_topk_prunes(spark):
+    """Where successive ids are alike, most blocks are neither sent nor scored."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(64, 16)) * 3
+    rows = [(i, [float(x) for x in centres[i // 32] + rng.normal(size=16) * 0.1]) for i in range(64 * 32)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    search = topk.Search(frame, F.col("vec_id") == 320, "vec_id", "embedding", 10, 1024, 32)
+    assert search.blocks == 64 and search.survivors(search.seeded()).count() <= 16
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0, block=32).collect()
+    for i, best in nearest(rows).items():
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == best
 
 
 def same_classes(rows):
