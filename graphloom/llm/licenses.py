@@ -11,8 +11,9 @@ Hashes are fixed, so tests go through all pairs and triples of templates in one
 template's shingles in the window then decides.
 
 Defined cases: null and empty texts match nothing and keep their row; each row is scanned on its own, whole; ties
-between templates are all reported; an empty table gives an empty result; text is replaced by the results and other
-columns are carried.
+between templates are all reported; repeated rows share their result; an empty table gives an empty result; text is
+replaced by the results and other columns are carried, but those named like a result (licenses, n_windows, containment)
+give way to it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .common import cut, let, text_of
 SHINGLE = 5
 MISS = 1e-6
 MIN_CONTAINMENT = 0.8
+BROADCAST = 1_000_000  # shingles times bands of the templates
 SEPARATORS = r"[^\p{L}\p{N}]+"
 
 #: Notices as authors put them into files, by license. Keep it small: the table is part of the plan.
@@ -102,9 +104,10 @@ def matches(docs: DataFrame, row: str, text: str = "text", templates: dict[str,
     table = [(c, n, name, [" ".join(s) for s in template_shingles(templates[name])]) for c, n, names in size_classes(templates, least) for name in names]
     known = spark.createDataFrame(table, "class int, bands int, license string, tg array<string>")
     classed = known.select("class", "bands", F.explode("tg").alias("g")).distinct()  # as large as the templates
-    windows = placed.join(F.broadcast(classed), "g").groupBy("row", "window", "class", "bands").agg(F.collect_set("g").alias("g"))  # at most 4 * span shingles
+    held = F.broadcast if sum(len(g) * n for _, n, _, g in table) <= BROADCAST else lambda df: df  # counted on the driver, which was given the templates
+    windows = placed.join(held(classed), "g").groupBy("row", "window", "class", "bands").agg(F.collect_set("g").alias("g"))  # at most 4 * span shingles
     bands = known.select("class", "license", "tg", F.explode(minhash(F.col("tg"), F.col("bands"))).alias("band"))  # as large as the templates
-    met = windows.select("row", "window", "class", "g", F.explode(minhash(F.col("g"), F.col("bands"))).alias("band")).join(F.broadcast(bands), ["class", "band"]).dropDuplicates(["row", "window", "license"])
+    met = windows.select("row", "window", "class", "g", F.explode(minhash(F.col("g"), F.col("bands"))).alias("band")).join(held(bands), ["class", "band"]).dropDuplicates(["row", "window", "license"])
     share = F.size(F.array_intersect("tg", "g")) / F.size("tg")
     return met.select("row", "window", "license", share.alias("containment")).filter(F.col("containment") >= least)
 
@@ -115,7 +118,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     Rows are named by a hash of id and text: equal rows share their result. What is shuffled is a few shingles of the
     documents that hold any."""
     name = F.xxhash64(F.col(doc_id), F.col(text))
-    rest = [c for c in docs.columns if c.lower() != text.lower()]
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), "licenses", "n_windows", "containment")]
     named = docs.select(name.alias("row"), F.col(text).alias("text"))
     found = cut(
         matches(named, "row", "text", templates).groupBy("row", "license").agg(F.count_distinct("window").alias("n"), F.max("containment").alias("c"))

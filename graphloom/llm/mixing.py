@@ -6,7 +6,9 @@ rerun gives the same copies. Documents are exploded by their counts and shuffled
 
 Defined cases: a null source is a source of its own; a source without a weight gets no copies; rows with the same id
 (repeated rows, or null ids) are seeded by id and text and so get equal counts if they are equal; null and empty texts
-count as rows; an empty table gives an empty result; added columns are `copy` (from 0) and `mix_key`.
+count as rows, and texts are kept whole; equal mix keys (of repeated rows) may come in any order; an empty table gives
+an empty result; added columns are `copy` (from 0) and `mix_key`; other columns are carried, but those of these two names
+give way to them.
 """
 
 from __future__ import annotations
@@ -83,4 +85,4 @@ def mix(
     drawn = drawn.withColumn(n, F.when(F.col(rate) > 0, copies(F.col(rate), *seeds)).otherwise(0)).filter(F.col(n) > 0)
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).withColumn("mix_key", F.md5(F.concat_ws("|", F.lit("order"), *[F.coalesce(x.cast("string"), F.lit("-")) for x in seeds], F.col("copy"))))
     kept = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
-    return out.select(*kept, "copy", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    return out.select(*[F.col(f"`{c}`") for c in kept], "copy", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")

@@ -17,8 +17,12 @@ two blocks at a time are multiplied as 0-1 matrices, unless both hold one and th
 Classes are the connected components of the links, found by least-label steps in Spark. Equal texts are one
 representative throughout.
 
-Defined cases: null and empty texts are equal texts of no words, one class; rows with one id are one row of the result
-(the least text counts); null ids are left out; an empty table gives an empty result; texts are whole.
+Defined cases: null and empty texts are equal texts of no words, one class. In classes(), rows with one id are one row of
+the result (the text of the least MD5 counts), and null ids are left out. keep_one() takes each row as a document of its
+own: of a class it keeps the row of the least id (of several texts with that id, that of the least MD5; of equal rows of
+id and text, one, and which of their other columns is left open); rows with a null id stay. Ties in ids are thus settled
+by texts; an empty table gives an empty result; texts are whole, however long; other columns are not carried by classes()
+and kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -210,16 +214,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, broadcast_rows: int = 200_000, paired: int = PAIRED) -> DataFrame:
-    """One row per id: doc_id and class_id, the least id of its class.
+def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", each_text: bool = False, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS, broadcast_rows: int = 200_000, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, h: the text's MD5, n: how many), one for an id or (each_text) for an id and text, and the distinct texts: h,
+    first (the least id), and label, which texts of a class share.
 
-    Texts are read to sign them, and the texts of documents that meet in a bucket again to compare them. The ids of the
+    Texts are read to sign them, and the texts of documents that meet in a bucket again to compare them. The names of the
     latter are broadcast up to broadcast_rows of them (counted first) and joined by shuffle beyond."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).filter("doc_id IS NOT NULL")
+    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text")).filter("doc_id IS NOT NULL")
     signed = stored(plain.select("doc_id", F.md5("text").alias("h"), "text").mapInArrow(signer(bands, rows), "doc_id long, h string, bands array<long>"))
-    ids = cut(signed.groupBy("doc_id").agg(F.min("h").alias("h")))
-    reps = cut(ids.groupBy("h").agg(F.min("doc_id").alias("rep")))
-    own = signed.join(reps, (signed["h"] == reps["h"]) & (signed["doc_id"] == reps["rep"])).select("rep", "bands")
+    ids = cut(signed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")) if each_text else signed.groupBy("doc_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n")))
+    reps = ids.groupBy("h").agg(F.min("doc_id").alias("first"))
+    if each_text:  # a text whose least id has other texts too is named by its MD5, below all ids
+        several = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+        own = F.conv(F.substring("h", 1, 15), 16, 10).cast("long") - F.lit((1 << 63) - 1)
+        reps = reps.join(several.withColumnRenamed("doc_id", "first"), "first", "left").select("h", "first", F.when(F.col("texts").isNull(), F.col("first")).otherwise(own).alias("rep"))
+    else:
+        reps = reps.withColumn("rep", F.col("first"))
+    reps = cut(reps)
+    own = signed.join(reps.withColumnRenamed("first", "doc_id"), ["h", "doc_id"]).select("rep", "bands")
     spread = own.select("rep", F.posexplode("bands").alias("band", "key")).dropDuplicates(["rep", "band"])
     shared = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).filter("n > 1").drop("n")
     members = stored(spread.join(shared, ["band", "key"]))
@@ -232,10 +244,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         return members.filter("rep <> first").join(labels, members["rep"] == labels["node"], "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        few = wanted.count() <= broadcast_rows
-        texts = plain.withColumn("h", F.md5("text")).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-        texts = texts.join(F.broadcast(wanted.join(reps, wanted["doc_id"] == reps["rep"]).select("doc_id", "h")) if few else reps.select(F.col("rep").alias("doc_id"), "h"), ["doc_id", "h"], "left_semi")
-        return stored(texts.select("doc_id", "text").mapInArrow(shingle_sets, "doc_id long, s binary")).dropDuplicates(["doc_id"])
+        keys = wanted.withColumnRenamed("doc_id", "rep").join(reps, "rep").select(F.col("first").alias("doc_id"), "h", "rep")
+        texts = plain.withColumn("h", F.md5("text")).join(F.broadcast(keys) if wanted.count() <= broadcast_rows else keys, ["doc_id", "h"])
+        return stored(texts.select(F.col("rep").alias("doc_id"), "text").mapInArrow(shingle_sets, "doc_id long, s binary")).dropDuplicates(["doc_id"])
 
     def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
@@ -270,19 +281,32 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
                 for x in found:
                     links = x if links is None else links.union(x)
                 labels = components(links)
-    out = ids.join(reps, "h")
     if labels is None:
-        return out.select("doc_id", F.col("rep").alias("class_id"))
-    return out.join(labels, out["rep"] == labels["node"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without all but the least id of each class; one row of each id. Rows with a null id stay."""
-    found = cut(classes(docs, doc_id, text))
-    gone = cut(found.filter("doc_id <> class_id").select(F.col("doc_id").alias(free_name(docs, "gone"))))
-    name = gone.columns[0]
-    few = gone.count() <= broadcast_rows
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col(doc_id) == F.col(name), "left_anti")
-    if found.count() < docs.filter(F.col(doc_id).isNotNull()).count():
-        kept = kept.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.filter(F.col(doc_id).isNull()))
-    return kept
+        return ids, reps.select("h", "first", F.col("rep").alias("label"))
+    return ids, reps.join(labels, reps["rep"] == labels["node"], "left").select("h", "first", F.coalesce("label", "rep").alias("label"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row per id: doc_id and class_id, the least id of its class. options: those of text_classes()."""
+    ids, texts = text_classes(docs, doc_id, text, **options)
+    return ids.join(texts, "h").select("doc_id", F.col("label").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """docs with one row of each class, that of the least id. The rows that go are broadcast, by id and MD5, up to
+    broadcast_rows of them (counted first) and joined by shuffle beyond."""
+    ids, texts = text_classes(docs, doc_id, text, each_text=True, **options)
+    i, h = free_name(docs, "id"), free_name(docs, "md5")
+    stays = texts.groupBy("label").agg(F.min(F.struct("first", "h")).alias("k")).select(F.col("k.first").alias("doc_id"), F.col("k.h").alias("h"))
+    gone = cut(ids.join(stays, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias(i), F.col("h").alias(h)))
+    repeated = cut(ids.filter("n > 1").join(stays, ["doc_id", "h"], "left_semi").select(F.col("doc_id").alias(i), F.col("h").alias(h)))
+
+    def same(other: DataFrame) -> tuple:
+        few = other.count() <= broadcast_rows
+        return F.broadcast(other) if few else other, (F.col(f"`{doc_id}`").cast("long") == F.col(i)) & (F.md5(text_of(F.col(f"`{text}`"))) == F.col(h))
+
+    kept = docs.join(*same(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    others, some = kept.join(*same(repeated), "left_anti"), kept.join(*same(repeated))
+    return others.unionByName(some.dropDuplicates([i, h]).drop(i, h))

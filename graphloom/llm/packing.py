@@ -6,8 +6,10 @@ new one is opened; if the gap of the fullest would be more than `max_gap` tokens
 windows that stay open at the end of the tasks are merged, some tasks' worth at a time: their pieces are cut to fill
 windows exactly and the last window of a merge is cut into powers of two, so merging leaves no padding.
 
-Defined cases: null text counts as empty (one piece, the end id); null or repeated ids are packed row by row; an empty
-table gives an empty result; texts are whole; the vocabulary's added tokens count as such inside texts; of further columns none is carried. The finished windows' pieces and the
+Defined cases: null text counts as empty (one piece, the end id); null or repeated ids and repeated rows are packed row by
+row; among windows that fit equally well the oldest is filled; an empty table gives an empty result; texts are whole,
+however long; the vocabulary's added tokens count as such inside texts; of further columns none is carried, so their
+names clash with nothing. The finished windows' pieces and the
 open windows' ids are written to the shared folder before merging, so a lost executor cannot change what was packed.
 """
 

@@ -5,8 +5,9 @@ the host's failure rate towards the corpus with a beta prior fitted to all hosts
 a host whose shrunk rate passes `max_rate`. In a rejected host only documents without any failed rule are kept.
 
 Defined cases: null text counts as empty (it fails n_words < 10); a null host is a host of its own; documents are
-judged row by row, so repeated rows and repeated ids each get their own row; an empty table gives an empty result;
-further columns are carried by judge() and clash with nothing, since all new columns are made last.
+judged row by row, so repeated rows and repeated ids each get their own row; a host at max_rate exactly is kept; an empty
+table gives an empty result; texts are whole, however long; further columns are carried by judge(), but those named like
+one of its new columns (NEW) give way to it; reject() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, let, text_of, words_of
+from .common import cut, free_name, let, stored, text_of, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -25,6 +26,7 @@ SOFT_SYMBOL_PERCENT = 10
 SOFT_DUP_LINE_PERCENT = 30
 SOFT_WORD_CHARS = (2, 15)
 MAX_HOST_RATE = 0.5
+NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "soft_failed", "host_rate", "kept")
 
 
 def repeated_words(words: Column) -> Column:
@@ -77,7 +79,7 @@ def measures(text: Column) -> Column:
 
 def host_key(host: str) -> Column:
     """The host as a join key that is never null."""
-    return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`")), F.lit(""))
 
 
 def failed(m: str) -> tuple[Column, Column]:
@@ -117,7 +119,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
 
     One pass over the texts; what follows works on a row of numbers per document. The host table is aggregated with
     partial sums and joined by Spark's own choice, so one large host is split like any skewed join."""
-    rest = [c for c in docs.columns if c.lower() != text.lower()]
+    rest = [c for c in docs.columns if c.lower() != text.lower() and c.lower() not in NEW]
     carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
     rated = docs.select(*carried, host_key(host).alias("host"), measures(text_of(text)).alias("m"))
     base, soft = failed("m")
@@ -136,13 +138,14 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
 
 
 def reject(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE, broadcast_rows: int = 100_000) -> DataFrame:
-    """The kept rows of docs, with docs' columns. The first pass makes the host table, the second judges each row
-    again beside its text, so that no text is shuffled: rejected hosts are broadcast where they are at most
-    broadcast_rows, and joined by shuffle beyond."""
-    m, key = free_name(docs, "m"), free_name(docs, "host")
+    """The kept rows of docs, with docs' columns. Texts are measured once; rows are stored with what they
+    failed, so that no text is shuffled: rejected hosts are broadcast where they are at most broadcast_rows, and
+    joined by shuffle beyond."""
+    m, key, b, s = (free_name(docs, x) for x in ("m", "host", "base", "soft"))
     base, soft = failed(m)
-    rated = docs.withColumns({key: host_key(host), m: measures(text_of(text))})
-    rates = host_rates(rated.select(key, (base | soft).alias("bad_row")), key, F.col("bad_row"))
+    measured = docs.withColumns({key: host_key(host), m: measures(text_of(F.col(f"`{text}`")))}).withColumns({b: base, s: soft}).drop(m)
+    rated = stored(measured)
+    rates = host_rates(rated.select(key, (F.col(b) | F.col(s)).alias("bad_row")), key, F.col("bad_row"))
     rejected = cut(rates.filter(F.col("rate") > max_rate).select(F.col(key).alias(f"{key}_r")))
     few = rejected.count() <= broadcast_rows
-    return rated.filter(~base).join(F.broadcast(rejected) if few else rejected, soft & (F.col(key) == F.col(f"{key}_r")), "left_anti").select(*docs.columns)
+    return rated.filter(~F.col(b)).join(F.broadcast(rejected) if few else rejected, F.col(s) & (F.col(key) == F.col(f"{key}_r")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -126,25 +126,31 @@ def _op2_sql() -> str:
     s = secret_scan
     base = " UNION ALL ".join(_located(kind, k, p, g, least) for k, (kind, p, g, least) in enumerate(s.KINDS))
     alphabet = "CASE " + " ".join(f"WHEN regexp_matches(v, '{p}') THEN '{a}'" for _, p, a in s.ENCODINGS[:-1]) + f" ELSE '{s.ENCODINGS[-1][2]}' END"
-    q = s.TEXT_CHANGE_RATE
+    log2 = f"({s.GRID} / ln(2))"
+    tail = f"""CASE WHEN t / (n - 1) <= q THEN 0 ELSE least({s.MAX_BIN}, floor((n - 1) * (t / (n - 1) * ln(t / (n - 1) / q) + CASE WHEN t < n - 1 THEN (1 - t / (n - 1)) * ln((1 - t / (n - 1)) / (1 - q)) ELSE 0 END) * {log2})) END"""
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({base}),
 tok AS (SELECT *, regexp_replace(v, '=+$', '') AS body, {alphabet} AS a FROM ({_located("random", 3, s.TOKEN, 0, 20)})),
 code AS (SELECT *, CAST(length(body) AS DOUBLE) AS n, CAST(length(regexp_replace(body, '[0-9]+|[a-z]+|[A-Z]+|[^0-9A-Za-z]+', 'x', 'g')) - 1 AS DOUBLE) AS t, CAST(length(a) AS DOUBLE) AS m,
                 list_transform(string_split(body, ''), lambda c: CAST(instr(a, c) AS DOUBLE)) AS x, floor(log2(CAST(length(v) AS DOUBLE))) AS c FROM tok),
-bins AS (SELECT *, CASE WHEN n < 20 OR t / (n - 1) <= {q} THEN 0 ELSE least({s.MAX_BIN}, floor((n - 1) * (t / (n - 1) * ln(t / (n - 1) / {q}) + CASE WHEN t < n - 1 THEN (1 - t / (n - 1)) * ln((1 - t / (n - 1)) / (1 - {q})) ELSE 0 END) * ({s.GRID} / ln(2)))) END AS raw FROM code),
 stat AS (SELECT *, list_sum(list_transform(list_distinct(x), lambda y: power(len(list_filter(x, lambda z: z = y)), 2))) * m / n - n AS chi, 2.0 / (9.0 * (m - 1)) AS sp,
                 CAST(len(list_filter(x, lambda y: 2 * y <= m)) AS DOUBLE) AS low, list_sum(x) / n AS mean,
-                1.0 + len(list_filter(range(2, len(x) + 1), lambda i: (2 * x[i] <= m) <> (2 * x[i - 1] <= m))) AS runs FROM bins WHERE raw > 0),
-z AS (SELECT *, (power(chi / (m - 1), 1.0 / 3.0) - (1.0 - sp)) / sqrt(sp) AS zc,
+                1.0 + len(list_filter(range(2, len(x) + 1), lambda i: (2 * x[i] <= m) <> (2 * x[i - 1] <= m))) AS runs FROM code WHERE n >= 20),
+zs AS (SELECT *, (power(chi / (m - 1), 1.0 / 3.0) - (1.0 - sp)) / sqrt(sp) AS zc,
              CASE WHEN low > 0 AND low < n THEN (runs - 2.0 * low * (n - low) / n - 1.0) / sqrt(greatest(2.0 * low * (n - low) / n * (2.0 * low * (n - low) / n - 1.0) / (n - 1.0), 1e-9)) ELSE 99.0 END AS zr,
              CASE WHEN list_sum(list_transform(x, lambda y: (y - mean) * (y - mean))) > 0 THEN
-               list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - mean) * (x[i + 1] - mean))) / list_sum(list_transform(x, lambda y: (y - mean) * (y - mean))) * sqrt(n) ELSE 99.0 END AS zs FROM stat),
-hit AS (SELECT rid, s, e, c, raw AS b FROM z WHERE abs(zc) <= {s.MAX_Z} AND abs(zr) <= {s.MAX_Z} AND abs(zs) <= {s.MAX_Z}),
-cnt AS (SELECT c, count(*) AS m FROM tok0 GROUP BY c),
+               list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - mean) * (x[i + 1] - mean))) / list_sum(list_transform(x, lambda y: (y - mean) * (y - mean))) * sqrt(n) ELSE 99.0 END AS zl FROM stat),
+fact AS (SELECT rid, s, e, c, n, t, least({s.MAX_BIN}, floor(greatest(0.0, (power(greatest(abs(zc), abs(zr), abs(zl)), 2) / 2.0 - ln(6.0)) * {log2}))) AS z FROM zs
+         UNION ALL SELECT rid, s, e, c, n, t, {s.MAX_BIN} FROM code WHERE n < 20),
+cnt AS (SELECT c, count(*) AS m FROM fact GROUP BY c),
+bar AS (SELECT h.c, min(h.z) AS z FROM (SELECT c, z, sum(count(*)) OVER (PARTITION BY c ORDER BY z DESC) AS r FROM fact GROUP BY c, z) h JOIN cnt ON h.c = cnt.c
+        WHERE h.z > 0 AND power(2.0, -h.z / {float(s.GRID)}) <= {s.FDR_TEXT} * h.r / cnt.m GROUP BY h.c),
+sorted_ AS (SELECT fact.*, coalesce(fact.z >= bar.z, false) AS is_text FROM fact LEFT JOIN bar ON fact.c = bar.c),
+rates AS (SELECT c, round(greatest(least((coalesce(sum(t) FILTER (WHERE is_text), 0) + {s.TEXT_CHANGE_RATE * s.PRIOR}) / (coalesce(sum(n - 1) FILTER (WHERE is_text), 0) + {s.PRIOR}), {s.MOST_RATE}), {s.LEAST_RATE}), 6) AS q FROM sorted_ GROUP BY c),
+hit AS (SELECT rid, s, e, x.c, {tail} AS b FROM sorted_ x JOIN rates ON x.c = rates.c WHERE NOT is_text),
 bars AS (SELECT h.c, min(h.b) AS b FROM (SELECT c, b, sum(count(*)) OVER (PARTITION BY c ORDER BY b DESC) AS r FROM hit GROUP BY c, b) h JOIN cnt ON h.c = cnt.c
-         WHERE power(2.0, -h.b / {float(s.GRID)}) <= {s.FDR} * h.r / cnt.m GROUP BY h.c),
+         WHERE h.b > 0 AND power(2.0, -h.b / {float(s.GRID)}) <= {s.FDR} * h.r / cnt.m GROUP BY h.c),
 added AS (SELECT hit.rid, hit.s, hit.e, 3 AS k, 'random' AS kind FROM hit JOIN bars ON hit.c = bars.c AND hit.b >= bars.b
           WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.rid = hit.rid AND base.s < hit.e AND hit.s < base.e)),
 every AS (SELECT rid, s, e, k, kind FROM base UNION ALL SELECT * FROM added),
@@ -152,7 +158,7 @@ agg AS (SELECT rid, count(*) FILTER (WHERE k = 0) AS a0, count(*) FILTER (WHERE
                string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS x FROM every GROUP BY rid)
 SELECT doc_id, coalesce(a0, 0) AS n_assign, coalesce(a1, 0) AS n_access, coalesce(a2, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans
 FROM d LEFT JOIN agg ON d.rid = agg.rid
-""".replace("FROM tok0 GROUP", "FROM code GROUP")
+"""
 
 
 def _op8_sql() -> str:

@@ -109,6 +109,41 @@ def test_near_dups(spark, docs, empty):
     assert near_dups.classes(empty).count() == 0
 
 
+def test_keep_one_takes_rows(spark):
+    """Rows of one id with unlike texts are documents of their own; of each class the row of the least id stays."""
+    unlike = [" ".join(f"d{k}w{i}" for i in range(40)) for k in range(5)]
+    near = unlike[0].replace("d0w39", "other")
+    rows = [(1, unlike[0], "a"), (1, unlike[1], "b"), (1, unlike[1], "c"), (2, near, "d"), (3, unlike[2], "e"), (3, unlike[0], "f"), (4, unlike[3], "g"), (4, unlike[3], "h"), (None, unlike[0], "i"), (5, None, "j"), (6, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = near_dups.keep_one(docs)
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in got.collect())
+    assert got.columns == docs.columns
+    assert kept == sorted([(1, unlike[0]), (1, unlike[1]), (3, unlike[2]), (4, unlike[3]), (0, unlike[0]), (5, "")])
+
+
+CLASH = ["licenses", "n_windows", "spans", "kept", "host_rate", "copy", "mix_key", "lang_pred", "score", "h", "rep", "label", "Host", "c0", "a.b"]
+
+
+def test_clashing_names(spark, docs):
+    """Columns named like those the operators make, and ones with a dot."""
+    named = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASH)})
+    for made, new in ((secret_scan.scan(named), "spans"), (quality.judge(named), "kept"), (licenses.scan(named), "licenses"), (mixing.mix(named), "copy")):
+        assert made.columns.count(new) == 1 and "a.b" in made.columns and made.select(new).count() >= 0
+    for made in (secret_scan.redact(named), quality.reject(named), near_dups.keep_one(named)):
+        assert made.columns == named.columns and made.count() > 0
+    model = language.train(named)
+    assert language.predict(named, model).columns.count("score") == 1
+
+
+def test_many_matches(spark):
+    """A text with thousands of secrets, all found and redacted, and the same as two texts."""
+    one = "deadbeefdeadbeef0123 "
+    got = secret_scan.scan(spark.createDataFrame([(1, one * 20000), (1, one * 20000), (2, None)], "doc_id long, text string")).collect()
+    for r in got[:2]:
+        assert len(r.spans) == 20000 and [(x.s, x.e) for x in (r.spans[0], r.spans[255], r.spans[256], r.spans[-1])] == [(0, 20), (5355, 5375), (5376, 5396), (419979, 419999)]
+    assert secret_scan.redact(spark.createDataFrame([(1, "é" + one * 3000)], "doc_id long, text string")).first().text == "é" + "[SECRET] " * 3000
+
+
 def test_language(spark, docs, empty):
     rows = [(i, ("the of and that with " if i % 2 else "der die und nicht mit ") * 5, "en" if i % 2 else "de") for i in range(60)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
