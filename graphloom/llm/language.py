@@ -1,14 +1,16 @@
 """Operator 3, language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed n-grams (1 to 3 bytes of the lower-case UTF-8 text) in DIM slots. Document frequencies are counted over all training
-documents. A text's vector is its relative n-gram counts times inverse document frequencies. The weights are trained by
-follow-the-regularised-leader with elastic-net penalties on a sample of labelled documents bounded by `sample` per language;
-a part of the sample that training does not see sets the temperature of the softmax. Scoring reads whole texts and
-needs a table look-up per n-gram.
+Features are hashed n-grams (1 to 3 code points of the lower-case text) in DIM slots. Document frequencies are counted over
+all training documents. A text's vector is its relative n-gram counts times inverse document frequencies. The weights are
+trained by follow-the-regularised-leader with elastic-net penalties on a sample of labelled documents bounded by `sample`
+rows per language and `max_labels` languages (those of most documents, ties in alphabetical order); a part of the sample
+that training does not see sets the temperature of the softmax. Scoring reads whole texts and needs a table look-up per
+n-gram.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; if nothing could be learned, every text is;
-documents without a label teach nothing; rows are predicted one by one, so repeated rows get equal results; an empty
-table gives an empty result; ties go to the alphabetically first language; other columns are carried.
+documents without a label teach nothing; languages beyond max_labels are never predicted; rows are predicted one by one,
+so repeated rows get equal results; an empty table gives an empty result; ties go to the alphabetically first language;
+other columns are carried, but those named lang_pred or score give way to the result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import mixed
@@ -34,9 +36,9 @@ MAX_LABELS = 1000
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the n-grams of the texts one after another, and the bounds of each text's."""
-    raw = [t.lower().encode() for t in texts]
+    raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     lens = np.array([len(r) for r in raw], np.int64)
-    whole = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    whole = np.concatenate(raw).astype(np.uint64) if raw else np.zeros(0, np.uint64)
     ends = np.cumsum(lens)
     parts = []
     gram = np.zeros(len(whole), np.uint64)
@@ -44,8 +46,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         m = len(whole) - n + 1
         if m <= 0:
             break
-        gram = (gram[:m] << np.uint64(8)) | whole[n - 1 :]
-        parts.append((n, (mixed(gram + np.uint64(n << 40)) >> np.uint64(64 - BITS)).astype(np.int64)))
+        gram = (gram[:m] << np.uint64(21)) | whole[n - 1 :]  # a code point has 21 bits
+        parts.append((n, (mixed(gram ^ mixed(np.uint64([n]))) >> np.uint64(64 - BITS)).astype(np.int64)))
     slots, bounds = [], [0]
     for a, b in zip(ends - lens, ends, strict=True):
         own = [p[a : b - n + 1] for n, p in parts if n in ORDERS and b - n + 1 > a]
@@ -78,7 +80,7 @@ def ftrl(idf: np.ndarray, labels: list[str]):
     temperature."""
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("o")
+        table = table.sort_by([("o", "ascending"), ("lang", "ascending"), ("text", "ascending")])
         texts, y = table["text"].to_pylist(), np.array([labels.index(x) for x in table["lang"].to_pylist()])
         vectors = []
         for t in texts:
@@ -107,29 +109,27 @@ def ftrl(idf: np.ndarray, labels: list[str]):
     return fit
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, max_labels: int = MAX_LABELS) -> dict:
     """The model: labels, table (DIM x labels: idf times weight) and temperature. The driver gets DIM counts and DIM
-    rows of weights; one task trains on sample documents per language at most, the first by a hash of their ids."""
-    from pyspark.sql import Window
-
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.select(F.col(text)).mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    rows of weights; one task trains on sample rows per language at most, the first by a hash of their ids."""
+    known = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    counts = known.select("text").mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     total = next((r.n for r in counts if r.slot < 0), 0)
     idf = np.full(DIM, math.log(1 + total))
     for r in counts:
         if r.slot >= 0:
             idf[r.slot] = math.log((1 + total) / (1 + r.n))
-    labels = sorted(r[0] for r in known.select(lang).distinct().limit(MAX_LABELS).collect())
+    labels = sorted(r.lang for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect())
     if not labels:
         return {"labels": [], "table": np.zeros((DIM, 1), np.float32), "temperature": 1.0}
-    order = F.xxhash64(F.col(doc_id), F.lit(7))
-    ids = known.select(F.col(doc_id).alias("i"), F.col(lang).alias("lang"), order.alias("o")).distinct()
+    order = F.xxhash64("i", F.lit(7))
+    ids = known.select("i", "lang", order.alias("o")).filter(F.col("lang").isin(labels)).distinct()
     first = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "i"))).filter(F.col("k") <= sample)
-    bars = {r.lang: r.o for r in first.groupBy("lang").agg(F.max("o").alias("o")).collect()}
     within = F.lit(False)
-    for name, bar in bars.items():
-        within = within | ((F.col(lang) == name) & (order <= bar))
-    chosen = known.filter(within).select(F.col(text).alias("text"), F.col(lang).alias("lang"), order.alias("o"))
+    for name, bar in sorted((r.lang, r.o) for r in first.groupBy("lang").agg(F.max("o").alias("o")).collect()):
+        within = within | ((F.col("lang") == name) & (order <= bar))
+    rows_first = Window.partitionBy("lang").orderBy("o", F.md5("text"))  # an id may have many rows: only the first ones of a task leave it
+    chosen = known.filter(within).select("text", "lang", order.alias("o")).withColumn("k", F.row_number().over(rows_first)).filter(F.col("k") <= sample).drop("k")
     rows = chosen.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(ftrl(idf, labels), "slot long, w array<double>").collect()
     table, temperature = np.zeros((DIM, len(labels))), 1.0
     for r in rows:
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 names, scores = score(b.column(b.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*[f"c{i}" for i in range(len(rest))], "lang_pred", "score"])
 
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(text).alias("text"))
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(f"`{text}`").alias("text"))
     schema = StructType([*carried.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     out = carried.mapInArrow(body, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], "lang_pred", "score")

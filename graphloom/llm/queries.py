@@ -67,9 +67,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4  # null where the id is: not held out, and not learned from
+    held_out = F.coalesce(remainder == 2, F.lit(False))
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
-    model = language.train(docs.filter(F.coalesce(~F.col("held_out"), F.lit(False))))
+    model = language.train(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
     return language.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -1,7 +1,9 @@
 """Edge cases and plain versions of the other operators, and the pipeline."""
 
 import math
+import random
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graphloom.llm import language, licenses, mixing, near_dups, packing, quality, secret_scan, topk
-from graphloom.llm.queries import OP7_SQL, ORACLES, vocabulary
+from graphloom.llm.queries import OP7_SQL, ORACLES, QUERIES, vocabulary
 
 ROWS = [
     (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu", "en", "a", 9),
@@ -144,12 +146,89 @@ def test_many_matches(spark):
     assert secret_scan.redact(spark.createDataFrame([(1, "é" + one * 3000)], "doc_id long, text string")).first().text == "é" + "[SECRET] " * 3000
 
 
+def plain_model(rows):
+    """Scalar follow-the-regularised-leader on dictionaries of n-grams, over rows (id, text, lang) in training's order."""
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ (h >> 31)) * 0x7FB5D329728EA185) & mask
+        h = ((h ^ (h >> 27)) * 0x81DADEF4BC2DD44D) & mask
+        return h ^ (h >> 33)
+
+    def slots(text):
+        t = [ord(c) for c in text.lower()]
+        grams = [(n, t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+        return [mixed(sum(c << (21 * (n - 1 - k)) for k, c in enumerate(g)) ^ mixed(n)) >> (64 - language.BITS) for n, g in grams]
+
+    found = [Counter(slots(t)) for _, t, _ in rows]
+    df = Counter(s for c in found for s in c)
+    idf = lambda s: math.log((1 + len(rows)) / (1 + df[s]) if df[s] else 1 + len(rows))
+    labels = sorted({x for *_, x in rows})
+    vector = lambda c: {s: n / sum(c.values()) * idf(s) for s, n in c.items()}
+    z, g2 = {}, {}
+
+    def weight(s, k):
+        v = z.get((s, k), 0.0)
+        return 0.0 if abs(v) <= language.L1 else -(v - math.copysign(language.L1, v)) / ((language.BETA + math.sqrt(g2.get((s, k), 0.0))) / language.ALPHA + language.L2)
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    for _ in range(language.EPOCHS):
+        for i, (_, _, lang) in enumerate(rows):
+            if i % 5 == 4:
+                continue
+            x = vector(found[i])
+            w = {(s, k): weight(s, k) for s in x for k in range(len(labels))}
+            p = softmax([sum(v * w[s, k] for s, v in x.items()) for k in range(len(labels))])
+            for k, name in enumerate(labels):
+                for s, v in x.items():
+                    g = v * (p[k] - (name == lang))
+                    step = (math.sqrt(g2.get((s, k), 0.0) + g * g) - math.sqrt(g2.get((s, k), 0.0))) / language.ALPHA
+                    z[s, k] = z.get((s, k), 0.0) + g - step * w[s, k]
+                    g2[s, k] = g2.get((s, k), 0.0) + g * g
+    return labels, lambda text: [sum(v * weight(s, k) for s, v in vector(Counter(slots(text))).items()) for k in range(len(labels))], softmax
+
+
+def test_language_against_scalar(spark):
+    """Weights and probabilities against a plain trainer, also beyond ASCII."""
+    rng = random.Random(4)
+    words = {"en": ["the", "of", "and", "with"], "de": ["der", "über", "nicht", "für"], "ru": ["это", "что", "как", "не"], "ja": ["これ", "東京", "です"]}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(8)), x) for i in range(80) for x in [list(words)[i % 4]]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = [r.doc_id for r in frame.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("o")).orderBy("o").collect()]
+    labels, logits, softmax = plain_model([rows[i] for i in order])
+    model = language.train(frame)
+    texts = [t for _, t, _ in rows[:12]] + ["der und the", "東京 the", "ÄÖ"]
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert model["labels"] == labels
+    for r in got:
+        p = softmax([x / model["temperature"] for x in logits(texts[r.doc_id])])
+        assert r.lang_pred == labels[p.index(max(p))] and r.score == pytest.approx(max(p), abs=1e-4)
+
+
 def test_language(spark, docs, empty):
     rows = [(i, ("the of and that with " if i % 2 else "der die und nicht mit ") * 5, "en" if i % 2 else "de") for i in range(60)]
-    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    got = {r.doc_id: r for r in language.predict(spark.createDataFrame([(1, "with that of the"), (2, "und die nicht"), (3, None), (4, "12 !")], "doc_id long, text string"), model).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["en", "de", "und", "und"] and got[3].score == 0.0
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame)
+    got = {r.doc_id: r for r in language.predict(spark.createDataFrame([(1, "with that of the"), (2, "und die nicht"), (3, None), (4, "12 !"), (5, "und die nicht")], "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["en", "de", "und", "und"] and got[3].score == 0.0 and got[2].score == got[5].score
     assert language.predict(docs, language.train(empty)).filter("lang_pred <> 'und'").count() == 0
+    more = frame.union(frame.limit(1).selectExpr("doc_id", "text", "'zz'"))
+    assert language.train(more, max_labels=2)["labels"] == ["de", "en"]
+    same = frame.union(frame.withColumn("doc_id", F.lit(1).cast("long")))  # an id with many rows
+    assert language.train(same, sample=5)["labels"] == ["de", "en"]
+
+
+def test_language_query(spark):
+    """Held-out accuracy on the tables, and rows without an id."""
+    folder = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = QUERIES["op3_language"](spark, folder).collect()
+    assert len(got) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) > 0.95 * len(held)
 
 
 def nearest(rows, k=10):
