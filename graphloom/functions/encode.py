@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,3 +22,34 @@ def dense(text: Column, dim: int = 32) -> Column:
     counted = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
     scaled = lambda c: once(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.when(n > 0, F.transform(c, lambda x: F.round(x / n, 6))).otherwise(F.array().cast("array<double>")))
     return once(slots, lambda s: once(counted(s), scaled))
+
+
+@lru_cache(maxsize=1 << 18)
+def _slot(token: str, dim: int) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+
+
+def hashed(dim: int = 256) -> Callable[[Column], Column]:
+    """An encoder of texts: the L2-normalized counts of their tokens in dim hashed slots; an empty array where there is no
+    token. It takes the place of a model, and any function of a column to an array of double can take its place."""
+
+    @F.pandas_udf("array<double>")
+    def encode(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[float]:
+            slots = [_slot(t, dim) for t in re.findall("[a-z0-9_][a-z0-9_]+", (text or "").lower())]
+            counts = np.bincount(slots, minlength=dim).astype(float) if slots else np.zeros(0)
+            return (counts / np.sqrt((counts * counts).sum())).tolist() if slots else []
+
+        return texts.map(one)
+
+    return encode
+
+
+def sparse(text: Column) -> Column:
+    """Weights 1 + ln(count) by token, without the index's common words."""
+    from graphloom.operators.rank import STOP_WORDS
+
+    words = F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: ~t.isin(STOP_WORDS))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    runs = lambda w: F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("t"), (1 + F.log((F.size(w) - F.size(F.array_remove(w, t))).cast("double"))).alias("w")))
+    return F.map_from_entries(once(words, runs))

@@ -16,14 +16,14 @@ def _first(df: DataFrame, keys: list, seq: str) -> DataFrame:
     return df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(order).alias("r")).select("r.col2.*")
 
 
-def dedup_entities(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """Keeps the first row of each stripped (id, type, role) as it is; blank ids are left out."""
+def dedup_entities(df: DataFrame, seq: str = "seq", within: list[str] = []) -> DataFrame:  # noqa: B006
+    """Keeps the first row of each stripped (id, type, role) as it is, in each group of the columns within; blank ids are left out."""
     blank = lambda c: strip(F.coalesce(c, F.lit("")))
-    return _first(df.filter(F.length(blank("id")) > 0), [blank(c) for c in ("id", "entity_type", "entity_role")], seq)
+    return _first(df.filter(F.length(blank("id")) > 0), [*map(F.col, within), *[blank(c) for c in ("id", "entity_type", "entity_role")]], seq)
 
 
-def dedup_edges(df: DataFrame, seq: str = "seq") -> DataFrame:
-    return _first(df, [F.col(c) for c in ("source", "target", "rel_type")], seq)
+def dedup_edges(df: DataFrame, seq: str = "seq", within: list[str] = []) -> DataFrame:  # noqa: B006
+    return _first(df, [F.col(c) for c in (*within, "source", "target", "rel_type")], seq)
 
 
 def clean_entities(df: DataFrame) -> DataFrame:
@@ -64,8 +64,12 @@ def upsert_edges(old: DataFrame, new: DataFrame, entities: DataFrame) -> DataFra
 
 
 def expand(matched: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """One hop in both directions from the matched rows (id, entity_role, type, and more): the matched node is the source."""
-    both = edges.select("source", "target", "rel_type").union(edges.filter("source <> target").select("target", "source", "rel_type")).toDF("s", "t", "relationship")
+    """One hop in both directions from the matched rows (id, entity_role, type, and more): the matched node is the source.
+    Each edge is read once and given both its directions; it meets the matched rows, which are few, before the other ends."""
+    here = F.struct(F.col("source").alias("s"), F.col("target").alias("t"))
+    there = F.struct(F.col("target").alias("s"), F.col("source").alias("t"))
+    ways = F.when(F.col("source") == F.col("target"), F.array(here)).otherwise(F.array(here, there))
+    both = edges.select(F.explode(ways).alias("w"), F.col("rel_type").alias("relationship")).select("w.s", "w.t", "relationship")
     ends = entities.select(F.col("id").alias("t"), F.col("entity_role").alias("target_role"), F.element_at("labels", 1).alias("target_type"))
     return both.join(matched, both["s"] == matched["id"]).join(ends, "t").select(
         F.col("id").alias("source_id"), F.col("entity_role").alias("source_role"), F.element_at("labels", 1).alias("source_type"), "relationship",
@@ -123,10 +127,40 @@ def fuzzy_score(id_: Column, name: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.split(F.lower(id_), "[^\\p{L}\\p{N}_]+"), score)), F.lit(0.0))
 
 
-def fuzzy(entities: DataFrame, edges: DataFrame, names: list[str], excluded: list[str] = [], limit: int = 10, least: float = FUZZY_MIN) -> DataFrame:  # noqa: B006
-    """Triples around entities with a token near a name: at most limit per name by score, each triple once, limit in all."""
+def token_index(entities: DataFrame) -> DataFrame:
+    """token, length and id: each token of an id once. Stored by token, it is the full-text index that fuzzy() reads."""
+    tokens = F.array_distinct(F.array_remove(F.split(F.lower("id"), "[^\\p{L}\\p{N}_]+"), ""))
+    return entities.select("id", F.explode(tokens).alias("token")).select("token", F.length("token").alias("length"), "id")
+
+
+def near_tokens(tokens: DataFrame, name: str) -> DataFrame:
+    """id and score of the entities with a token near a name, by the token table: equal tokens and prefixes are ranges of it,
+    and one edit changes a length by one at most, so edit distances are computed for tokens of three lengths only."""
+    words = name.lower().split()
+    if not words:
+        return tokens.select("id", F.lit(0.0).alias("score")).filter("false")
+    last, rest = words[-1], words[:-1]
+    whole = F.col("token").startswith(last) | (F.col("token").isin(rest) if rest else F.lit(False))
+    close = F.col("length").between(len(last) - 1, len(last) + 1) & one_edit(F.col("token"), last)
+    score = F.when(whole, 1.0).when(close, 1.0 - 1.0 / len(last)).otherwise(0.0)
+    return tokens.select("id", score.alias("score")).groupBy("id").agg(F.max("score").alias("score"))
+
+
+def fuzzy(entities: DataFrame, edges: DataFrame, names: list[str], excluded: list[str] = [], limit: int = 10, least: float = FUZZY_MIN, tokens: DataFrame | None = None) -> DataFrame:  # noqa: B006
+    """Triples around entities with a token near a name: at most limit per name by score, each triple once, limit in all.
+    tokens: a stored token_index(), without which the ids' tokens are scanned."""
+    if tokens is not None and names:
+        found = None
+        for i, x in enumerate(names):
+            part = near_tokens(tokens, x).filter(F.col("score") >= least).withColumn("n", F.lit(i))
+            found = part if found is None else found.unionByName(part)
+        return _ranked_fuzzy(entities.join(found.select("id", "n", "score"), "id").select(*entities.columns, "n", "score"), entities, edges, excluded, limit)
     scores = F.array(*[F.struct(F.lit(i).alias("n"), fuzzy_score(F.col("id"), x).alias("score")) for i, x in enumerate(names)])
     hits = entities.select("*", F.explode(scores).alias("m")).select(*entities.columns, "m.n", "m.score").filter(F.col("score") >= least)
+    return _ranked_fuzzy(hits, entities, edges, excluded, limit)
+
+
+def _ranked_fuzzy(hits: DataFrame, entities: DataFrame, edges: DataFrame, excluded: list[str], limit: int) -> DataFrame:
     found = without(expand(hits, entities, edges), excluded).distinct()
     order = Window.partitionBy("n").orderBy(F.desc("score"), "source_id", "relationship", "target_id")
     top = found.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit)
@@ -138,8 +172,11 @@ def cascade(entities: DataFrame, edges: DataFrame, names: list[str], excluded: l
     """The first of exact, fuzzy and substring search that finds anything; later ones run only if needed."""
     if not names:
         return exact(entities, edges, ["\0"], [], 1).filter("false")
+    schema = None
     for search in (exact, fuzzy):
         found = search(entities, edges, names, excluded, limit).select(*TRIPLE)
-        if not found.isEmpty():
-            return found
+        schema = schema or found.schema
+        rows = found.collect()  # limit rows at most, asked for by the caller
+        if rows:
+            return entities.sparkSession.createDataFrame(rows, schema)
     return contains(entities, edges, names, excluded, limit)

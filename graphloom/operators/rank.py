@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,29 @@ def bm25(docs: DataFrame, query: str, k: int = 5, least: float = 0.0, doc_id: st
     for i in range(len(terms)):
         df, tf = s[f"df{i}"], F.col(f"tf{i}")
         score += F.log(F.lit(1 + (s["n"] - df + 0.5) / (df + 0.5))) * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(s["avgdl"] or 1.0)))
-    best = counted.select("doc_id", F.round(score, 6).alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
-    return best.filter(F.col("score") >= least)
+    return best(counted.select("doc_id", score.alias("score")), k).filter((F.col("score") > 0) & (F.col("score") >= least))
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The k highest scores, ties to smaller ids, rounded to 6 digits only when they have been ranked (by 12 digits, as sums
+    in another order may differ in the last ones). Filters come after, so that the expression of the score is not computed
+    once more below the sort."""
+    return scored.withColumn("score", F.round("score", 12)).orderBy(F.desc("score"), "doc_id").limit(k).withColumn("score", F.round("score", 6))
+
+
+def bm25_stored(index: dict, query: str, k: int = 5, least: float = 0.0) -> DataFrame:
+    """As bm25(), from a stored index (sources.index.load_lexical): of the postings only the slots of the query's terms
+    are read, and document frequencies are counted from these."""
+    from graphloom.sources.index import of_terms
+
+    terms = [t for t in dict.fromkeys(w.lower() for w in query.split()) if t not in STOP_WORDS]
+    rows = of_terms(index["postings"], terms)
+    found = {r.term: r.df for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row per term of the query
+    idf = F.lit(0.0)
+    for t, df in found.items():
+        idf = F.when(F.col("term") == t, F.lit(math.log(1 + (index["n_docs"] - df + 0.5) / (df + 0.5)))).otherwise(idf)
+    score = F.sum(idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index["avgdl"] or 1.0))))
+    return best(rows.groupBy("doc_id").agg(score.alias("score")), k).filter((F.col("score") > 0) & (F.col("score") >= least))
 
 
 def sparse_vectors(docs: DataFrame) -> DataFrame:
@@ -53,7 +76,7 @@ def sparse_search(docs: DataFrame, query: dict[str, float], k: int = 5) -> DataF
     """The k documents of the largest dot product with the query's weights."""
     weight = F.element_at(F.create_map(*[x for t, w in query.items() for x in (F.lit(t), F.lit(float(w)))]), F.col("term"))
     hits = sparse_vectors(docs).filter(F.col("term").isin(list(query)))
-    return hits.groupBy("doc_id").agg(F.round(F.sum(weight * F.col("weight")), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    return best(hits.groupBy("doc_id").agg(F.sum(weight * F.col("weight")).alias("score")), k)
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -67,17 +90,28 @@ def rrf(lists: list[DataFrame], k: int = 5, constant: float = 2.0, base: int = 0
     for i, one in enumerate(lists):
         part = ranked(one).select("doc_id", (F.lit((weights or [1.0] * len(lists))[i]) / (F.lit(constant) + F.col("rank") - 1 + base)).alias("s"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id").agg(F.round(F.sum("s"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+    return best(out.groupBy("doc_id").agg(F.sum("s").alias("score")), k)
+
 
+def strategy_of(name: str) -> Column:
+    """A lexical score as the strategy bm25 (as it is), log or sqrt has it."""
+    return {"log": F.log1p("score"), "sqrt": F.sqrt("score")}.get(name, F.col("score"))
 
-def adaptive_rrf(lexical: DataFrame, dense: DataFrame, k: int = 5, constant: float = 60.0, least: float = 0.0) -> DataFrame:
-    """Fusion whose constant grows with the longer list; with one list empty, the other's softmax."""
-    a, b = lexical.count(), dense.count()
-    if not a or not b:
-        one = dense if not a else lexical
-        return one.select("doc_id", F.round(normalized("softmax"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k).filter(F.col("score") >= least)
-    fused = rrf([lexical, dense], max(a + b, 1), constant * max(a, b) ** 0.5, 1, [0.5, 0.5])
-    return fused.filter(F.col("score") >= least).orderBy(F.desc("score"), "doc_id").limit(k)
+
+def adaptive_rrf(lexical: DataFrame, dense: DataFrame, k: int = 5, constant: float = 60.0, least: float = 0.0, strategy: str = "bm25") -> DataFrame:
+    """Fusion of two short lists whose constant grows with the longer one; with one list empty, the other's softmax. Scores
+    below `least` go before the k best are taken. The lists are numbered and put together in one pass, so each search
+    runs once."""
+    lists = [lexical.withColumn("score", strategy_of(strategy)), dense]
+    every = None
+    for i, one in enumerate(lists):
+        part = ranked(one).select(F.lit(i).alias("list"), "doc_id", "rank", normalized("softmax").alias("softmax"))
+        every = part if every is None else every.unionByName(part)
+    whole = Window.partitionBy(F.lit(0))
+    sizes = [F.count(F.when(F.col("list") == i, 1)).over(whole) for i in range(2)]
+    share = F.when(F.least(*sizes) == 0, F.col("softmax")).otherwise(0.5 / (F.lit(constant) * F.sqrt(F.greatest(*sizes)) + F.col("rank")))
+    fused = every.withColumn("s", share).groupBy("doc_id").agg(F.sum("s").alias("score"))
+    return best(fused.filter(F.col("score") >= least), k)
 
 
 def normalized(method: str, score: str = "score") -> Column:

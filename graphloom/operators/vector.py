@@ -30,23 +30,32 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-METRICS = {"cosine": (cosine, True), "dot": (dot, True), "euclid": (euclid, False)}
+def inverse(a: Column, b: Column) -> Column:
+    """A distance as a similarity: 1 / (1 + d)."""
+    return 1.0 / (1.0 + euclid(a, b))
 
 
-def search(points: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", threshold: float = 0.0, where: dict | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+METRICS = {"cosine": (cosine, True), "dot": (dot, True), "euclid": (euclid, False), "inverse": (inverse, True)}
+
+
+def search(points: DataFrame, query: list[float] | Column, k: int = 5, metric: str = "cosine", threshold: float = 0.0, where: dict | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """The k nearest points with their score; an unknown metric means cosine; a threshold of 0 means none. Filters and
     columns reach the scan, and the top k is taken per task before it is merged."""
     measure, rising = METRICS.get(metric, METRICS["cosine"])
     kept = reduce(lambda df, x: df.filter(F.col(x[0]) == x[1]), (where or {}).items(), points)
-    scored = kept.withColumn("score", F.round(measure(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 6))
-    if threshold > 0:
-        scored = scored.filter(F.col("score") >= threshold if rising else F.col("score") <= threshold)
-    return scored.orderBy(F.desc("score") if rising else F.asc("score"), key).limit(k)
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
-    """old with new's rows, which replace those of the same key."""
-    return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    y = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
+    best = kept.withColumn("score", F.round(measure(F.col(vector), y), 12)).orderBy(F.desc("score") if rising else F.asc("score"), key).limit(k)
+    if threshold > 0:  # the k best of those beyond the threshold are those of the k best that are beyond it
+        best = best.filter(F.col("score") >= threshold if rising else F.col("score") <= threshold)
+    return best.withColumn("score", F.round("score", 6))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "vec_id", seq: str | None = None) -> DataFrame:
+    """old with new's rows, which replace those of the same key. Of several new rows with a key the last by seq counts (by
+    their other columns in order, where there is no seq)."""
+    order = F.struct(*([F.col(seq)] if seq else []), *[F.col(c) for c in old.columns if c != key])
+    last = new.groupBy(key).agg(F.max_by(F.struct(*old.columns), order).alias("r")).select("r.*")
+    return old.join(last.select(key), key, "left_anti").select(*old.columns).unionByName(last)
 
 
 def delete_ids(points: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -18,10 +18,10 @@ def _joined(rows: DataFrame, order: list, line: Column, between: str, empty: str
 
 def graph_context(triples: DataFrame) -> DataFrame:
     line = F.concat(F.col("i").cast("string"), F.lit(". "), _end("source_id", "source_type", "source_role"), F.lit(" --["), F.col("relationship"), F.lit("]--> "), _end("target_id", "target_type", "target_role"))
-    return _joined(triples, ["source_id", "relationship", "target_id"], line, "\n", "No relevant graph information found.")
+    return _joined(triples, ["source_id", "relationship", "target_id"], line, "\n", "No graph relationships found.")
 
 
 def chunk_context(rows: DataFrame) -> DataFrame:
     """rows: doc_id, score, text."""
     line = F.concat(F.lit("[Chunk "), F.col("i").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")))
-    return _joined(rows, [F.desc("score"), "doc_id"], line, "\n\n", "No relevant text chunks found.")
+    return _joined(rows, [F.desc("score"), "doc_id"], line, "\n\n", "No relevant document chunks found.")

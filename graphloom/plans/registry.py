@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import encode, text
-from graphloom.operators import chunker, graph, rank, vector
-from graphloom.plans import context
+from graphloom.operators import chunker, extraction, graph, rank, vector
+from graphloom.plans import context, indexing, retrieval
+from graphloom.sources import index as indexes
 from graphloom.sources import snapshot, star
 
 QUERIES: dict = {}
@@ -124,9 +128,34 @@ def _(spark, d):
     return graph.fuzzy(ents(spark, d), star.edges(spark, d), ["NATON_1", "REGOIN_2"], limit=20)
 
 
-@query("graph_cascade", _search_sql("contains(lower(source_id), 'ation_1') OR contains(lower(source_role), 'ation_1')", limit=20))
+def _cascade_sql(names: list[str], limit: int) -> str:
+    """The three legs, each only where those before it find nothing."""
+    low = _low(names)
+    hit = " OR ".join(f"contains(lower({c}), '{n.lower()}')" for n in names for c in ("source_id", "source_role"))
+    fuzzy_part = _fuzzy_sql(names, limit)
+    head, tail = fuzzy_part.rsplit("\nSELECT source_id", 1)
+    fuzzy_rows = "SELECT source_id" + tail.replace(", score FROM o", " FROM o")
+    order = "ORDER BY source_id, relationship, target_id"
+    return f"""{head}, one AS (SELECT DISTINCT * FROM x WHERE lower(source_id) IN {low} OR lower(source_role) IN {low} {order} LIMIT {limit}),
+two_ AS ({fuzzy_rows}), three AS (SELECT DISTINCT * FROM x WHERE {hit} {order} LIMIT {limit})
+SELECT * FROM one UNION ALL SELECT * FROM two_ WHERE NOT EXISTS (SELECT 1 FROM one) UNION ALL SELECT * FROM three WHERE NOT EXISTS (SELECT 1 FROM one) AND NOT EXISTS (SELECT 1 FROM two_)"""
+
+
+for _name, _names in {"graph_cascade": ["ation_1"], "graph_cascade_exact": ["nation_3", "building"], "graph_cascade_fuzzy": ["NATON_1", "REGOIN_2"], "graph_cascade_contains": ["omer#00000000"]}.items():
+    query(_name, _cascade_sql(_names, 20))(lambda spark, d, names=_names: graph.cascade(ents(spark, d), star.edges(spark, d), names, limit=20))
+
+
+@query("token_index", f"{GRAPH} SELECT token, length(token) AS length, id FROM (SELECT DISTINCT id, unnest(string_split_regex(lower(id), '[^\\p{{L}}\\p{{N}}_]+')) AS token FROM entities) WHERE token <> ''")
 def _(spark, d):
-    return graph.cascade(ents(spark, d), star.edges(spark, d), ["ation_1"], limit=20)
+    return graph.token_index(ents(spark, d))
+
+
+@query("graph_fuzzy_indexed", _fuzzy_sql(["NATON_1", "REGOIN_2"], 20))
+def _(spark, d):
+    """Fuzzy search through the stored token table, sorted by token."""
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    graph.token_index(ents(spark, d)).repartitionByRange("token").sortWithinPartitions("token").write.parquet(path)
+    return graph.fuzzy(ents(spark, d), star.edges(spark, d), ["NATON_1", "REGOIN_2"], limit=20, tokens=spark.read.parquet(path))
 
 
 @query("viz_edges", f"{GRAPH} SELECT source, rel_type, target, a.entity_type AS source_type, b.entity_type AS target_type FROM edges JOIN entities a ON source = a.id JOIN entities b ON target = b.id ORDER BY source, rel_type, target LIMIT 100")
@@ -246,12 +275,13 @@ def _(spark, d):
     return parsed(payloads(spark, d), "relationships", ("source", "target", "relationship_type"))
 
 
-def _snapshot(spark, d) -> str:
-    import tempfile
-    import uuid
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir, or (tests, where driver and executors are one) a temporary folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
+
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    path = f"{folder}/snapshot-{uuid.uuid4().hex}"
+def _snapshot(spark, d) -> str:
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshot.backup(ents(spark, d), star.edges(spark, d), path)
     return path
 
@@ -277,11 +307,11 @@ def _nearest(spark, d, **options) -> DataFrame:
 
 
 DOUBLES = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT e AS y FROM v WHERE vec_id = 7)"
-MEASURES = {"cosine": "list_cosine_similarity(e, y)", "dot": "list_dot_product(e, y)", "euclid": "list_distance(e, y)"}
+MEASURES = {"cosine": "list_cosine_similarity(e, y)", "dot": "list_dot_product(e, y)", "euclid": "list_distance(e, y)", "inverse": "1 / (1 + list_distance(e, y))"}
 
 
 def _nearest_sql(metric: str, k: int, where: str = "true") -> str:
-    return f"WITH {DOUBLES}, s AS (SELECT vec_id, label, round({MEASURES[metric]}, 6) AS score FROM v, q) SELECT * FROM s WHERE {where} ORDER BY score {'' if metric == 'euclid' else 'DESC'}, vec_id LIMIT {k}"
+    return f"WITH {DOUBLES}, s AS (SELECT vec_id, label, round({MEASURES[metric]}, 12) AS score FROM v, q) SELECT vec_id, label, round(score, 6) AS score FROM s WHERE {where} ORDER BY s.score {'' if metric == 'euclid' else 'DESC'}, vec_id LIMIT {k}"
 
 
 for _metric in MEASURES:
@@ -297,6 +327,23 @@ def _(spark, d):
     return v.select("vec_id", F.round(F.aggregate(vector.l2_normalized(F.col("e")), F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(1.0 / (1.0 + vector.norm(F.col("e"))), 6).alias("similarity"))
 
 
+@query("point_upsert_repeated", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 7 ELSE label END AS label FROM embeddings")
+def _(spark, d):
+    """An id that comes several times among the new points: the last one counts."""
+    old = vectors(spark, d).select("vec_id", "label")
+    some = old.filter("vec_id % 10 = 0").select("vec_id", F.explode(F.array(F.lit(9), F.lit(8), F.lit(7))).alias("label")).withColumn("seq", -F.col("label"))
+    return vector.upsert(old, some, seq="seq")
+
+
+@query("vectors_stored", _nearest_sql("cosine", 20))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/dense-{uuid.uuid4().hex}"
+    indexes.save_vectors(vectors(spark, d), path)
+    index = indexes.load_vectors(spark, path)
+    one = index["points"].filter("vec_id = 7").select("embedding").first()
+    return vector.search(index["points"], list(one[0]), 20, index["metric"]).select("vec_id", "label", "score")
+
+
 @query("point_upsert", "SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 99 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, 99 FROM embeddings WHERE vec_id % 10 = 0")
 def _(spark, d):
     old = vectors(spark, d).select("vec_id", "label")
@@ -326,7 +373,7 @@ TERMS = f"{WORDS}, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id
 ASK = "thon erst oned ingly heouen"
 _ASKED = "(" + ", ".join(f"'{t}'" for t in ASK.split()) + ")"
 BM25 = f"""{TERMS}, c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w), f AS (SELECT term, count(*) AS df FROM p WHERE term IN {_ASKED} GROUP BY term),
-b AS (SELECT p.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len(w.w) / avgdl))), 6) AS score FROM p JOIN f ON p.term = f.term JOIN w ON p.doc_id = w.doc_id, c GROUP BY p.doc_id)"""
+b AS (SELECT p.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len(w.w) / avgdl))), 12) AS score FROM p JOIN f ON p.term = f.term JOIN w ON p.doc_id = w.doc_id, c GROUP BY p.doc_id)"""
 
 
 def docs(spark, d) -> DataFrame:
@@ -352,17 +399,30 @@ def _(spark, d):
     return rank.corpus_stats(docs(spark, d))
 
 
-@query("bm25_search", f"WITH {BM25} SELECT doc_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20")
+@query("bm25_search", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
 def _(spark, d):
     return lexical(spark, d, 20)
 
 
+@query("bm25_stored", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
+def _(spark, d):
+    """The postings written once, and a search that reads its terms' only."""
+    path = f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}"
+    indexes.save_lexical(docs(spark, d), path)
+    return rank.bm25_stored(indexes.load_lexical(spark, path), ASK, 20)
+
+
+@query("bm25_least", f"WITH {BM25} SELECT * FROM (SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 50) WHERE score >= 2.5")
+def _(spark, d):
+    return rank.bm25(docs(spark, d), ASK, 50, least=2.5)
+
+
 @query("sparse_encode", f"WITH {TERMS} SELECT doc_id, term, round(1 + ln(tf), 6) AS weight FROM p")
 def _(spark, d):
     return rank.sparse_vectors(docs(spark, d))
 
 
-@query("sparse_dot", f"WITH {TERMS} SELECT doc_id, round(sum(round(1 + ln(tf), 6) * CASE term WHEN 'thon' THEN 2.0 ELSE 1.0 END), 6) AS score FROM p WHERE term IN {_ASKED} GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20")
+@query("sparse_dot", f"WITH {TERMS} SELECT doc_id, round(x, 6) AS score FROM (SELECT doc_id, round(sum(round(1 + ln(tf), 6) * CASE term WHEN 'thon' THEN 2.0 ELSE 1.0 END), 12) AS x FROM p WHERE term IN {_ASKED} GROUP BY doc_id) ORDER BY x DESC, doc_id LIMIT 20")
 def _(spark, d):
     return rank.sparse_search(docs(spark, d), {t: 2.0 if t == "thon" else 1.0 for t in ASK.split()}, 20)
 
@@ -372,10 +432,10 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", encode.dense(F.col("text")).alias("vector"))
 
 
-LISTS = f"""WITH {BM25}, {DOUBLES}, s AS (SELECT vec_id AS doc_id, round({MEASURES['cosine']}, 6) AS score FROM v, q),
-la AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 40)),
-lb AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 40))"""
-RRF = ", r AS (SELECT doc_id, round(sum(s), 6) AS score FROM (SELECT doc_id, 1.0::DOUBLE / (2.0 + rank - 1) AS s FROM la UNION ALL SELECT doc_id, 1.0::DOUBLE / (2.0 + rank - 1) FROM lb) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20)"
+LISTS = f"""WITH {BM25}, {DOUBLES}, s AS (SELECT vec_id AS doc_id, round({MEASURES['cosine']}, 12) AS score FROM v, q),
+la AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 40)),
+lb AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 40))"""
+RRF = ", r AS (SELECT doc_id, round(x, 6) AS score FROM (SELECT doc_id, round(sum(s), 12) AS x FROM (SELECT doc_id, 1.0::DOUBLE / (2.0 + rank - 1) AS s FROM la UNION ALL SELECT doc_id, 1.0::DOUBLE / (2.0 + rank - 1) FROM lb) GROUP BY doc_id) ORDER BY x DESC, doc_id LIMIT 20)"
 
 
 @query("rrf_fuse", f"{LISTS}{RRF} SELECT * FROM r")
@@ -383,11 +443,28 @@ def hybrid(spark, d):
     return rank.rrf([lexical(spark, d, 40), semantic(spark, d, 40)], 20)
 
 
-@query("legacy_rrf", f"{LISTS}, kc AS (SELECT 60.0::DOUBLE * sqrt(greatest((SELECT count(*) FROM la), (SELECT count(*) FROM lb))) AS kc) SELECT doc_id, round(sum(0.5::DOUBLE / (kc + rank)), 6) AS score FROM (SELECT doc_id, rank FROM la UNION ALL SELECT doc_id, rank FROM lb), kc GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20")
+def _legacy_sql(least: float, k: int) -> str:
+    return f"""{LISTS}, kc AS (SELECT 60.0::DOUBLE * sqrt(greatest((SELECT count(*) FROM la), (SELECT count(*) FROM lb))) AS kc), g AS (SELECT doc_id, sum(0.5::DOUBLE / (kc + rank)) AS x FROM (SELECT doc_id, rank FROM la UNION ALL SELECT doc_id, rank FROM lb), kc GROUP BY doc_id)
+SELECT doc_id, round(x, 6) AS score FROM g WHERE x >= {least} ORDER BY round(x, 12) DESC, doc_id LIMIT {k}"""
+
+
+@query("legacy_rrf", _legacy_sql(0.0, 20))
 def _(spark, d):
     return rank.adaptive_rrf(lexical(spark, d, 40), semantic(spark, d, 40), 20)
 
 
+@query("legacy_rrf_log", _legacy_sql(0.0012, 50))
+def _(spark, d):
+    """With the log strategy, which keeps the order of scores, and a least score."""
+    return rank.adaptive_rrf(lexical(spark, d, 40), semantic(spark, d, 40), 50, least=0.0012, strategy="log")
+
+
+@query("legacy_one_list", f"""{LISTS}, a AS (SELECT doc_id, exp(sqrt(score) - (SELECT max(sqrt(score)) FROM la)) AS e FROM la) SELECT doc_id, round(e / (SELECT sum(e) FROM a), 6) AS score FROM a ORDER BY round(e / (SELECT sum(e) FROM a), 12) DESC, doc_id LIMIT 20""")
+def _(spark, d):
+    """Where dense search finds nothing: the softmax of the lexical scores' square roots."""
+    return rank.adaptive_rrf(lexical(spark, d, 40), semantic(spark, d, 40).filter("score > 2"), 20, strategy="sqrt")
+
+
 @query("score_normalize", f"""{LISTS}, a AS (SELECT min(score) AS lo, max(score) AS hi, avg(score) AS mu, stddev_pop(score) AS sd, sum(exp(score - (SELECT max(score) FROM la))) AS e FROM la)
 SELECT doc_id, round((score - lo) / (hi - lo), 6) AS minmax, round((score - mu) / sd, 6) AS zscore, round(exp(score - hi) / e, 6) AS softmax, round(ln(1 + score), 6) AS log, round(sqrt(score), 6) AS sqrt FROM la, a""")
 def _(spark, d):
@@ -396,8 +473,8 @@ def _(spark, d):
 
 @query("chunk_context", f"{LISTS}{RRF} SELECT string_agg('[Chunk ' || k || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS context FROM (SELECT r.doc_id, text, row_number() OVER (ORDER BY score DESC, r.doc_id) AS k FROM r JOIN documents d ON r.doc_id = d.doc_id ORDER BY k LIMIT 5)")
 def _(spark, d):
-    top = hybrid(spark, d).orderBy(F.desc("score"), "doc_id").limit(5)
-    return context.chunk_context(top.join(docs(spark, d).select("doc_id", "text"), "doc_id"))
+    found = hybrid(spark, d).join(docs(spark, d).select("doc_id", "text"), "doc_id")  # a vector may have no document
+    return context.chunk_context(found.orderBy(F.desc("score"), "doc_id").limit(5))
 
 
 _LINE = "k || '. ' || source_id || ' (Entity' || CASE WHEN source_role = '' THEN '' ELSE ', ' || source_role END || ') --[' || relationship || ']--> ' || target_id || ' (Entity' || CASE WHEN target_role = '' THEN '' ELSE ', ' || target_role END || ')'"
@@ -466,3 +543,167 @@ def _(spark, d):
 @query("chunk_export")
 def _(spark, d):
     return chunker.export(chunked(spark, d))
+
+
+_ALL = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_][a-z0-9_]+')"
+_SLOT = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT) % 256"
+DENSE = f"""ds AS (SELECT doc_id, slot, count(*) AS c FROM (SELECT doc_id, {_SLOT.format('t')} AS slot FROM (SELECT doc_id, unnest({_ALL.format('text')}) AS t FROM documents)) GROUP BY ALL),
+dn AS (SELECT doc_id, sqrt(CAST(sum(c * c) AS DOUBLE)) AS n FROM ds GROUP BY doc_id)"""
+
+
+@query("dense_encode_slots", f"WITH {DENSE} SELECT doc_id, CAST(slot AS INT) AS slot, round(c / n, 6) AS weight FROM ds JOIN dn USING (doc_id)")
+def _(spark, d):
+    found = docs(spark, d).select("doc_id", F.posexplode(encode.hashed()(F.col("text"))).alias("slot", "weight"))
+    return found.filter("weight > 0").select("doc_id", "slot", F.round("weight", 6).alias("weight"))
+
+
+def points(spark, d) -> DataFrame:
+    """The documents as points, one chunk each, written once."""
+    chunks = docs(spark, d).select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("chunk_id"), "doc_id", F.lit("paragraph").alias("chunk_type"), F.col("text").alias("content"))
+    path = f"{shared_folder(spark)}/points-{uuid.uuid4().hex}"
+    indexing.points_of(chunks).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _hybrid_sql(k: int) -> str:
+    q = " UNION ALL ".join(f"SELECT {_SLOT.format(repr(t))} AS slot" for t in ASK.split())
+    return f"""WITH {TERMS}, {DENSE}, qs AS (SELECT slot, count(*) AS c FROM ({q}) GROUP BY slot), qn AS (SELECT sqrt(CAST(sum(c * c) AS DOUBLE)) AS n FROM qs),
+dense AS (SELECT CAST(dn.doc_id AS VARCHAR) AS id, round(coalesce(sum(ds.c * qs.c) FILTER (WHERE qs.slot IS NOT NULL), 0) / (max(dn.n) * max(qn.n)), 12) AS score FROM dn JOIN ds USING (doc_id) LEFT JOIN qs ON ds.slot = qs.slot, qn GROUP BY dn.doc_id),
+sparse AS (SELECT CAST(doc_id AS VARCHAR) AS id, round(sum(1 + ln(CAST(tf AS DOUBLE))), 12) AS score FROM p WHERE term IN {_ASKED} GROUP BY doc_id),
+da AS (SELECT id, round(score, 6) AS score FROM (SELECT * FROM dense ORDER BY score DESC, id LIMIT {2 * k})), sa AS (SELECT id, round(score, 6) AS score FROM (SELECT * FROM sparse ORDER BY score DESC, id LIMIT {2 * k})),
+ranked AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM da UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM sa),
+fused AS (SELECT id, round(x, 6) AS score FROM (SELECT id, round(sum(1.0::DOUBLE / (1 + rank)), 12) AS x FROM ranked GROUP BY id) ORDER BY x DESC, id LIMIT {k}),
+semantic AS (SELECT id, round(score, 6) AS score FROM dense ORDER BY dense.score DESC, id LIMIT {k})"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("chunk_id", F.length("chunk_text").alias("n_chars"), "score", F.col("metadata")["doc_id"].alias("doc_id"), *[c for c in found.columns if c in ("total", "search_type")])
+
+
+_SHOWN = "id AS chunk_id, CAST(length(text) AS INT) AS n_chars, score, id AS doc_id"
+
+
+@query("hybrid_search", f"{_hybrid_sql(20)} SELECT {_SHOWN}, count(*) OVER () AS total, 'hybrid' AS search_type FROM fused f JOIN documents d ON f.id = CAST(d.doc_id AS VARCHAR)")
+def _(spark, d):
+    return _shown(retrieval.search(points(spark, d), ASK, 20))
+
+
+@query("hybrid_search_threshold", f"{_hybrid_sql(20)} SELECT {_SHOWN} FROM fused f JOIN documents d ON f.id = CAST(d.doc_id AS VARCHAR) WHERE score >= 0.05")
+def _(spark, d):
+    return _shown(retrieval.hybrid_search(points(spark, d), ASK, 20, 0.05))
+
+
+@query("semantic_search", f"{_hybrid_sql(20)} SELECT {_SHOWN}, count(*) OVER () AS total, 'semantic' AS search_type FROM semantic f JOIN documents d ON f.id = CAST(d.doc_id AS VARCHAR)")
+def _(spark, d):
+    return _shown(retrieval.search(points(spark, d), ASK, 20, search_type="semantic"))
+
+
+def _response_sql(found: str, graph_sql: str, kind: str, k: int = 5) -> str:
+    chunk = f"(SELECT string_agg('[Chunk ' || k || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY k) FROM (SELECT text, row_number() OVER (ORDER BY score DESC, f.id) AS k FROM {found} f JOIN documents d ON f.id = CAST(d.doc_id AS VARCHAR)))"
+    return f"{_hybrid_sql(k)}{graph_sql[0]} SELECT 'No answer generated.' AS answer, {graph_sql[1]} AS graph_context, {chunk} AS chunk_context, '{kind}' AS search_type"
+
+
+@query("response_semantic", _response_sql("semantic", ("", "'No graph context (Semantic Search mode).'"), "semantic"))
+def _(spark, d):
+    return retrieval.respond_semantic(points(spark, d), ASK)
+
+
+@query("response_hybrid", _response_sql("fused", ("", "'No graph context (Hybrid Search mode).'"), "hybrid"))
+def _(spark, d):
+    return retrieval.respond_hybrid(points(spark, d), ASK)
+
+
+_FOUND = f", {GRAPH[5:]}, {BOTH}, hit AS (SELECT DISTINCT * FROM x WHERE ({EXACT}){''.join(f' AND lower({c}) NOT IN {_low(EXCLUDED)}' for c in ('source_id', 'source_role', 'target_id', 'target_role'))} ORDER BY source_id, relationship, target_id LIMIT 10)"
+
+
+@query("response_full", _response_sql("fused", (_FOUND, f"(SELECT string_agg({_LINE}, chr(10) ORDER BY k) FROM (SELECT *, row_number() OVER (ORDER BY source_id, relationship, target_id) AS k FROM hit))"), "full"))
+def _(spark, d):
+    import json
+
+    told = json.dumps({"target_entities": TARGETS, "excluded_entities": EXCLUDED, "normalized_query": ASK})
+    return retrieval.respond(ents(spark, d), star.edges(spark, d), points(spark, d), "who lives where?", told)
+
+
+def extracted(spark, d) -> DataFrame:
+    """Documents as chunks with payloads about the customer of their number; every seventh is cut off, every eleventh lacks a list."""
+    c = star.table(spark, d, "customer").join(star.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    k, name, land = F.col("doc_id"), F.col("c_name"), F.col("n_name")
+    node = lambda i, t, r: F.struct(i.alias("id"), F.lit(t).alias("entity_type"), r.alias("entity_role"))
+    rel = lambda s, t, r: F.struct(s.alias("source"), t.alias("target"), F.lit(r).alias("relationship_type"))
+    nodes = F.array(node(F.concat(F.lit("- "), name), "customer", F.col("c_mktsegment")), node(F.concat(land, F.lit(" (land)")), "home country", F.lit(None).cast("string")))
+    rels = F.array(rel(name, land, "born in"), rel(name, F.lit("nobody"), "knows"), rel(name, name, "is"))
+    whole = F.to_json(F.struct(nodes.alias("nodes"), F.when(k % 11 != 0, rels).alias("relationships")))
+    payload = F.when(k % 7 == 0, F.left(whole, F.length(whole) - 5)).otherwise(whole)
+    rows = docs(spark, d).join(c, F.col("doc_id") == F.col("c_custkey"))
+    return rows.select(k.alias("seq"), F.when(k % 2 == 0, k).alias("chunk_id"), k.alias("doc_id"), F.lit("paragraph").alias("chunk_type"), F.col("text").alias("content"), payload.alias("payload"))
+
+
+def indexed(spark, d, clear: bool = False):
+    return indexing.index(extracted(spark, d), ents(spark, d), star.edges(spark, d), clear=clear)
+
+
+TOLD = """told AS (SELECT doc_id, c_name, n_name, c_mktsegment, text FROM documents JOIN customer ON doc_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND regexp_matches(text, '\\S')),
+nodes AS (SELECT doc_id, c_name AS id, 'customer' AS entity_type, c_mktsegment AS entity_role FROM told UNION ALL SELECT doc_id, n_name, 'home country', '' FROM told)"""
+
+
+@query("index_nodes", f"WITH {TOLD} SELECT DISTINCT doc_id // 5 AS batch, id, entity_type, entity_role FROM nodes")
+def _(spark, d):
+    return indexed(spark, d).nodes.select("batch", "id", "entity_type", "entity_role")
+
+
+@query("index_relationships", f"WITH {TOLD} SELECT doc_id // 5 AS batch, c_name AS source, n_name AS target, 'born in' AS rel_type FROM told UNION SELECT doc_id // 5, c_name, 'nobody', 'knows' FROM told UNION SELECT doc_id // 5, c_name, c_name, 'is' FROM told")
+def _(spark, d):
+    return indexed(spark, d).relationships.select("batch", "source", "target", "rel_type")
+
+
+INDEXED = f"""{GRAPH}, {TOLD}, labelled AS (SELECT id, entity_type, entity_role, doc_id AS seq, upper(replace(entity_type, ' ', '_')) AS label FROM nodes UNION ALL SELECT id, entity_type, entity_role, -1, upper(entity_type) FROM entities),
+after AS (SELECT id, arg_max(entity_type, seq) AS entity_type, arg_max(entity_role, seq) AS entity_role, 'Entity;' || string_agg(DISTINCT label, ';' ORDER BY label) AS labels FROM labelled GROUP BY id),
+born AS (SELECT DISTINCT c_name AS source, n_name AS target, 'BORN_IN' AS rel_type FROM told)"""
+
+
+@query("index_entities", f"{INDEXED} SELECT * FROM after")
+def _(spark, d):
+    return indexed(spark, d).entities.select("id", "entity_type", "entity_role", F.concat_ws(";", "labels").alias("labels"))
+
+
+@query("index_edges", f"{INDEXED} SELECT * FROM edges UNION SELECT * FROM born")
+def _(spark, d):
+    return indexed(spark, d).edges
+
+
+@query("index_points", f"WITH {TERMS}, {TOLD}, {DENSE} SELECT CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE sha256(doc_id || '|' || doc_id) END AS id, CAST(doc_id AS VARCHAR) AS doc_id, (SELECT count(*) FROM p WHERE p.doc_id = told.doc_id) AS n_terms, (SELECT count(*) FROM ds WHERE ds.doc_id = told.doc_id) AS n_slots FROM told WHERE doc_id IN (SELECT doc_id FROM dn)")
+def _(spark, d):
+    return indexed(spark, d).points.select("id", "doc_id", F.size("sparse").cast("long").alias("n_terms"), F.size(F.filter("dense", lambda x: x > 0)).cast("long").alias("n_slots"))
+
+
+_COUNTS = "(SELECT count(*) FROM told WHERE doc_id IN (SELECT doc_id FROM dn)) AS n_points"
+
+
+@query("index_counts", f"{INDEXED}, {DENSE} SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id // 5, id, entity_type, entity_role FROM nodes)) AS n_nodes, (SELECT count(*) FROM told) AS n_relationships, (SELECT count(*) FROM after) AS n_entities, (SELECT count(*) FROM (SELECT * FROM edges UNION SELECT * FROM born)) AS n_edges, {_COUNTS}")
+def _(spark, d):
+    return indexed(spark, d).counts()
+
+
+@query("index_cleared", f"WITH {TOLD}, {DENSE} SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id // 5, id, entity_type, entity_role FROM nodes)) AS n_nodes, (SELECT count(*) FROM told) AS n_relationships, (SELECT count(DISTINCT id) FROM nodes) AS n_entities, (SELECT count(*) FROM told) AS n_edges, {_COUNTS}")
+def _(spark, d):
+    """From an empty graph: only what the chunks tell is there."""
+    return indexed(spark, d, clear=True).counts()
+
+
+@query("collection_lifecycle", f"WITH {DENSE}, n AS (SELECT count(*) AS n FROM dn) SELECT * FROM (VALUES ('created', 0, true), ('cleared', 0, true), ('dropped', 0, false)) t(step, points_count, there) UNION ALL SELECT 'filled', n, true FROM n UNION ALL SELECT 'filled again', n, true FROM n")
+def _(spark, d):
+    """A collection made, filled, filled again with the same points, cleared and dropped: its points after each step."""
+    name, found, rows = f"chunks_{uuid.uuid4().hex}", points(spark, d), []
+    told = lambda step: rows.append((step, (indexes.info(spark, name) or {"points_count": 0})["points_count"], indexes.exists(spark, name)))
+    indexes.ensure(spark, name, 256)
+    indexes.create(spark, name, 256)
+    told("created")
+    for step in ("filled", "filled again"):
+        indexes.put(spark, name, found, "seq")
+        told(step)
+    indexes.clear(spark, name)
+    told("cleared")
+    indexes.drop(spark, name)
+    told("dropped")
+    return spark.createDataFrame(rows, "step string, points_count long, there boolean")
