@@ -5,8 +5,8 @@ index (the integer matrix) and, per term (component), its maximum and minimum, s
 of q * max and q * min bounds the score of every row in it. Queries are dealt to groups. First the bounds alone are
 computed, and each query is scored in the SEEDS blocks of the highest bounds, which gives it a k-th score to begin with.
 Only blocks whose bound reaches that of some query of a group are then sent to the group. In a task, a group meets a
-range of its blocks: per query they are taken in the order of their bounds and scored through their forward indexes
-until the bound falls below the query's k-th score (ties go on, as a smaller id may win). Ranges' results are merged by
+range of its blocks: per query they are taken in the order of their bounds (1, 2, 4, ... at a time) and scored through their
+forward indexes until the bound falls below the query's k-th score (ties go on, as a smaller id may win). Ranges' results are merged by
 rank. So vectors are shuffled once to make the blocks, and then in proportion to the pairs of block and group that survive.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; every
@@ -46,10 +46,11 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> Da
     return named.filter(fine).select("vec_id", F.transform(v, whole).alias("v")).distinct()
 
 
-def matrix(rows: list, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of arrays of long as a matrix, shorter ones filled up with zeros."""
+    flat, n = column.combine_chunks(), np.array(column.combine_chunks().value_lengths(), np.int64)
+    out = np.zeros((len(n), int(n.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < n[:, None]] = flat.flatten().to_numpy()
     return out
 
 
@@ -68,15 +69,14 @@ def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def shorter(x: np.ndarray) -> np.ndarray:
-    """As longs, what is beyond them at their ends."""
+    """Numbers in a row as longs, what is beyond them at their ends."""
     return np.array([max(-MOST, min(MOST, int(v))) for v in x], np.int64) if x.dtype == object else x
 
 
 def index_block(table: pa.Table) -> pa.Table:
     """A block's candidates to one row: its ids and forward index by id, and its maxima and minima."""
     table = table.sort_by("vec_id")
-    rows = table["v"].to_pylist()
-    m = matrix(rows, max(map(len, rows)))
+    m = matrix(table["v"])
     return pa.table({"block": table["block"][:1], "ids": [table["vec_id"].to_numpy().tobytes()], "m": [m.tobytes()], "high": [m.max(axis=0).tolist()], "low": [m.min(axis=0).tolist()]})
 
 
@@ -88,12 +88,16 @@ def met(left: DataFrame, right: DataFrame, names: tuple[str, str], body, schema:
     return left.groupBy(*names).cogroup(right.toDF(*right.columns).groupBy(*names)).applyInArrow(body, schema)
 
 
-def sides(queries: pa.Table, blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The queries' matrix and their bounds for blocks (the one of which no maximum is positive is filled up by zero)."""
-    qv, high, low = queries["v"].to_pylist(), blocks["high"].to_pylist(), blocks["low"].to_pylist()
-    width = max(map(len, [*qv, *high]))
-    q = matrix(qv, width)
-    return q, bounds(q, matrix(high, width), matrix(low, width)), np.array([x is None for x in queries["kth"].to_pylist()])
+def wide(m: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, width - m.shape[1])))
+
+
+def sides(queries: pa.Table, blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The queries' matrix, their bounds for blocks, their k-th scores so far, and which have none."""
+    q, high, low = matrix(queries["v"]), matrix(blocks["high"]), matrix(blocks["low"])
+    width = max(q.shape[1], high.shape[1])
+    q, kth = wide(q, width), queries["kth"].combine_chunks()
+    return q, bounds(q, wide(high, width), wide(low, width)), np.array(kth.fill_null(0), np.int64), np.array(kth.is_null())
 
 
 def best_blocks(seeds: int):
@@ -103,7 +107,7 @@ def best_blocks(seeds: int):
         if not len(queries) or not len(blocks):
             return pa.table({"g": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "bound": pa.array([], pa.int64())})
         blocks = blocks.sort_by("block")
-        _, bound, _ = sides(queries, blocks)
+        _, bound, _, _ = sides(queries, blocks)
         top = np.argsort(-bound, axis=1, kind="stable")[:, :seeds]
         names = blocks["block"].to_numpy()
         n = top.shape[1]
@@ -116,8 +120,7 @@ def surviving(queries: pa.Table, blocks: pa.Table) -> pa.Table:
     """A group of queries and a chunk of bounds to the blocks that some query of the group has to see."""
     if not len(queries) or not len(blocks):
         return pa.table({"g": pa.array([], pa.int64()), "block": pa.array([], pa.int64())})
-    _, bound, fresh = sides(queries, blocks)
-    kth = np.array([0 if x is None else x for x in queries["kth"].to_pylist()])
+    _, bound, kth, fresh = sides(queries, blocks)
     see = (fresh[:, None] | (bound >= kth[:, None])).astype(bool).any(axis=0)
     names = blocks["block"].to_numpy()[see]
     return pa.table({"g": np.full(len(names), queries["g"][0].as_py()), "block": names})
@@ -129,25 +132,33 @@ def search_blocks(k: int):
     def search(queries: pa.Table, blocks: pa.Table) -> pa.Table:
         if not len(queries) or not len(blocks):
             return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        q, bound, fresh = sides(queries, blocks)
+        q, bound, kth, fresh = sides(queries, blocks)
         ids = [np.frombuffer(x, np.int64) for x in blocks["ids"].to_pylist()]
         m = [np.frombuffer(x, np.int64).reshape(len(i), -1) for x, i in zip(blocks["m"].to_pylist(), ids, strict=True)]
-        kth = np.array([0 if x is None else x for x in queries["kth"].to_pylist()])
-        out: list[list] = [[], [], []]
+        qid = queries["query_id"].to_numpy()
         order = np.argsort(-bound, axis=1, kind="stable")
-        for i, query in enumerate(queries["query_id"].to_pylist()):
-            score, name = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for b in order[i]:
-                least = score[-1] if len(score) == k else None
-                if (not fresh[i] and bound[i, b] < kth[i]) or (least is not None and bound[i, b] < least):
-                    break  # later blocks have lower bounds still
-                other = ids[b] != query
-                s, n = np.append(score, shorter(dot(q[i : i + 1], m[b])[0])[other]), np.append(name, ids[b][other])
-                top = np.lexsort((n, -s))[:k]
-                score, name = s[top], n[top]
-            for c, x in zip(out, ([query] * len(name), name.tolist(), score.tolist()), strict=True):
-                c += x
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+        who, score, name = (np.zeros(0, np.int64) for _ in range(3))  # the best so far, by query
+        at, step = 0, 1
+        while at < len(ids):  # each query's next blocks in its own order: 1, 2, 4, ...
+            i, j = np.repeat(np.arange(len(q)), min(step, len(ids) - at)), order[:, at : at + step].ravel()
+            live = (fresh[i] | (bound[i, j] >= kth[i])).astype(bool)
+            if not live.any():
+                break  # later blocks have lower bounds still
+            i, j = i[live], j[live]
+            found = [(who, score, name)]
+            for b in np.unique(j):
+                own = i[j == b]
+                s = shorter(dot(q[own], m[b]).ravel()).reshape(len(own), -1)
+                x, y = np.nonzero((qid[own][:, None] != ids[b]) & (fresh[own][:, None] | (s >= kth[own][:, None])))
+                found.append((own[x], s[x, y], ids[b][y]))
+            who, score, name = (np.concatenate(c) for c in zip(*found, strict=True))
+            top = np.lexsort((name, -score, who))
+            place = np.arange(len(top)) - np.searchsorted(who[top], who[top])
+            top, place = top[place < k], place[place < k]
+            who, score, name = who[top], score[top], name[top]
+            kth[who[place == k - 1]], fresh[who[place == k - 1]] = score[place == k - 1], False
+            at, step = at + step, 2 * step
+        return pa.table({"query_id": qid[who], "vec_id": name, "score": score})
 
     return search
 
