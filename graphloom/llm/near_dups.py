@@ -223,6 +223,7 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ea
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text")).filter("doc_id IS NOT NULL")
     signed = stored(plain.select("doc_id", F.md5("text").alias("h"), "text").mapInArrow(signer(bands, rows), "doc_id long, h string, bands array<long>"))
     ids = cut(signed.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")) if each_text else signed.groupBy("doc_id").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n")))
+    repeated = not ids.filter("n > 1").isEmpty()
     reps = ids.groupBy("h").agg(F.min("doc_id").alias("first"))
     if each_text:  # a text whose least id has other texts too is named by its MD5, below all ids
         several = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
@@ -246,7 +247,8 @@ def text_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ea
     def sets_of(wanted: DataFrame) -> DataFrame:
         keys = wanted.withColumnRenamed("doc_id", "rep").join(reps, "rep").select(F.col("first").alias("doc_id"), "h", "rep")
         texts = plain.withColumn("h", F.md5("text")).join(F.broadcast(keys) if wanted.count() <= broadcast_rows else keys, ["doc_id", "h"])
-        return stored(texts.select(F.col("rep").alias("doc_id"), "text").mapInArrow(shingle_sets, "doc_id long, s binary")).dropDuplicates(["doc_id"])
+        sets = texts.select(F.col("rep").alias("doc_id"), "text").mapInArrow(shingle_sets, "doc_id long, s binary")
+        return stored(sets.dropDuplicates(["doc_id"]) if repeated else sets)  # joined as they are stored, so that a centre with many pairs can be split
 
     def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
