@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,9 +123,36 @@ def levelled(found: DataFrame) -> DataFrame:
     return row.join(stacks, ["doc_id", "e"], "left")
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", content: str = "content", size: int = 2048) -> DataFrame:
+def words(text: Column) -> Column:
+    """How many words a text has: the token count where no vocabulary is given."""
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+
+
+def tokens_by(path: str) -> Callable[[Column], Column]:
+    """Token counts by a vocabulary in the tokenizers library's format, whose file every executor finds at path."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        counted = counter_of(path)
+        return texts.map(lambda t: None if t is None else counted(t))
+
+    return count
+
+
+@lru_cache(maxsize=4)
+def counter_of(path: str | None) -> Callable[[str], int]:
+    """The same counts as a function of a text, on an executor."""
+    if path is None:
+        return lambda t: len(t.split())
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+def chunks(docs: DataFrame, doc_id: str = "doc_id", content: str = "content", size: int = 2048, count: Callable[[Column], Column] = words) -> DataFrame:
     """The chunks of documents: doc_id, chunk (from 0), chunk_type, level, hierarchy, content (null for headers), heading_text,
-    special_section, element_count, contains_table, tokens, is_oversized."""
+    special_section, element_count, contains_table, tokens (by count), is_oversized."""
     e = levelled(elements(lines(docs, doc_id, content)))
     by = Window.partitionBy("doc_id").orderBy("e")
     edge = F.col("kind").isin("heading", "special")
@@ -151,7 +182,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", content: str = "content", si
     )
     both = heads.unionByName(rows)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("b", "o")) - 1
-    tokens = F.coalesce(F.regexp_count("content", F.lit(r"(?U)\S+")), F.lit(0))
+    tokens = F.coalesce(count(F.col("content")), F.lit(0))
     return both.withColumn("chunk", place).withColumn("tokens", tokens).withColumn("is_oversized", F.col("tokens") > size).drop("b", "o")
 
 
@@ -161,45 +192,79 @@ def structure_tree(found: DataFrame) -> DataFrame:
     return found.select("doc_id", prefixes.alias("path")).groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+def structure_summary(found: DataFrame) -> DataFrame:
+    """Per document its chunks, those that are oversized, and the depth of its sections."""
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if("is_oversized").alias("n_oversized"), F.max(F.size("hierarchy")).alias("max_depth"))
+
+
+#: Where texts are cut, from the coarsest mark to the finest.
 SEPARATORS = ["\n\n", "\n", ". ", "!", "?", ",", " ", ""]
 
 
-def split_text(text: str, size: int, separators: list[str] = SEPARATORS) -> list[str]:
-    """Pieces of at most size words, cut at the first separator that occurs and at finer ones where pieces stay larger."""
-    count = lambda t: len(t.split())
+def split_text(text: str, size: int, overlap: int = 0, count: Callable[[str], int] | None = None, separators: list[str] = SEPARATORS) -> list[str]:
+    """Pieces of at most size tokens, cut before the first separator that occurs, and at finer ones where parts stay as
+    large; a piece begins with up to overlap tokens of parts that end the one before. A piece's tokens are the sum of its
+    parts', each counted once. Pieces are stripped, blank ones left out."""
+    count = count or counter_of(None)
     if count(text) <= size:
         return [text.strip()] if text.strip() else []
-    mark = next((s for s in separators if s == "" or s in text))
+    mark = next((s for s in separators if not s or s in text), "")
     finer = separators[separators.index(mark) + 1 :]
-    if mark:
-        raw = text.split(mark)
-        parts = [raw[0], *[mark + p for p in raw[1:]]]
-    else:
-        parts = list(text)
-    out, held = [], ""
-    for p in parts:
-        if held and count(held + p) > size:
-            out.append(held)
-            held = ""
-        held += p
-    out.append(held)
-    return [y for x in out for y in (split_text(x, size, finer) if finer and count(x) > size else [x.strip()]) if y]
-
-
-def split_oversized(found: DataFrame, size: int = 2048) -> DataFrame:
-    """Chunks with each oversized one replaced by its pieces: sub (from 0), level + 1, type recursive_split, parent."""
-
-
-    @F.pandas_udf("array<string>")
+    first, *rest = text.split(mark) if mark else [*text] or [""]
+    parts = [p for p in (first, *[mark + x for x in rest]) if p]
+    out: list[str] = []
+    held: deque[tuple[str, int]] = deque()
+    total = 0
+
+    def close() -> None:
+        out.append("".join(p for p, _ in held).strip())
+
+    for part in parts:
+        n = count(part)
+        if n > size and finer:
+            close()
+            held.clear()
+            total = 0
+            out += split_text(part, size, overlap, count, finer)
+            continue
+        if held and total + n > size:
+            close()
+            while held and (total > overlap or total + n > size):
+                total -= held.popleft()[1]
+        held.append((part, n))
+        total += n
+    close()
+    return [x for x in out if x]
+
+
+def split_oversized(found: DataFrame, size: int = 2048, overlap: int = 0, tokenizer: str | None = None) -> DataFrame:
+    """Chunks with each oversized one replaced by its pieces: sub (from 0), type recursive_split, level, parent (the section,
+    then the numbers of the pieces within one another). A piece that counts more tokens as a whole than its parts did is
+    split again, a level deeper, unless it does not come apart."""
+
+    @F.pandas_udf("array<struct<content:string,depth:int,chain:string>>")
     def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size))
+        count = counter_of(tokenizer)
+
+        def all_of(text: str, depth: int, chain: str) -> list[dict]:
+            got = []
+            for i, x in enumerate(split_text(text, size, overlap, count)):
+                if count(x) > size and x != text.strip():
+                    got += all_of(x, depth + 1, f"{chain}_{i}")
+                else:
+                    got.append({"content": x, "depth": depth, "chain": f"{chain}_{i}"})
+            return got
+
+        return texts.map(lambda t: all_of(t, 1, ""))
 
-    whole = found.filter("NOT is_oversized").select("doc_id", "chunk", F.lit(0).alias("sub"), "chunk_type", "level", "content", F.lit(None).cast("string").alias("parent"))
-    large = found.filter("is_oversized").select("doc_id", "chunk", "level", "hierarchy", F.posexplode(pieces("content")).alias("sub", "content"))
-    parent = F.concat(F.coalesce(F.try_element_at("hierarchy", F.lit(-1)), F.lit("root")), F.lit("_"), F.col("sub").cast("string"))
-    return whole.unionByName(large.select("doc_id", "chunk", "sub", F.lit("recursive_split").alias("chunk_type"), (F.col("level") + 1).alias("level"), "content", parent.alias("parent")))
+    whole = found.filter("NOT is_oversized").select("doc_id", "chunk", F.lit(0).alias("sub"), "chunk_type", "level", "hierarchy", "content", F.lit(None).cast("string").alias("parent"))
+    large = found.filter("is_oversized").select("doc_id", "chunk", "level", "hierarchy", F.posexplode(pieces("content")).alias("sub", "p"))
+    parent = F.concat(F.coalesce(F.try_element_at("hierarchy", F.lit(-1)), F.lit("root")), F.col("p.chain"))
+    return whole.unionByName(large.select("doc_id", "chunk", "sub", F.lit("recursive_split").alias("chunk_type"), (F.col("level") + F.col("p.depth")).alias("level"), "hierarchy", F.col("p.content").alias("content"), parent.alias("parent")))
 
 
 def export(found: DataFrame) -> DataFrame:
-    """Chunks as JSON rows."""
-    return found.select("doc_id", "chunk", F.to_json(F.struct(F.col("chunk").alias("chunk_id"), "level", F.col("chunk_type").alias("type"), "hierarchy", "is_oversized", "content")).alias("json"))
+    """Chunks as JSON rows: number, level, type, hierarchy, is_oversized, parent and content, and how many the document has."""
+    total = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    parent = F.col("parent") if "parent" in found.columns else F.lit(None).cast("string")
+    return found.select("doc_id", "chunk", F.to_json(F.struct(F.col("chunk").alias("chunk_id"), "level", "chunk_type", F.col("hierarchy").alias("section_hierarchy"), "is_oversized", parent.alias("parent_chunk_id"), "content"), {"ignoreNullFields": "false"}).alias("json"), total.alias("total_chunks"))

@@ -537,7 +537,12 @@ def _(spark, d):
 
 @query("recursive_split")
 def _(spark, d):
-    return chunker.split_oversized(chunked(spark, d), 120)
+    return chunker.split_oversized(chunked(spark, d), 120).drop("hierarchy")
+
+
+@query("structure_summary")
+def _(spark, d):
+    return chunker.structure_summary(chunked(spark, d))
 
 
 @query("chunk_export")

@@ -93,9 +93,16 @@ def test_rrf_is_symmetric(spark):
 
 
 def test_stream(spark, tmp_path):
-    rows = spark.createDataFrame([("A", "king", "x", 1), ("A", "queen", "y", 2), ("", "t", "", 3)], "id string, entity_type string, entity_role string, seq long")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "t" / "v=0")).collect()
-    assert [(r.id, r.entity_role, r.labels) for r in got] == [("A", "y", ["Entity", "KING", "QUEEN"])]
+    """Two batches: the second one changes one entity, adds one, and leaves the other buckets' files as they are."""
+    ddl = "id string, entity_type string, entity_role string, seq long"
+    first = spark.createDataFrame([("A", "king", "x", 1), ("A", "queen", "y", 2), ("", "t", "", 3), ("B", "king", "z", 4), ("D", "king", "z", 5)], ddl)
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: upsert_stream(spark.readStream.schema(first.schema).parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
+    stream()
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part-*")}
+    spark.createDataFrame([("A", "king", "w", 6), ("C", "pawn", None, 7)], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream()
+    got = {r.id: (r.entity_type, r.entity_role, r.labels) for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert got == {"A": ("king", "w", ["Entity", "KING", "QUEEN"]), "B": ("king", "z", ["Entity", "KING"]), "C": ("pawn", "", ["Entity", "PAWN"]), "D": ("king", "z", ["Entity", "KING"])}
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part-*")}
+    assert sum(after.get(p) == t for p, t in before.items()) == 2
