@@ -7,8 +7,8 @@ rerun gives the same copies. Documents are exploded by their counts and shuffled
 Defined cases: a null source is a source of its own; a source without a weight gets no copies; rows with the same id
 (repeated rows, or null ids) are seeded by id and text and so get equal counts if they are equal; null and empty texts
 count as rows, and texts are kept whole; equal mix keys (of repeated rows) may come in any order; an empty table gives
-an empty result; added columns are `copy` (from 0) and `mix_key`; other columns are carried, but those of these two names
-give way to them.
+an empty result; added columns are `copy` (from 0) and `mix_key`, for which other names can be given; other columns are
+carried, but those of these two names give way to them.
 """
 
 from __future__ import annotations
@@ -71,9 +71,9 @@ def source_key(source: str) -> Column:
 
 def mix(
     docs: DataFrame, weights: dict[str | None, float] | None = None, size: float | None = None, seed: int = 0,
-    doc_id: str = "doc_id", source: str = "source", text: str = "text", broadcast_rows: int = 10_000,
+    doc_id: str = "doc_id", source: str = "source", text: str = "text", broadcast_rows: int = 10_000, copy: str = "copy", mix_key: str = "mix_key",
 ) -> DataFrame:
-    """docs, each row as many times as drawn, in a global random order, with `copy` and `mix_key`.
+    """docs, each row as many times as drawn, in a global random order, with the columns copy and mix_key (or of other names).
 
     The rates of up to broadcast_rows sources are broadcast (their number is counted first), more are joined by
     shuffle. Texts are shuffled once, by ranges of the hashed key, which no source or document can make uneven."""
@@ -83,6 +83,8 @@ def mix(
     drawn = docs.withColumn(key, source_key(source)).join(F.broadcast(table) if few else table, key)
     seeds = [F.lit(seed), F.col(doc_id), F.when(F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text), F.lit(""))))]
     drawn = drawn.withColumn(n, F.when(F.col(rate) > 0, copies(F.col(rate), *seeds)).otherwise(0)).filter(F.col(n) > 0)
-    out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1))).withColumn("mix_key", F.md5(F.concat_ws("|", F.lit("order"), *[F.coalesce(x.cast("string"), F.lit("-")) for x in seeds], F.col("copy"))))
-    kept = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
-    return out.select(*[F.col(f"`{c}`") for c in kept], "copy", "mix_key").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (copy, mix_key)]
+    out = drawn.select(*kept, *[x.alias(f"{n}_{i}") for i, x in enumerate(seeds)], F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
+    seeds = [F.col(f"{n}_{i}") for i in range(len(seeds))]
+    order = F.md5(F.concat_ws("|", F.lit("order"), *[F.coalesce(x.cast("string"), F.lit("-")) for x in seeds], F.col(copy)))
+    return out.select(*kept, copy, order.alias(mix_key)).repartitionByRange(mix_key).sortWithinPartitions(mix_key)

@@ -381,3 +381,27 @@ def test_licenses_together(spark):
         db.register("documents", docs.toPandas())
         want = {r[0]: r[1:] for r in db.execute(ORACLES["op8_licenses"]).fetchall()}
     assert {r.doc_id: (",".join(r.licenses), r.n_windows, pytest.approx(r.containment)) for r in licenses.scan(docs).collect()} == want
+
+
+def test_pipeline_edge_cases(spark, docs, empty):
+    """Nulls, empty and very long texts, repeated rows and clashing columns through all stages, and an empty table."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    long, one, two = words(60000), words(50), words(40)
+    rows = [(1, long, "en", "a", 1), (2, one, None, None, None), (2, one, None, None, None), (2, two, "en", "a", 1), (3, one, "en", "a", 1), (4, None, "en", "a", 0), (5, "", "en", "a", 0), (None, words(30), "en", "b", 1), (6, words(20) + ' password = "hunter2hunter2xyz"', "en", "b", 1)]
+    table = spark.createDataFrame(rows, DDL).withColumns({c: F.lit(i) for i, c in enumerate(CLASH)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, table, "")
+        assert got.columns == table.columns, name
+        kept = sorted(((r.doc_id or 0), r.text) for r in got.collect())
+        if name == "quality_rules":
+            assert len(kept) == 7 and (1, long) in kept
+        if name == "near_dedup":
+            assert [i for i, _ in kept] == [0, 1, 2, 2, 6] and [(2, x) in kept for x in (one, two)] == [True, True]
+        if name == "secret_scans":
+            assert kept[-1][1].endswith(" [SECRET]\"") and len(kept) == 5
+        table = spark.createDataFrame(got.collect(), got.schema)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, table, "").collect()
+    assert sum(r.length for r in pieces if r.start == 0) > 0 and {r.doc_id for r in pieces} <= {None, 1, 2, 6}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
