@@ -1,11 +1,16 @@
-"""The corpus pipeline: five stages over `documents`, each a table of documents but the last, which is of packed pieces."""
+"""The corpus pipeline: five stages over `documents`, each a table of documents but the last, which is of packed pieces.
+
+Defined cases: a row is a document, also where its id is null or repeated. Null and empty texts fail the quality rules and
+go; of equal rows and of near copies near-dedup keeps one, that of the least id (rows with a null id all stay); a null
+source is a source of its own. Texts are whole in every stage, however long. Columns beyond those of documents are carried
+through all stages but the last, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import mixing, near_dups, packing, quality, secret_scan
-from graphloom.llm.common import documents, stored
+from graphloom.llm.common import documents, free_name, stored
 from graphloom.llm.queries import vocabulary
 
 
@@ -26,7 +31,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources get equal shares in the mean, in a global random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, copy=free_name(docs, "copy"), mix_key=free_name(docs, "mix_key")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
