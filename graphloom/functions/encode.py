@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -36,9 +37,9 @@ def hashed(dim: int = 256) -> Callable[[Column], Column]:
     @F.pandas_udf("array<double>")
     def encode(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[float]:
-            slots = [_slot(t, dim) for t in re.findall("[a-z0-9_][a-z0-9_]+", (text or "").lower())]
-            counts = np.bincount(slots, minlength=dim).astype(float) if slots else np.zeros(0)
-            return (counts / np.sqrt((counts * counts).sum())).tolist() if slots else []
+            found = Counter(re.findall("[a-z0-9_][a-z0-9_]+", (text or "").lower()))
+            counts = np.bincount([_slot(t, dim) for t in found], list(found.values()), dim) if found else np.zeros(0)
+            return (counts / np.sqrt((counts * counts).sum())).tolist() if found else []
 
         return texts.map(one)
 
@@ -49,7 +50,14 @@ def sparse(text: Column) -> Column:
     """Weights 1 + ln(count) by token, without the index's common words."""
     from graphloom.operators.rank import STOP_WORDS
 
-    words = F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: ~t.isin(STOP_WORDS))
-    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    runs = lambda w: F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("t"), (1 + F.log((F.size(w) - F.size(F.array_remove(w, t))).cast("double"))).alias("w")))
-    return F.map_from_entries(once(words, runs))
+    words = F.array_sort(F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: ~t.isin(STOP_WORDS)))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  body's value is computed once
+    none = F.array().cast("array<struct<t:string,w:double>>")
+
+    def weights(w: Column) -> Column:
+        """Equal tokens stand together: each one's count is how far its first place is from the next one's."""
+        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        each = lambda at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("t"), (1 + F.log((F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("double"))).alias("w")))
+        return F.when(F.size(w) > 0, once(first, each)).otherwise(none)
+
+    return F.map_from_entries(once(words, weights))
