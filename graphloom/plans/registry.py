@@ -508,12 +508,13 @@ def structured(spark, d) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("content"))
 
 
-LINES_SQL = r"""WITH l AS (SELECT doc_id, i, x[i + 1] AS line FROM (SELECT doc_id, x, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+LINES = r"""WITH l AS (SELECT doc_id, i, x[i + 1] AS line FROM (SELECT doc_id, x, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
 m AS (SELECT doc_id, i, CASE i % 14 WHEN 10 THEN 'Appendix B' WHEN 11 THEN '' WHEN 4 THEN '| a | ' || replace(replace(line, '#', ''), '|', '') || ' |'
-  WHEN 0 THEN '# ' || line WHEN 2 THEN '1. ' || line WHEN 6 THEN 'A) ' || line WHEN 7 THEN 'II. ' || line WHEN 9 THEN '1.2. ' || line WHEN 12 THEN '## ' || line WHEN 13 THEN 'b) ' || line ELSE line END AS line FROM l)
-SELECT doc_id, CAST(i AS INT) AS i, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '(?i)^(appendix(\s+[a-z0-9]+)?|notes?|references?)$') THEN 'special'
+  WHEN 0 THEN '# ' || line WHEN 2 THEN '1. ' || line WHEN 6 THEN 'A) ' || line WHEN 7 THEN 'II. ' || line WHEN 9 THEN '1.2. ' || line WHEN 12 THEN '## ' || line WHEN 13 THEN 'b) ' || line ELSE line END AS line FROM l),
+classed AS (SELECT doc_id, CAST(i AS INT) AS i, line, trim(line) AS t, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '(?i)^(appendix(\s+[a-z0-9]+)?|notes?|references?)$') THEN 'special'
   WHEN regexp_matches(trim(line), '^[^#]*#{1,9}([^#].*)$') AND NOT regexp_matches(trim(line), '^[^#]*#+\s*$') OR regexp_matches(trim(line), '^([A-HJ-UW-Z]|[IVX]+|\d+|\d+\.\d+|\d+\.\d+\.\d+|[a-z])[.)]\s+.+$') THEN 'heading'
-  WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'row' ELSE 'text' END AS kind FROM m"""
+  WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'row' ELSE 'text' END AS kind FROM m)"""
+LINES_SQL = f"{LINES} SELECT doc_id, i, kind FROM classed"
 
 
 @query("line_classify", LINES_SQL)
@@ -525,12 +526,46 @@ def chunked(spark, d) -> DataFrame:
     return chunker.chunks(structured(spark, d), size=120)
 
 
-@query("structural_chunks")
+#: Chunks by windows over lines and elements; the sections a heading stands under are a fold over the headings since the last special section.
+CHUNKS = rf"""{LINES}, marked AS (
+  SELECT *, regexp_matches(line, '^\s*\|.*\|\s*$') AS is_row,
+    CASE WHEN kind <> 'heading' THEN NULL WHEN regexp_matches(t, '^[^#]*#{{1,9}}[^#]') THEN 0 WHEN regexp_matches(t, '^[A-HJ-UW-Z][.)]\s') THEN 1 WHEN regexp_matches(t, '^[IVX]+[.)]\s') THEN 2
+      WHEN regexp_matches(t, '^\d+[.)]\s') THEN 3 WHEN regexp_matches(t, '^\d+\.\d+[.)]\s') THEN 4 WHEN regexp_matches(t, '^\d+\.\d+\.\d+[.)]\s') THEN 5 ELSE 6 END AS family,
+    CASE WHEN kind <> 'special' THEN NULL WHEN lower(t) LIKE 'appendix%' THEN 'Phụ lục' WHEN lower(t) LIKE 'note%' THEN 'Chú thích' ELSE 'Tài liệu tham khảo' END AS special FROM classed),
+titled AS (
+  SELECT *, CASE WHEN family = 0 THEN length(regexp_extract(t, '^[^#]*(#+)', 1)) END AS depth,
+    CASE WHEN family = 0 THEN regexp_extract(t, '^[^#]*#+\s*(.+)$', 1) WHEN family > 0 AND NOT ends_with(t, '.') THEN regexp_replace(t, '^([A-Za-z0-9.]*[A-Za-z0-9])[.)]\s+', '\1. ') WHEN family > 0 THEN t END AS title FROM marked),
+stretches AS (SELECT *, count(*) FILTER (NOT is_row AND kind <> 'blank') OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM titled),
+tables AS (SELECT *, (is_row OR kind = 'blank') AND count(*) FILTER (kind = 'row') OVER (PARTITION BY doc_id, stretch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS within FROM stretches),
+roles AS (SELECT *, CASE WHEN within AND is_row THEN 'more rows' WHEN within THEN 'gap' WHEN kind = 'blank' AND lag(kind) OVER w = 'text' AND coalesce(lead(kind) OVER w, '') <> 'blank' THEN 'joint' ELSE kind END AS role FROM tables WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+begun AS (SELECT *, role IN ('heading', 'special', 'blank', 'row') OR role = 'text' AND coalesce(lag(role) OVER (PARTITION BY doc_id ORDER BY i), '') NOT IN ('text', 'joint') AS begins FROM roles),
+placed AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM begun),
+els AS (SELECT doc_id, e, arg_min(role, i) AS role, string_agg(line, chr(10) ORDER BY i) AS content, arg_min(family, i) AS family, arg_min(depth, i) AS depth, arg_min(title, i) AS title, arg_min(special, i) AS special
+  FROM placed WHERE role NOT IN ('blank', 'gap') GROUP BY ALL),
+ranked AS (SELECT doc_id, e, CASE WHEN family = 0 THEN depth ELSE (SELECT coalesce(max(depth), 0) FROM els x WHERE x.doc_id = y.doc_id AND x.role = 'heading') + dense_rank() OVER (PARTITION BY doc_id, family = 0 ORDER BY family) END AS level FROM els y WHERE role = 'heading'),
+scoped AS (SELECT els.*, level, count(*) FILTER (role = 'special') OVER w AS scope, count(*) FILTER (role IN ('heading', 'special')) OVER w AS block, last_value(special IGNORE NULLS) OVER w AS active
+  FROM els LEFT JOIN ranked USING (doc_id, e) WINDOW w AS (PARTITION BY doc_id ORDER BY e)),
+folded AS (SELECT doc_id, es, list_reduce(list_prepend({{'level': 0, 'stack': CAST([] AS VARCHAR[]), 'seen': CAST([] AS VARCHAR[][])}}, hs),
+    lambda a, x: {{'level': x.level, 'stack': a.stack[1:x.level - 1] || x.stack, 'seen': list_append(a.seen, a.stack[1:x.level - 1] || x.stack)}}).seen AS seen
+  FROM (SELECT doc_id, scope, list(e ORDER BY e) AS es, list({{'level': CAST(level AS INT), 'stack': [title], 'seen': CAST([] AS VARCHAR[][])}} ORDER BY e) AS hs FROM scoped WHERE role = 'heading' GROUP BY ALL)),
+stacks AS (SELECT doc_id, unnest(es) AS e, unnest(seen) AS stack FROM folded),
+tops AS (SELECT doc_id, block, role, level, coalesce(stack, CAST([] AS VARCHAR[])) AS stack, active, lead(role) OVER (PARTITION BY doc_id ORDER BY block) AS next FROM scoped LEFT JOIN stacks USING (doc_id, e) WHERE role IN ('heading', 'special')),
+bodies AS (SELECT doc_id, block, string_agg(content, chr(10) || chr(10) ORDER BY e) AS content, count(*) AS n, bool_or(role = 'row') AS tabular FROM scoped WHERE role NOT IN ('heading', 'special') GROUP BY ALL),
+listed AS (
+  SELECT doc_id, block, 0 AS o, CASE WHEN role = 'special' OR level = 1 THEN 'section' ELSE 'subsection' END AS chunk_type, CASE WHEN role = 'special' THEN 1 ELSE level END AS level,
+    CASE WHEN active IS NULL THEN stack ELSE list_prepend(active, stack) END AS sections, CAST(NULL AS VARCHAR) AS content, 1 AS n FROM tops
+  UNION ALL SELECT b.doc_id, b.block, 1, CASE WHEN tabular THEN 'table' ELSE 'paragraph' END, CASE WHEN t.role = 'heading' THEN t.level + 1 ELSE 1 END,
+    CASE WHEN active IS NULL OR next = 'special' THEN coalesce(stack, CAST([] AS VARCHAR[])) ELSE list_prepend(active, stack) END, content, n FROM bodies b LEFT JOIN tops t ON b.doc_id = t.doc_id AND b.block = t.block),
+counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block, o) - 1 AS chunk, coalesce(len(regexp_extract_all(content, '\S+')), 0) AS tokens FROM listed),
+chunked AS (SELECT doc_id, CAST(chunk AS INT) AS chunk, chunk_type, CAST(level AS INT) AS level, sections, content, n AS element_count, CAST(tokens AS INT) AS tokens, tokens > 120 AS is_oversized FROM counted)"""
+
+
+@query("structural_chunks", f"{CHUNKS} SELECT doc_id, chunk, chunk_type, level, array_to_string(sections, ' > ') AS hierarchy, content, element_count, tokens, is_oversized FROM chunked")
 def _(spark, d):
     return chunked(spark, d).select("doc_id", "chunk", "chunk_type", "level", F.array_join("hierarchy", " > ").alias("hierarchy"), "content", "element_count", "tokens", "is_oversized")
 
 
-@query("structure_tree")
+@query("structure_tree", f"{CHUNKS} SELECT doc_id, path, count(*) AS n_chunks FROM (SELECT doc_id, array_to_string(sections[1:unnest(range(1, len(sections) + 1))], ' > ') AS path FROM chunked) GROUP BY ALL")
 def _(spark, d):
     return chunker.structure_tree(chunked(spark, d))
 
@@ -540,12 +575,12 @@ def _(spark, d):
     return chunker.split_oversized(chunked(spark, d), 120).drop("hierarchy")
 
 
-@query("structure_summary")
+@query("structure_summary", f"{CHUNKS} SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (is_oversized) AS n_oversized, CAST(max(len(sections)) AS INT) AS max_depth FROM chunked GROUP BY doc_id")
 def _(spark, d):
     return chunker.structure_summary(chunked(spark, d))
 
 
-@query("chunk_export")
+@query("chunk_export", f"{CHUNKS} SELECT doc_id, chunk, CAST(to_json({{'chunk_id': chunk, 'level': level, 'chunk_type': chunk_type, 'section_hierarchy': sections, 'is_oversized': is_oversized, 'parent_chunk_id': NULL, 'content': content}}) AS VARCHAR) AS json, count(*) OVER (PARTITION BY doc_id) AS total_chunks FROM chunked")
 def _(spark, d):
     return chunker.export(chunked(spark, d))
 
