@@ -82,9 +82,9 @@ def elements(found: DataFrame) -> DataFrame:
     """One row per element: doc_id, e, kind, content, first and last line, pattern, heading_text, special."""
     by = Window.partitionBy("doc_id").orderBy("i")
     breaker = ~F.col("is_row") & (F.col("kind") != "blank")
-    g = found.withColumn("stretch", F.sum(breaker.cast("int")).over(by))
-    before = Window.partitionBy("doc_id", "stretch").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("open", F.coalesce(F.max(F.col("kind") == "row").over(before), F.lit(False)) & ~breaker)
+    began = F.max(F.when(F.col("kind") == "row", F.col("i"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.max(F.when(breaker, F.col("i"))).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    g = found.withColumn("open", F.coalesce(began > F.coalesce(ended, F.lit(-1)), F.lit(False)))
     kind = F.when(F.col("open") & F.col("is_row"), "row").when(F.col("open") & (F.col("kind") == "blank"), "gap").otherwise(F.col("kind"))
     g = g.withColumn("kind", kind)
     lone = (F.col("kind") == "blank") & (F.lag("kind").over(by) == "text") & (F.coalesce(F.lead("kind").over(by), F.lit("end")) != "blank")
@@ -103,24 +103,28 @@ def elements(found: DataFrame) -> DataFrame:
 
 
 def levelled(found: DataFrame) -> DataFrame:
-    """Elements with level (headings) and stack, the headings they stand under."""
-    doc = Window.partitionBy("doc_id")
+    """Elements with level (headings) and stack, the headings they stand under. A document's elements meet in one row, as
+    its lines did, and leave it again."""
     depth = F.when(F.startswith("pattern", F.lit("markdown_")), F.substring("pattern", 10, 2).cast("int"))
-    most = F.coalesce(F.max(depth).over(doc), F.lit(0))
-    families = F.array(*[F.lit(x) for x in HIERARCHY])
-    present = F.filter(families, lambda x: F.array_contains(F.collect_set("pattern").over(doc), x))
-    row = found.withColumn("level", F.coalesce(depth, F.when(F.col("pattern").isNotNull(), most + F.array_position(present, F.col("pattern")).cast("int"))))
     own = F.when(F.col("kind") != "special", F.col("active"))
-    steps = row.withColumn("own", own).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("e", "kind", "level", "heading_text", "own"))).alias("x"))
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(None).cast("string").alias("own"), F.array().cast("array<struct<e:bigint,stack:array<string>>>").alias("out"))
+    row = found.withColumn("level", depth).withColumn("own", own)
+    rest = [c for c in row.columns if c not in ("doc_id", "e")]
+    whole = row.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("e", *rest))).alias("x"), F.coalesce(F.max("level"), F.lit(0)).alias("most"), F.collect_set("pattern").alias("patterns"))
+    families = F.array(*[F.lit(x) for x in HIERARCHY])
+    whole = whole.select("doc_id", "x", "most", F.filter(families, lambda p: F.array_contains("patterns", p)).alias("present"))
+    below = lambda x: F.when(x["pattern"].isNotNull(), F.col("most") + F.array_position("present", x["pattern"]).cast("int"))
+    whole = whole.select("doc_id", F.transform("x", lambda x: x.withField("level", F.coalesce(x["level"], below(x)))).alias("x"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("stack"), F.lit(None).cast("string").alias("own"), F.array().cast("array<array<string>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        kept = F.when(x["own"].eqNullSafe(a["own"]), a["stack"]).otherwise(F.array().cast("array<string>"))
+        kept = F.when(x["own"].eqNullSafe(a["own"]), a["stack"]).otherwise(none)
         stack = F.when(x["kind"] == "heading", F.concat(F.slice(kept, 1, F.greatest(x["level"] - 1, F.lit(0))), F.array(x["heading_text"]))).otherwise(kept)
-        return F.struct(stack.alias("stack"), x["own"].alias("own"), F.concat(a["out"], F.when(x["kind"] == "heading", F.array(F.struct(x["e"].cast("bigint").alias("e"), stack.alias("stack")))).otherwise(F.array().cast("array<struct<e:bigint,stack:array<string>>>"))).alias("out"))
+        return F.struct(stack.alias("stack"), x["own"].alias("own"), F.concat(a["out"], F.array(F.when(x["kind"] == "heading", stack))).alias("out"))
 
-    stacks = steps.select("doc_id", F.explode(F.aggregate("x", start, step)["out"]).alias("s")).select("doc_id", "s.e", "s.stack")
-    return row.join(stacks, ["doc_id", "e"], "left")
+    stacks = F.aggregate("x", start, step, lambda a: a["out"])
+    each = whole.select("doc_id", "x", stacks.alias("stacks")).select("doc_id", F.explode(F.arrays_zip("x", "stacks")).alias("z"))
+    return each.select("doc_id", "z.x.e", *[F.col(f"z.x.{c}") for c in rest if c != "own"], F.col("z.stacks").alias("stack"))
 
 
 def words(text: Column) -> Column:
@@ -153,34 +157,33 @@ def counter_of(path: str | None) -> Callable[[str], int]:
 def chunks(docs: DataFrame, doc_id: str = "doc_id", content: str = "content", size: int = 2048, count: Callable[[Column], Column] = words) -> DataFrame:
     """The chunks of documents: doc_id, chunk (from 0), chunk_type, level, hierarchy, content (null for headers), heading_text,
     special_section, element_count, contains_table, tokens (by count), is_oversized."""
-    e = levelled(elements(lines(docs, doc_id, content)))
-    by = Window.partitionBy("doc_id").orderBy("e")
     edge = F.col("kind").isin("heading", "special")
-    e = e.withColumn("b", F.sum(edge.cast("int")).over(by)).withColumn("edge", edge)
-    head = lambda c: F.min_by(F.when(F.col("edge"), F.col(c)), F.when(F.col("edge"), F.col("e")))
-    after = F.lead(F.when(F.col("edge"), F.col("kind")), 1).over(by)
-    e = e.withColumn("next", after)
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("e", "content"))), lambda x: x["content"]), "\n\n")
-    body = e.filter("NOT edge").groupBy("doc_id", "b").agg(parts.alias("content"), F.count(F.lit(1)).alias("element_count"), F.max(F.col("kind") == "table").alias("contains_table"), F.max_by("next", "e").alias("closed_by"), F.max("active").alias("active"))
-    tops = e.filter("edge").groupBy("doc_id", "b").agg(head("kind").alias("kind"), head("level").alias("level"), head("stack").alias("stack"), head("heading_text").alias("heading_text"), head("special").alias("special"), head("active").alias("active"))
+    e = levelled(elements(lines(docs, doc_id, content)))
+    e = e.withColumn("b", F.sum(edge.cast("int")).over(Window.partitionBy("doc_id").orderBy("e")))  # a heading and what follows it
+    head = lambda c: F.max(F.when(edge, F.col(c))).alias(c)
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~edge, F.struct("e", "content")))), lambda x: x["content"]), "\n\n")
+    blocks = e.groupBy("doc_id", "b").agg(
+        head("level"), head("stack"), head("heading_text"), head("special"), F.max("active").alias("active"), parts.alias("content"),
+        F.count_if(~edge).alias("n"), F.max(F.col("kind") == "table").alias("tabular"), F.max(F.when(edge, F.col("kind"))).alias("kind"),
+    )
+    blocks = blocks.withColumn("closed_by", F.lead("kind").over(Window.partitionBy("doc_id").orderBy("b")))
     name = lambda c: F.coalesce(*[F.when(c == k, F.lit(v)) for k, _, v in SPECIAL])
     none = F.array().cast("array<string>")
     prefixed = lambda s, stack: F.concat(F.when(s.isNull(), none).otherwise(F.array(name(s))), F.coalesce(stack, none))
-    heads = tops.select(
-        "doc_id", "b", F.lit(0).alias("o"),
-        F.when((F.col("kind") == "special") | (F.col("level") == 1), "section").otherwise("subsection").alias("chunk_type"),
-        F.when(F.col("kind") == "special", 1).otherwise(F.col("level")).alias("level"),
-        F.when(F.col("kind") == "special", F.array(name(F.col("special")))).otherwise(prefixed(F.col("active"), F.col("stack"))).alias("hierarchy"),
+    heading, special = F.col("kind") == "heading", F.col("kind") == "special"
+    shown = F.when(F.coalesce(F.col("closed_by"), F.lit("")) != "special", F.col("active"))
+    header = F.struct(
+        F.lit(0).alias("o"), F.when(special | (F.col("level") == 1), "section").otherwise("subsection").alias("chunk_type"),
+        F.when(special, 1).otherwise(F.col("level")).alias("level"),
+        F.when(special, F.array(name(F.col("special")))).otherwise(prefixed(F.col("active"), F.col("stack"))).alias("hierarchy"),
         F.lit(None).cast("string").alias("content"), "heading_text", F.col("active").alias("special_section"), F.lit(1).cast("long").alias("element_count"), F.lit(False).alias("contains_table"),
     )
-    shown = F.when(F.coalesce(F.col("closed_by"), F.lit("")) != "special", F.col("x.active"))
-    rows = body.alias("x").join(tops.alias("t"), ["doc_id", "b"], "left").select(
-        "doc_id", "b", F.lit(1).alias("o"), F.when(F.col("contains_table"), "table").otherwise("paragraph").alias("chunk_type"),
-        F.when(F.col("t.kind") == "heading", F.col("t.level") + 1).otherwise(1).alias("level"),
-        prefixed(shown, F.when(F.col("t.kind") == "heading", F.col("t.stack"))).alias("hierarchy"),
-        F.col("x.content").alias("content"), F.col("t.heading_text").alias("heading_text"), shown.alias("special_section"), "element_count", "contains_table",
+    body = F.struct(
+        F.lit(1).alias("o"), F.when(F.col("tabular"), "table").otherwise("paragraph").alias("chunk_type"),
+        F.when(heading, F.col("level") + 1).otherwise(1).alias("level"), prefixed(shown, F.when(heading, F.col("stack"))).alias("hierarchy"),
+        "content", "heading_text", shown.alias("special_section"), F.col("n").alias("element_count"), F.col("tabular").alias("contains_table"),
     )
-    both = heads.unionByName(rows)
+    both = blocks.select("doc_id", "b", F.explode(F.array_compact(F.array(F.when(F.col("kind").isNotNull(), header), F.when(F.col("n") > 0, body)))).alias("c")).select("doc_id", "b", "c.*")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("b", "o")) - 1
     tokens = F.coalesce(count(F.col("content")), F.lit(0))
     return both.withColumn("chunk", place).withColumn("tokens", tokens).withColumn("is_oversized", F.col("tokens") > size).drop("b", "o")
