@@ -377,7 +377,7 @@ b AS (SELECT p.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUB
 
 
 def docs(spark, d) -> DataFrame:
-    return star.table(spark, d, "documents")
+    return star.spread(star.table(spark, d, "documents"), "doc_id")
 
 
 def lexical(spark, d, k: int) -> DataFrame:

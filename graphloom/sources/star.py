@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over enough tasks for work that costs much a row: a scan of fewer parts than there are cores (a small table, or
+    one of few row groups) is dealt by key, at most eight tasks for a part. A large table stays as it is scanned."""
+    parts, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 8 * parts), key) if 0 < parts < cores else df
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, entity_type, entity_role, labels; ids are unique."""
 
