@@ -106,3 +106,14 @@ def test_stream(spark, tmp_path):
     assert got == {"A": ("king", "w", ["Entity", "KING", "QUEEN"]), "B": ("king", "z", ["Entity", "KING"]), "C": ("pawn", "", ["Entity", "PAWN"]), "D": ("king", "z", ["Entity", "KING"])}
     after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("part-*")}
     assert sum(after.get(p) == t for p, t in before.items()) == 2
+
+
+def test_spread(spark):
+    from graphloom.sources.star import spread
+
+    one = spark.range(100).coalesce(1)
+    dealt = spread(one, "id")
+    assert dealt.rdd.getNumPartitions() == 4 and sorted(r.id for r in dealt.collect()) == list(range(100))
+    many = spark.range(0, 100, 1, 6)
+    assert spread(many, "id") is many
+    assert spread(spark.range(0), "id").count() == 0
