@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, near_dups, packing, quality, repeated_words, secret_scan, suffix_repeats, topk
+from . import fill_middle, language, licenses, main_text, manifest, mixing, near_dups, packing, quality, repeated_words, secret_scan, suffix_repeats, topk
 from .common import documents
 
 
@@ -74,7 +74,23 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op1_topk": op1_topk, "op3_language": op3_language, "op5_near_dups": op5_near_dups, "op4_repeated_words": op4_repeated_words, "op10_suffix_repeats": op10_suffix_repeats, "op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.transform(documents(spark, sf_dir))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(documents(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.when(third, F.translate("text", manifest.UPPER, manifest.LOWER)).otherwise(F.col("text"))
+    return manifest.manifest(documents(spark, sf_dir), tampered=lowered).drop("path")
+
+
+QUERIES = {"op1_topk": op1_topk, "op3_language": op3_language, "op5_near_dups": op5_near_dups, "op4_repeated_words": op4_repeated_words, "op10_suffix_repeats": op10_suffix_repeats, "op8_licenses": op8_licenses, "op9_packing": op9_packing, "op2_secret_scan": op2_secret_scan, "op6_mixing": op6_mixing, "op7_quality": op7_quality, "op11_fill_middle": op11_fill_middle, "op12_main_text": op12_main_text, "op13_manifest": op13_manifest}
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -187,4 +203,56 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES = {"op1_topk": OP1_SQL, "op8_licenses": _op8_sql(), "op2_secret_scan": _op2_sql(), "op6_mixing": OP6_SQL, "op7_quality": OP7_SQL}
+UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_GROUP = "CAST('0x' || substr(d, {0}, 8) AS BIGINT)"
+
+OP11_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '{UNIT}') AS u FROM t),
+n AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {_GROUP.format(1)} % (len(u) + 1) AS x, {_GROUP.format(9)} % (len(u) + 1) AS y FROM u),
+c AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_GROUP.format(17)} % 100 >= 50 THEN 'plain' WHEN {_GROUP.format(25)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n)
+SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(p || m || s) AS restored_sha256 FROM c
+"""
+
+
+def _op13_sql(levels: int = 8, tops: int = 4) -> str:
+    """SQL for trees of at most 8 ** levels leaves a language, and 8 ** tops languages."""
+    part = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, (*manifest.COLUMNS[:-1], text))) + ")"
+    step = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: {step}), 4294967295)"
+    lower = f"CASE WHEN {crc} % 3 = 0 THEN translate(text, '{manifest.UPPER}', '{manifest.LOWER}') ELSE text END"
+
+    def climb(first: str, name: str, height: int) -> list[str]:
+        """Levels of nodes (k, i, h, n) above a table of them, and each node's siblings."""
+        out, below = [], first
+        for level in range(height):
+            w = "OVER (PARTITION BY k, i // 8 ORDER BY i ROWS BETWEEN"
+            out.append(f"{name}_s{level} AS (SELECT k, i, coalesce(string_agg(h, '') {w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {below} WHERE n > 1)")
+            out.append(f"{name}{level + 1} AS (SELECT k, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (max(n) + 7) // 8 AS n FROM {below} WHERE n > 1 GROUP BY k, i // 8)")
+            below = f"{name}{level + 1}"
+        every = " UNION ALL ".join(f"SELECT k, h FROM {t} WHERE n = 1" for t in [first, *[f"{name}{x + 1}" for x in range(height)]])
+        return [*out, f"{name}_roots AS ({every})"]
+
+    joins, folds, told = "", [], []
+    for k, (name, key, at) in enumerate([(f"a_s{x}", "o.k", f"o.i // {8**x}") for x in range(levels)] + [(f"b_s{x}", "0", f"g.i // {8**x}") for x in range(tops)]):
+        joins += f" LEFT JOIN {name} s{k} ON s{k}.k = {key} AND s{k}.i = {at}"
+        told.append(f"s{k}.l AS l{k}, s{k}.r AS r{k}")
+        folds.append(f"f{k + 1} AS (SELECT *, CASE WHEN l{k} IS NULL THEN f{k} ELSE sha256(l{k} || f{k} || r{k}) END AS f{k + 1} FROM f{k})")
+    last = levels + tops
+    proof = " || ".join(f"coalesce(l{k} || r{k}, '')" for k in range(last))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS k, {leaf("text")} AS leaf, {leaf(f"({lower})")} AS other FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d),
+a0 AS (SELECT k, i, leaf AS h, n FROM o), {", ".join(climb("a0", "a", levels))},
+g AS (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM a_roots),
+b0 AS (SELECT 0 AS k, i, subroot AS h, n FROM g), {", ".join(climb("b0", "b", tops))},
+f0 AS (SELECT doc_id, leaf, subroot, b_roots.h AS root, other AS f0, {", ".join(told)} FROM o JOIN g ON o.k = g.k CROSS JOIN b_roots{joins}),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, f{last} AS folded_root, f{last} = root AS verified FROM f{last}
+"""
+
+
+ORACLES = {"op1_topk": OP1_SQL, "op8_licenses": _op8_sql(), "op2_secret_scan": _op2_sql(), "op6_mixing": OP6_SQL, "op7_quality": OP7_SQL, "op11_fill_middle": OP11_SQL, "op13_manifest": _op13_sql()}
