@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,25 +21,23 @@ def dense(text: Column, dim: int = 32) -> Column:
     return once(slots, lambda s: once(counted(s), scaled))
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-
-
 def hashed(dim: int = 256) -> Callable[[Column], Column]:
     """An encoder of texts: the L2-normalized counts of their tokens in dim hashed slots; an empty array where there is no
-    token. It takes the place of a model, and any function of a column to an array of double can take its place."""
+    token. It takes the place of a model, and any function of a column to an array of double can take its place. Tokens and
+    their slots are found in the JVM; a whole batch of texts is then counted at once."""
 
     @F.pandas_udf("array<double>")
-    def encode(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[float]:
-            found = Counter(re.findall("[a-z0-9_][a-z0-9_]+", (text or "").lower()))
-            counts = np.bincount([_slot(t, dim) for t in found], list(found.values()), dim) if found else np.zeros(0)
-            return (counts / np.sqrt((counts * counts).sum())).tolist() if found else []
-
-        return texts.map(one)
-
-    return encode
+    def counted(slots: pd.Series) -> pd.Series:
+        sizes = slots.map(len).to_numpy()
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        flat = np.concatenate(slots.to_list()).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+        counts = np.bincount(rows * dim + flat, minlength=len(sizes) * dim).reshape(len(sizes), dim)
+        norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        vectors = counts / np.maximum(norm, 1.0)
+        return pd.Series([v if n else v[:0] for v, n in zip(vectors, sizes, strict=True)])
+
+    slot = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    return lambda text: counted(F.transform(tokens(F.coalesce(text, F.lit(""))), slot))
 
 
 def sparse(text: Column) -> Column:

@@ -128,33 +128,75 @@ def fuzzy_score(id_: Column, name: str) -> Column:
 
 
 def token_index(entities: DataFrame) -> DataFrame:
-    """token, length and id: each token of an id once. Stored by token, it is the full-text index that fuzzy() reads."""
+    """token, length and id: each token of an id once. Stored by token, with its deletion keys beside it
+    (sources.index.save_tokens), it is the full-text index that fuzzy() reads."""
     tokens = F.array_distinct(F.array_remove(F.split(F.lower("id"), "[^\\p{L}\\p{N}_]+"), ""))
     return entities.select("id", F.explode(tokens).alias("token")).select("token", F.length("token").alias("length"), "id")
 
 
-def near_tokens(tokens: DataFrame, name: str) -> DataFrame:
-    """id and score of the entities with a token near a name, by the token table: equal tokens and prefixes are ranges of it,
-    and one edit changes a length by one at most, so edit distances are computed for tokens of three lengths only."""
-    words = name.lower().split()
-    if not words:
-        return tokens.select("id", F.lit(0.0).alias("score")).filter("false")
-    last, rest = words[-1], words[:-1]
-    whole = F.col("token").startswith(last) | (F.col("token").isin(rest) if rest else F.lit(False))
-    close = F.col("length").between(len(last) - 1, len(last) + 1) & one_edit(F.col("token"), last)
-    score = F.when(whole, 1.0).when(close, 1.0 - 1.0 / len(last)).otherwise(0.0)
-    return tokens.select("id", score.alias("score")).groupBy("id").agg(F.max("score").alias("score"))
+def deletion_keys(tokens: DataFrame) -> DataFrame:
+    """key and token: each token under itself and under each of its spellings that lack one letter. Two tokens that differ by
+    one insertion, deletion, replacement or swap of neighbours have a key in common, so one edit is an equality of keys."""
+    places = F.sequence(F.lit(1), F.length("token"))
+    without_one = F.transform(places, lambda i: F.concat(F.substring("token", 1, i - 1), F.substr(F.col("token"), i + 1)))
+    keys = F.array_distinct(F.concat(F.array("token"), without_one))
+    return tokens.select("token").distinct().select(F.explode(keys).alias("key"), "token")
+
+
+def keys_of(word: str) -> list[str]:
+    """The keys of a word, as deletion_keys() has them."""
+    return list(dict.fromkeys([word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]))
 
 
-def fuzzy(entities: DataFrame, edges: DataFrame, names: list[str], excluded: list[str] = [], limit: int = 10, least: float = FUZZY_MIN, tokens: DataFrame | None = None) -> DataFrame:  # noqa: B006
+#: Values of an IN that a Parquet scan is handed one by one (more become one range from the least to the greatest).
+PUSHED = 10
+#: Tokens near the names that are put into the postings' filter as literals; more are joined.
+LITERALS = 1000
+
+
+def among(column: str, values: list[str]) -> Column:
+    """column IN values, in parts that a scan can be handed whole."""
+    found = F.lit(False)
+    for i in range(0, len(values), PUSHED):
+        found |= F.col(column).isin(values[i : i + PUSHED])
+    return found
+
+
+def near_tokens(index: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """id, n (the name's place in names) and score of the entities with a token near a name. index: postings (token_index())
+    and keys (deletion_keys()), each stored in the order of its first column. Tokens within one edit are found by equal keys;
+    these, equal tokens and prefixes are equalities and ranges of the postings, which the scan's statistics skip to."""
+    words = [(i, w[-1], w[:-1]) for i, w in enumerate(n.lower().split() for n in names) if w]
+    postings, keys = index["postings"], index["keys"]
+    if not words:
+        return postings.select("id", F.lit(0).alias("n"), F.lit(0.0).alias("score")).filter("false")
+    close = F.lit(False)
+    for _, last, _ in words:
+        close |= F.col("key").isin(keys_of(last)[:1]) | one_edit(F.col("token"), last)
+    near = keys.filter(among("key", sorted({k for _, last, _ in words for k in keys_of(last)}))).filter(close).select("token").distinct()
+    few = [r.token for r in near.limit(LITERALS + 1).collect()]
+    plain = among("token", sorted({x for _, _, rest in words for x in rest}))
+    for _, last, _ in words:
+        plain |= F.col("token").startswith(last)
+    if len(few) <= LITERALS:
+        rows = postings.filter(plain | among("token", sorted(few)))
+    else:
+        rows = postings.filter(plain).unionByName(postings.filter(~plain).join(near, "token", "left_semi"))
+    scores = []
+    for i, last, rest in words:
+        whole = F.col("token").startswith(last) | (F.col("token").isin(rest) if rest else F.lit(False))
+        score = F.when(whole, 1.0).when(one_edit(F.col("token"), last), 1.0 - 1.0 / len(last))
+        scores.append(F.struct(F.lit(i).alias("n"), score.alias("score")))
+    each = rows.select("id", F.explode(F.filter(F.array(*scores), lambda x: x["score"].isNotNull())).alias("m"))
+    return each.groupBy("id", "m.n").agg(F.max("m.score").alias("score"))
+
+
+def fuzzy(entities: DataFrame, edges: DataFrame, names: list[str], excluded: list[str] = [], limit: int = 10, least: float = FUZZY_MIN, tokens: dict[str, DataFrame] | None = None) -> DataFrame:  # noqa: B006
     """Triples around entities with a token near a name: at most limit per name by score, each triple once, limit in all.
-    tokens: a stored token_index(), without which the ids' tokens are scanned."""
+    tokens: a stored token index (sources.index.load_tokens), without which the ids' tokens are scanned."""
     if tokens is not None and names:
-        found = None
-        for i, x in enumerate(names):
-            part = near_tokens(tokens, x).filter(F.col("score") >= least).withColumn("n", F.lit(i))
-            found = part if found is None else found.unionByName(part)
-        return _ranked_fuzzy(entities.join(found.select("id", "n", "score"), "id").select(*entities.columns, "n", "score"), entities, edges, excluded, limit)
+        found = near_tokens(tokens, names).filter(F.col("score") >= least)
+        return _ranked_fuzzy(entities.join(found, "id").select(*entities.columns, "n", "score"), entities, edges, excluded, limit)
     scores = F.array(*[F.struct(F.lit(i).alias("n"), fuzzy_score(F.col("id"), x).alias("score")) for i, x in enumerate(names)])
     hits = entities.select("*", F.explode(scores).alias("m")).select(*entities.columns, "m.n", "m.score").filter(F.col("score") >= least)
     return _ranked_fuzzy(hits, entities, edges, excluded, limit)

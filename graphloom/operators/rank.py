@@ -85,7 +85,9 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 
 def rrf(lists: list[DataFrame], k: int = 5, constant: float = 2.0, base: int = 0, weights: list[float] | None = None) -> DataFrame:
-    """Reciprocal-rank fusion: the sum over lists of weight / (constant + position), positions from base."""
+    """Reciprocal-rank fusion: the sum over lists of weight / (constant + position), positions from base; at least one list."""
+    if not lists:
+        raise ValueError("rank fusion needs a list at least")
     out = None
     for i, one in enumerate(lists):
         part = ranked(one).select("doc_id", (F.lit((weights or [1.0] * len(lists))[i]) / (F.lit(constant) + F.col("rank") - 1 + base)).alias("s"))

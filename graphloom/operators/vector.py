@@ -35,15 +35,23 @@ def inverse(a: Column, b: Column) -> Column:
     return 1.0 / (1.0 + euclid(a, b))
 
 
+def usable(vector: Column, dimension: Column | int) -> Column:
+    """Whether a vector is there, has that many components, and has no null, NaN or infinite one."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vector) == dimension) & finite, F.lit(False))
+
+
 METRICS = {"cosine": (cosine, True), "dot": (dot, True), "euclid": (euclid, False), "inverse": (inverse, True)}
 
 
 def search(points: DataFrame, query: list[float] | Column, k: int = 5, metric: str = "cosine", threshold: float = 0.0, where: dict | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k nearest points with their score; an unknown metric means cosine; a threshold of 0 means none. Filters and
-    columns reach the scan, and the top k is taken per task before it is merged."""
+    """The k nearest points with their score; an unknown metric means cosine; a threshold of 0 means none. Points whose vector
+    is none (see usable()), or of another size than the query's, are not among them. Filters and columns reach the scan, and
+    the top k is taken per task before it is merged."""
     measure, rising = METRICS.get(metric, METRICS["cosine"])
     kept = reduce(lambda df, x: df.filter(F.col(x[0]) == x[1]), (where or {}).items(), points)
     y = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
+    kept = kept.filter(usable(F.col(vector), F.size(y) if isinstance(query, Column) else len(query)))
     best = kept.withColumn("score", F.round(measure(F.col(vector), y), 12)).orderBy(F.desc("score") if rising else F.asc("score"), key).limit(k)
     if threshold > 0:  # the k best of those beyond the threshold are those of the k best that are beyond it
         best = best.filter(F.col("score") >= threshold if rising else F.col("score") <= threshold)
@@ -63,5 +71,5 @@ def delete_ids(points: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFr
 
 
 def delete_where(points: DataFrame, where: dict) -> DataFrame:
-    """points without the rows that have all the given values."""
-    return points.filter(~reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in where.items()]))
+    """points without the rows that have all the given values; a filter without values matches every row, as in search()."""
+    return points.filter(~reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(v) for c, v in where.items()], F.lit(True)))

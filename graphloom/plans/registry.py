@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from graphloom.operators import chunker, extraction, graph, rank, vector
 from graphloom.plans import context, indexing, retrieval
 from graphloom.sources import index as indexes
 from graphloom.sources import snapshot, star
+from graphloom.sources.shared import fresh, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -152,10 +152,17 @@ def _(spark, d):
 
 @query("graph_fuzzy_indexed", _fuzzy_sql(["NATON_1", "REGOIN_2"], 20))
 def _(spark, d):
-    """Fuzzy search through the stored token table, sorted by token."""
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    graph.token_index(ents(spark, d)).repartitionByRange("token").sortWithinPartitions("token").write.parquet(path)
-    return graph.fuzzy(ents(spark, d), star.edges(spark, d), ["NATON_1", "REGOIN_2"], limit=20, tokens=spark.read.parquet(path))
+    """Fuzzy search through the stored token index."""
+    path = fresh(spark, "tokens")
+    indexes.save_tokens(ents(spark, d), path)
+    return graph.fuzzy(ents(spark, d), star.edges(spark, d), ["NATON_1", "REGOIN_2"], limit=20, tokens=indexes.load_tokens(spark, path))
+
+
+@query("token_keys", f"""{GRAPH}, t AS (SELECT DISTINCT unnest(string_split_regex(lower(id), '[^\\p{{L}}\\p{{N}}_]+')) AS token FROM entities),
+w AS (SELECT token, unnest(range(0, length(token) + 1)) AS i FROM t WHERE token <> '')
+SELECT DISTINCT CASE i WHEN 0 THEN token ELSE left(token, i - 1) || substr(token, i + 1) END AS key, token FROM w""")
+def _(spark, d):
+    return graph.deletion_keys(graph.token_index(ents(spark, d)))
 
 
 @query("viz_edges", f"{GRAPH} SELECT source, rel_type, target, a.entity_type AS source_type, b.entity_type AS target_type FROM edges JOIN entities a ON source = a.id JOIN entities b ON target = b.id ORDER BY source, rel_type, target LIMIT 100")
@@ -275,11 +282,6 @@ def _(spark, d):
     return parsed(payloads(spark, d), "relationships", ("source", "target", "relationship_type"))
 
 
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or (tests, where driver and executors are one) a temporary folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
-
-
 def _snapshot(spark, d) -> str:
     path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshot.backup(ents(spark, d), star.edges(spark, d), path)

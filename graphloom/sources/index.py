@@ -42,6 +42,28 @@ def of_terms(postings: DataFrame, terms: list[str]) -> DataFrame:
     return postings.filter(F.col("slot").isin(slots) & F.col("term").isin(terms))
 
 
+#: Small pages and row groups, so that an equality or a prefix skips to some thousand rows of a large sorted table.
+SKIPPING = {"parquet.block.size": 8 << 20, "parquet.page.size": 64 << 10, "parquet.page.row.count.limit": 2000}
+
+
+def save_tokens(entities: DataFrame, path: str) -> None:
+    """The token index of the entities' ids: postings by token, and the tokens by their deletion keys."""
+    from graphloom.operators.graph import deletion_keys, token_index
+
+    postings = token_index(entities)
+    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").options(**SKIPPING).parquet(f"{path}/postings")
+    tokens = postings.sparkSession.read.parquet(f"{path}/postings")
+    deletion_keys(tokens).repartitionByRange("key", "token").sortWithinPartitions("key", "token").write.mode("overwrite").options(**SKIPPING).parquet(f"{path}/keys")
+
+
+def load_tokens(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The postings and keys as graph.fuzzy() takes them; None if there is no index at path."""
+    try:
+        return {k: spark.read.parquet(f"{path}/{k}") for k in ("postings", "keys")}
+    except AnalysisException:
+        return None
+
+
 def save_vectors(points: DataFrame, path: str, metric: str = "cosine") -> None:
     points.write.mode("overwrite").parquet(f"{path}/vectors")
     points.sparkSession.range(1).select(F.lit(metric).alias("metric")).coalesce(1).write.mode("overwrite").json(f"{path}/state")
@@ -61,11 +83,18 @@ METRICS = ("cosine", "dot", "euclid")
 
 
 def exists(spark: SparkSession, name: str) -> bool:
-    return spark.catalog.tableExists(name)
+    """Whether there is such a collection. One whose replacement by put() was broken off between two renames is put back."""
+    there, before = spark.catalog.tableExists(name), f"{name}__before"
+    if spark.catalog.tableExists(before):
+        spark.sql(f"DROP TABLE {before}" if there else f"ALTER TABLE {before} RENAME TO {name}")
+        there = True
+    return there
 
 
 def create(spark: SparkSession, name: str, dimension: int, metric: str = "cosine", sparse: bool = True) -> bool:
     """A collection as a table; one that is there already stays as it is. An unknown metric means cosine."""
+    if exists(spark, name):
+        return True
     told = f"'dimension' = '{int(dimension)}', 'metric' = '{metric if metric in METRICS else 'cosine'}', 'sparse' = '{str(sparse).lower()}'"
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({POINT}) USING parquet TBLPROPERTIES ({told})")
     return True
@@ -97,23 +126,35 @@ def info(spark: SparkSession, name: str) -> dict | None:
 
 
 def put(spark: SparkSession, name: str, points: DataFrame, seq: str | None = None) -> int:
-    """Points into a collection, replacing those of the same id (the last by seq counts); how many were given. The new
-    table is written beside the old one and then takes its name, so a lost executor or task leaves the old one whole."""
-    from graphloom.operators.vector import upsert
+    """Points into a collection, replacing those of the same id (the last by seq counts); how many were given. A point whose
+    vector is not of the collection's size, or is none, fails the whole call. The new table is written beside the old one and
+    then takes its name: old renamed, new renamed, old dropped. A call broken off before that leaves the old one, one broken
+    off within it is settled by exists(), which every call here goes through."""
+    from graphloom.operators.vector import upsert, usable
 
     columns = [f.strip().split(" ")[0] for f in POINT.replace("map<string,double>", "map").split(",")]
+    if not exists(spark, name):
+        raise ValueError(f"there is no collection {name}")
     told = properties(spark, name)
     fresh = f"{name}_{uuid.uuid4().hex[:8]}"
-    rows = points.select(*columns, *([seq] if seq else []))
+    wrong = F.raise_error(F.concat(F.lit(f"{name} takes vectors of {told['dimension']} numbers; not that of point "), F.coalesce("id", F.lit("null"))))
+    checked = F.when(usable(F.col("dense"), int(told["dimension"])), F.col("dense")).otherwise(wrong.cast("array<double>"))
+    given = points.select(*columns, *([seq] if seq else []))
+    rows = given.withColumn("dense", checked)
     old = spark.table(name)
     # maps cannot be compared, so upsert sees them as sorted entries
     flat = lambda df: df.withColumn("sparse", F.array_sort(F.map_entries("sparse")))
     both = upsert(flat(old), flat(rows), "id", seq).withColumn("sparse", F.map_from_entries("sparse"))
     create(spark, fresh, int(told["dimension"]), told["metric"], told["sparse"] == "true")
-    both.write.mode("append").insertInto(fresh)
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        both.write.mode("append").insertInto(fresh)
+    except Exception:
+        spark.sql(f"DROP TABLE {fresh}")
+        raise
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__before")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
-    return rows.count()
+    spark.sql(f"DROP TABLE {name}__before")
+    return given.count()
 
 
 def clear(spark: SparkSession, name: str) -> None:

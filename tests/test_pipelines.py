@@ -2,6 +2,7 @@
 
 import math
 import re
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,11 +76,59 @@ def test_extraction(spark):
     assert spark.range(1).select(extraction.rendered("{{ a }}-{{b}}", {"a": "x", "b": F.lit("y")})).first()[0] == "x-y"
 
 
-def test_fuzzy_by_token_table(spark):
+def test_fuzzy_by_token_index(spark, tmp_path):
     e = spark.createDataFrame([("Anna Berg", "p", "x", ["Entity"]), ("Ana", "p", None, ["Entity"]), ("Bob", "p", "x", ["Entity"])], "id string, entity_type string, entity_role string, labels array<string>")
     r = spark.createDataFrame([("Anna Berg", "Bob", "KNOWS"), ("Ana", "Bob", "KNOWS")], "source string, target string, rel_type string")
-    for names in (["anna"], ["nana"], ["anna brg"], ["zz"], []):
-        assert graph.fuzzy(e, r, names, tokens=graph.token_index(e)).collect() == graph.fuzzy(e, r, names).collect() if names else True
+    path = f"file://{tmp_path}/tokens"
+    assert index.load_tokens(spark, path) is None
+    index.save_tokens(e, path)
+    tokens = index.load_tokens(spark, path)
+    for names in (["anna"], ["nana"], ["anna brg"], ["zz"], ["naa", "bbo", "ana"], ["", "an"]):
+        assert graph.fuzzy(e, r, names, tokens=tokens).collect() == graph.fuzzy(e, r, names).collect()
+    assert graph.near_tokens(tokens, ["", " "]).count() == 0
+
+
+@pytest.mark.parametrize("literals", [0, 1000])
+def test_near_tokens_against_every_token(spark, monkeypatch, literals):
+    """All words of one to four letters of an alphabet of three: what the keys find is what comparing every token finds."""
+    monkeypatch.setattr(graph, "LITERALS", literals)
+    words = ["".join(w) for n in range(1, 5) for w in product("abc", repeat=n)]
+    e = spark.createDataFrame([(w,) for w in words], "id string")
+    postings = graph.token_index(e)
+    for name in ("a", "ab", "acb", "abca", "cc bab"):
+        want = {(r.id, r.s) for r in e.select("id", graph.fuzzy_score(F.col("id"), name).alias("s")).filter("s > 0").collect()}
+        got = graph.near_tokens({"postings": postings, "keys": graph.deletion_keys(postings)}, [name])
+        assert {(r.id, r.score) for r in got.filter("score > 0").collect()} == want
+
+
+def rows_read(df):
+    """Rows that the scans of an executed plan have given."""
+
+    def walk(node):
+        name = node.nodeName()
+        own = node.metrics().apply("numOutputRows").value() if name.startswith("Scan") else 0
+        inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        children = node.children()
+        return own + sum(map(walk, inner + [children.apply(i) for i in range(children.length())]))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_token_index_skips(spark, tmp_path):
+    """Of a million ids a search for one edit reads below a hundredth of the keys and of the postings."""
+    n, path = 1_000_000, f"file://{tmp_path}/many"
+    e = spark.range(n).select(F.concat(F.lit("id "), F.substring(F.md5(F.col("id").cast("string")), 1, 9)).alias("id"))
+    index.save_tokens(e, path)
+    tokens = index.load_tokens(spark, path)
+    name = spark.range(n).filter("id = 77").select(F.substring(F.md5(F.col("id").cast("string")), 1, 9)).first()[0]
+    typo = name[:3] + name[4:]
+    keys = tokens["keys"].filter(graph.among("key", graph.keys_of(typo)))
+    assert keys.count() and rows_read(keys) < tokens["keys"].count() / 100
+    found = graph.near_tokens(tokens, [typo])
+    assert any(r.id == f"id {name}" and r.score == 1 - 1 / 8 for r in found.collect())
+    assert "PushedFilters: [Or(" in found._jdf.queryExecution().toString()
+    assert rows_read(found) < tokens["postings"].count() / 100
 
 
 def test_index_then_ask(spark):
