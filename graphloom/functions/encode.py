@@ -40,18 +40,23 @@ def hashed(dim: int = 256) -> Callable[[Column], Column]:
     return lambda text: counted(F.transform(tokens(F.coalesce(text, F.lit(""))), slot))
 
 
-def sparse(text: Column) -> Column:
-    """Weights 1 + ln(count) by token, without the index's common words."""
+def counted(text: Column) -> Column:
+    """The tokens of a text without the index's common words, each once with its count: an array of t and n, by t."""
     from graphloom.operators.rank import STOP_WORDS
 
-    words = F.array_sort(F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: ~t.isin(STOP_WORDS)))
+    words = F.sort_array(F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: ~t.isin(STOP_WORDS)))
     once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  body's value is computed once
-    none = F.array().cast("array<struct<t:string,w:double>>")
+    none = F.array().cast("array<struct<t:string,n:int>>")
 
-    def weights(w: Column) -> Column:
+    def counts(w: Column) -> Column:
         """Equal tokens stand together: each one's count is how far its first place is from the next one's."""
         first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
-        each = lambda at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("t"), (1 + F.log((F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("double"))).alias("w")))
+        each = lambda at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("t"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).alias("n")))
         return F.when(F.size(w) > 0, once(first, each)).otherwise(none)
 
-    return F.map_from_entries(once(words, weights))
+    return once(words, counts)
+
+
+def sparse(text: Column) -> Column:
+    """Weights 1 + ln(count) by token, without the index's common words."""
+    return F.map_from_entries(F.transform(counted(text), lambda x: F.struct(x["t"].alias("t"), (1 + F.log(x["n"].cast("double"))).alias("w"))))

@@ -53,18 +53,18 @@ def best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_stored(index: dict, query: str, k: int = 5, least: float = 0.0) -> DataFrame:
-    """As bm25(), from a stored index (sources.index.load_lexical): of the postings only the slots of the query's terms
-    are read, and document frequencies are counted from these."""
+    """As bm25(), from a stored index (sources.index.load_lexical): of the postings only the folders and pages of the query's
+    terms are read. Document frequencies are sums over the blocks' heads, and the terms' blocks are summed by document."""
     from graphloom.sources.index import of_terms
 
     terms = [t for t in dict.fromkeys(w.lower() for w in query.split()) if t not in STOP_WORDS]
     rows = of_terms(index["postings"], terms)
-    found = {r.term: r.df for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row per term of the query
+    found = {r.term: r.df for r in rows.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row per term of the query
     idf = F.lit(0.0)
     for t, df in found.items():
         idf = F.when(F.col("term") == t, F.lit(math.log(1 + (index["n_docs"] - df + 0.5) / (df + 0.5)))).otherwise(idf)
-    score = F.sum(idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index["avgdl"] or 1.0))))
-    return best(rows.groupBy("doc_id").agg(score.alias("score")), k).filter((F.col("score") > 0) & (F.col("score") >= least))
+    each = rows.select(idf.alias("idf"), F.explode("entries").alias("e"))
+    return best(each.groupBy(F.col("e.doc_id").alias("doc_id")).agg(F.sum(F.col("idf") * F.col("e.weight")).alias("score")), k).filter((F.col("score") > 0) & (F.col("score") >= least))
 
 
 def sparse_vectors(docs: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import encode, text
-from graphloom.operators import chunker, extraction, graph, rank, vector
+from graphloom.operators import chunker, extraction, graph, many, rank, vector
 from graphloom.plans import context, indexing, retrieval
 from graphloom.sources import index as indexes
+from graphloom.sources import hybrid as hybrids
 from graphloom.sources import snapshot, star
 from graphloom.sources.shared import fresh, shared_folder
 
@@ -322,6 +323,23 @@ query("dense_threshold", _nearest_sql("cosine", 50, "score >= 0.2"))(lambda spar
 query("dense_filtered", _nearest_sql("cosine", 20, "label = 3"))(lambda spark, d: _nearest(spark, d, k=20, where={"label": 3}))
 
 
+def _many_sql(metric: str) -> str:
+    measure = MEASURES[metric].replace("(e, y)", "(a.e, b.e)")
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, round({measure}, 12) AS x FROM v a, v b WHERE b.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x {'' if metric == 'euclid' else 'DESC'}, doc_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+for _metric in ("cosine", "dot", "euclid"):
+
+    @query(f"dense_many_{_metric}", _many_sql(_metric))
+    def _(spark, d, metric=_metric):
+        """The nearest of all vectors for every vector whose id is divisible by 50, by cells."""
+        points, cells = many.celled(vectors(spark, d), 64)
+        asked = vectors(spark, d).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        return many.best_vectors(points, cells, asked, 10, metric).rows.select("query_id", "rank", "doc_id", "score")
+
+
 @query("l2_normalize", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS e FROM embeddings) SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / sqrt(list_dot_product(e, e)))), 6) AS total, round(1.0 / (1.0 + sqrt(list_dot_product(e, e))), 6) AS similarity FROM v")
 def _(spark, d):
     tripled = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3)
@@ -419,6 +437,25 @@ def _(spark, d):
     return rank.bm25(docs(spark, d), ASK, 50, least=2.5)
 
 
+BM25_MANY = f"""WITH {TERMS}, c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(string_split_regex(lower(text), '\\s+')) AS term FROM benchmark),
+s AS (SELECT query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * len(w.w) / avgdl))), 12) AS x
+  FROM q JOIN p ON q.term = p.term JOIN f ON p.term = f.term JOIN w ON p.doc_id = w.doc_id, c GROUP BY ALL)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, round(x, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, doc_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def questions(spark, d) -> DataFrame:
+    return star.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("bm25_many", BM25_MANY)
+def _(spark, d):
+    """Every benchmark passage as a query, in one pass over block-max postings."""
+    path = fresh(spark, "lexical")
+    indexes.save_lexical(docs(spark, d), path)
+    return many.bm25(indexes.load_lexical(spark, path), questions(spark, d), 10).rows.select("query_id", "rank", "doc_id", "score")
+
+
 @query("sparse_encode", f"WITH {TERMS} SELECT doc_id, term, round(1 + ln(tf), 6) AS weight FROM p")
 def _(spark, d):
     return rank.sparse_vectors(docs(spark, d))
@@ -630,6 +667,31 @@ def _(spark, d):
     return _shown(retrieval.search(points(spark, d), ASK, 20))
 
 
+def _asked_many(kind: str, k: int) -> str:
+    leg = f"""SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 12) DESC, id) AS rank"""
+    last = {"hybrid": f"(SELECT query_id, id, round(sum(1.0::DOUBLE / (1 + rank)), 12) AS x FROM (SELECT * FROM da WHERE rank <= {2 * k} UNION ALL SELECT * FROM sa WHERE rank <= {2 * k}) GROUP BY ALL)", "semantic": "dense"}[kind]
+    return f"""WITH {TERMS}, {DENSE}, qt AS (SELECT item_id AS query_id, unnest({_ALL.format('text')}) AS t FROM benchmark),
+qs AS (SELECT query_id, slot, count(*) AS c FROM (SELECT query_id, {_SLOT.format('t')} AS slot FROM qt) GROUP BY ALL), qn AS (SELECT query_id, sqrt(CAST(sum(c * c) AS DOUBLE)) AS n FROM qs GROUP BY query_id),
+met AS (SELECT qs.query_id, ds.doc_id, sum(ds.c * qs.c) AS c FROM ds JOIN qs ON ds.slot = qs.slot GROUP BY ALL),
+dense AS (SELECT qn.query_id, CAST(dn.doc_id AS VARCHAR) AS id, coalesce(c, 0) / (dn.n * qn.n) AS x FROM qn CROSS JOIN dn LEFT JOIN met ON met.query_id = qn.query_id AND met.doc_id = dn.doc_id),
+qw AS (SELECT query_id, t, 1 + ln(CAST(count(*) AS DOUBLE)) AS w FROM qt GROUP BY ALL),
+sparse AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS id, sum(w * (1 + ln(CAST(tf AS DOUBLE)))) AS x FROM p JOIN qw ON term = t GROUP BY ALL),
+da AS ({leg} FROM dense), sa AS ({leg} FROM sparse), r AS ({leg}, x FROM {last})
+SELECT query_id, CAST(rank AS INT) AS rank, id AS chunk_id, CAST(length(text) AS INT) AS n_chars, round(x, 6) AS score, id AS doc_id, count(*) OVER (PARTITION BY query_id) AS total, '{kind}' AS search_type
+FROM r JOIN documents d ON r.id = CAST(d.doc_id AS VARCHAR) WHERE rank <= {k}"""
+
+
+for _kind in ("hybrid", "semantic"):
+
+    @query(f"{_kind}_many", _asked_many(_kind, 10))
+    def _(spark, d, kind=_kind):
+        """Every benchmark passage asked of a stored hybrid index in one pass."""
+        path = fresh(spark, "hybrid")
+        hybrids.save(points(spark, d), path, 256)
+        found = retrieval.search_many(hybrids.load(spark, path), questions(spark, d), 10, search_type=kind)
+        return found.select("query_id", "rank", "chunk_id", F.length("chunk_text").alias("n_chars"), "score", F.col("metadata")["doc_id"].alias("doc_id"), "total", "search_type")
+
+
 @query("hybrid_search_threshold", f"{_hybrid_sql(20)} SELECT {_SHOWN} FROM fused f JOIN documents d ON f.id = CAST(d.doc_id AS VARCHAR) WHERE score >= 0.05")
 def _(spark, d):
     return _shown(retrieval.hybrid_search(points(spark, d), ASK, 20, 0.05))

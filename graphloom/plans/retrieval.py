@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import encode
-from graphloom.operators import extraction, graph, rank, vector
+from graphloom.operators import extraction, graph, many, rank, vector
 from graphloom.plans import context
+from graphloom.sources.hybrid import HybridIndex
+from graphloom.sources.shared import stored
 
 #: A function of query, graph context and chunk context (columns) to the answer; the place of a hosted model.
 Generator = Callable[[Column, Column, Column], Column]
@@ -63,8 +66,26 @@ def semantic_search(points: DataFrame, query: str, k: int = 5, threshold: float
 def search(points: DataFrame, query: str, k: int = 5, threshold: float = 0.0, search_type: str = "hybrid", dense=None) -> DataFrame:
     """The chunks with their total and search_type on each row."""
     found = (hybrid_search if search_type == "hybrid" else semantic_search)(points, query, k, threshold, dense=dense)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return found.join(F.broadcast(total)).withColumn("search_type", F.lit(search_type))  # a top-k beside one row
+    return found.withColumns({"total": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))), "search_type": F.lit(search_type)})  # a top-k
+
+
+def search_many(index: HybridIndex, queries: DataFrame, k: int = 5, threshold: float = 0.0, search_type: str = "hybrid", dense=None, where: dict | None = None) -> DataFrame:
+    """search() for a table of queries (query_id, query) in one pass over a stored index: query_id, rank, chunk_id, chunk_text,
+    score, metadata, total (of the query's chunks) and search_type. Of the postings only the queries' terms are read, of these
+    and of the cells only those whose bounds reach the query's best."""
+    asked = stored(queries.select("query_id", "query", (dense or encode.hashed())(F.col("query")).alias("vector")), "queries")
+    hybrid = search_type == "hybrid"
+    condition = reduce(lambda a, x: a & (F.col(x[0]) == x[1]), (where or {}).items(), F.lit(True))
+    near = many.best_vectors(index.vectors, index.cells, asked, 2 * k if hybrid else k, index.state["metric"], column="dense", key="id", where=condition if where else None).rows
+    if hybrid:
+        within = index.points.filter(condition).select(F.col("id").alias("doc_id")) if where else None
+        same = many.sparse(index.postings, asked, 2 * k, within=within).rows
+        near = many.fused([near, same], k, index.state["constant"], weights=index.state["weights"])
+    found = near.filter(F.col("score") >= threshold) if threshold > 0 else near
+    met = index.points.join(found.withColumnRenamed("doc_id", "id"), "id")
+    payload = F.create_map(*[x for c in ("chunk_id", "content", "doc_id", "chunk_type") for x in (F.lit(c), F.col("id" if c == "chunk_id" else c))])
+    total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))  # k rows of a query
+    return met.select("query_id", "rank", F.col("id").alias("chunk_id"), F.coalesce("content", F.lit("")).alias("chunk_text"), "score", payload.alias("metadata"), total.alias("total"), F.lit(search_type).alias("search_type"))
 
 
 def retrieve(entities: DataFrame, edges: DataFrame, points: DataFrame, query: str, targets: list[str], excluded: list[str] = [], graph_limit: int = 10, k: int = 5, threshold: float = 0.0, dense=None) -> dict[str, DataFrame]:  # noqa: B006

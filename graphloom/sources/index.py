@@ -17,21 +17,42 @@ def slot(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(SLOTS)).cast("int")
 
 
-def save_lexical(docs: DataFrame, path: str, **options) -> None:
-    """Postings in folders by slot of the term, sorted by term in each file, and the corpus row. A frequent term is one
-    of many in its slot and is dealt over files by document."""
-    rows = rank.postings(docs, **options).withColumn("slot", slot(F.col("term")))
-    dealt = rows.repartition(F.col("slot"), F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("slot", "term")
-    dealt.write.mode("overwrite").partitionBy("slot").parquet(f"{path}/postings")
-    stats = rank.corpus_stats(docs, **{k: v for k, v in options.items() if k == "text"})
-    stats.select("*", F.lit(rank.K1).alias("k1"), F.lit(rank.B).alias("b")).coalesce(1).write.mode("overwrite").json(f"{path}/corpus")
+#: Documents for each file of a slot, and blocks of a term that stay in one file.
+FILE_DOCS, RUN_BITS = 1 << 20, 8
+
+
+def _save_postings(blocks: DataFrame, path: str, n_docs: int) -> None:
+    """Blocks of postings in folders by slot of the term, in the order of term and block. A slot has a file for every FILE_DOCS
+    documents, and runs of a term's blocks are dealt over them, so a frequent term is as many files' work as the corpus is large."""
+    rows = blocks.withColumn("slot", slot(F.col("term")))
+    file = F.pmod(F.xxhash64("term", F.shiftright("block", RUN_BITS)), F.lit(n_docs // FILE_DOCS + 1))
+    dealt = rows.repartition("slot", file).sortWithinPartitions("slot", "term", "block")
+    dealt.write.mode("overwrite").options(**SKIPPING).partitionBy("slot").parquet(path)
+
+
+def save_lexical(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """BM25 postings in blocks (operators.many.blocked), and the corpus row."""
+    from graphloom.operators import many
+
+    stats = rank.corpus_stats(docs, text).first()
+    _save_postings(many.blocked(many.bm25_weights(many.term_counts(docs, doc_id, text), stats["avgdl"])), f"{path}/postings", stats["n_docs"])
+    row = docs.sparkSession.createDataFrame([(stats["n_docs"], stats["avgdl"], rank.K1, rank.B)], "n_docs long, avgdl double, k1 double, b double")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/corpus")
+
+
+def save_sparse(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Postings of the sparse encodings' weights by term, in blocks."""
+    from graphloom.operators import many
+
+    weights = many.term_counts(docs, doc_id, text).select("doc_id", "block", "term", (1 + F.log(F.col("tf").cast("double"))).alias("weight"))
+    _save_postings(many.blocked(weights), f"{path}/postings", docs.count())
 
 
 def load_lexical(spark: SparkSession, path: str) -> dict | None:
     """The postings as a DataFrame, n_docs and avgdl; None if there is no index at path."""
     try:
         row = spark.read.json(f"{path}/corpus").first()
-        return {"postings": spark.read.parquet(f"{path}/postings"), "n_docs": row["n_docs"], "avgdl": row["avgdl"]}
+        return {"postings": spark.read.parquet(f"{path}/postings"), "n_docs": row["n_docs"], "avgdl": row["avgdl"] if "avgdl" in row else None}
     except (AnalysisException, KeyError, ValueError, TypeError):
         return None
 
@@ -148,9 +169,9 @@ def put(spark: SparkSession, name: str, points: DataFrame, seq: str | None = Non
     create(spark, fresh, int(told["dimension"]), told["metric"], told["sparse"] == "true")
     try:
         both.write.mode("append").insertInto(fresh)
-    except Exception:
+    except Exception as e:
         spark.sql(f"DROP TABLE {fresh}")
-        raise
+        raise ValueError(f"the points were not put into {name}, which stays as it was") from e
     spark.sql(f"ALTER TABLE {name} RENAME TO {name}__before")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
     spark.sql(f"DROP TABLE {name}__before")
