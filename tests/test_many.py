@@ -1,6 +1,7 @@
 """Many queries at once: equal to the scan for each query, and what is skipped is counted. The stored hybrid index."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -152,7 +153,7 @@ def test_hybrid_save_broken_off(spark, tmp_path):
 
 
 def test_put_checks_and_settles(spark):
-    name = "chunks_of_many"
+    name = f"chunks_{uuid.uuid4().hex}"
     index.drop(spark, name)
     index.create(spark, name, 4)
     row = lambda id_, v: spark.createDataFrame([(id_, v, {}, "t", "1", "p")], index.POINT)
@@ -185,12 +186,12 @@ def test_restore_with_rejects(spark, tmp_path):
     r = spark.createDataFrame([("a", "b", "R")], "source string, target string, rel_type string")
     path = f"file://{tmp_path}/snapshot"
     snapshot.backup(e, r, path)
-    (tmp_path / "snapshot/nodes/more.csv").write_text('id,labels,entity_type,entity_role\nnew,Entity;B,t,r\nonly,two\n,Entity,t,r\ntoo,many,f,g,h\n"a",Entity;C,newt,newr\n')
+    (tmp_path / "snapshot/nodes/more.csv").write_text('id,labels,entity_type,entity_role\nnew,Entity;B,t,r\nonly,two\n,Entity,t,r\ntoo,many,f,g,h\n"a",Entity;C,zt,zr\n')
     (tmp_path / "snapshot/relationships/more.csv").write_text("source,target,type\nnew,a,X\nnew,nobody,X\nnew,,X\nbad\n")
     got = snapshot.restore(spark, path)
     assert tuple(got.counts().first()) == (4, 2, 6) and got.metadata["node_count"] == 2
     assert sorted((x.part, x.reason) for x in got.rejects.collect()) == [("nodes", "broken record")] * 2 + [("nodes", "no id"), ("relationships", "a field is missing"), ("relationships", "an end is not in the graph"), ("relationships", "broken record")]
-    assert {(x.id, x.entity_type, tuple(sorted(x.labels))) for x in got.entities.collect()} >= {("a", "newt", ("C", "Entity", "T")), ("new", "t", ("B", "Entity"))}
+    assert {(x.id, x.entity_type, tuple(sorted(x.labels))) for x in got.entities.collect()} >= {("a", "zt", ("C", "Entity", "T")), ("new", "t", ("B", "Entity"))}
     old = spark.createDataFrame([("a", "old", "", ["Entity", "OLD"]), ("nobody", "o", "", ["Entity"])], e.schema)
     onto = snapshot.restore(spark, path, old, r.limit(0), clear=False)
     assert tuple(onto.counts().first()) == (4, 3, 5) and {x.id for x in onto.entities.collect()} == {"a", "b", "new", "nobody"}
