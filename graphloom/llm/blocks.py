@@ -65,7 +65,7 @@ def packed(docs: DataFrame, doc_id: str, text: str, limit: int = BLOCK_BYTES) ->
         if ids:
             yield flush()
 
-    return stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(pack, BLOCK_DDL))
+    return stored(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text")).mapInArrow(pack, BLOCK_DDL))
 
 
 def bucket_count(blocks: DataFrame) -> int:

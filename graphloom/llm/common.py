@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are what lies between these; the same class in Java, RE2 and Python.
@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the shared folder: later steps survive lost executors and see the
-    same rows however often they are computed. For small tables; see stored() for large ones."""
+    same rows however often they are computed. Rows go through Spark's own row format, so this is for tables of short rows;
+    stored() writes columns, which is for the rest."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
@@ -41,6 +42,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(nodes: DataFrame, tree: str, order: list[str]) -> DataFrame:
+    """nodes (a stored table comes back) with i, the place from 0 of each in its tree by order, and n, the tree's size.
+
+    One sort by range; places are a row's number in its task's part of the tree, plus what earlier tasks hold of the tree:
+    sums over a row for each task and tree."""
+    keys = [F.col(tree).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = nodes.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()
+    numbered = stored(dealt.withColumn("at", at)).withColumn("task", F.shiftright("at", 33))
+    counts = numbered.groupBy("task", tree).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("here"))
+    whole = Window.partitionBy(tree)
+    before = F.sum("here").over(whole.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("task").alias("s_task"), F.col(tree).alias("s_tree"), F.col("first") - F.coalesce(before, F.lit(0)), F.sum("here").over(whole).alias("n"))
+    starts = starts.toDF("s_task", "s_tree", "shift", "n")
+    same = (F.col("task") == F.col("s_task")) & F.col(tree).eqNullSafe(F.col("s_tree"))
+    return numbered.join(starts, same).withColumn("i", F.col("at") - F.col("shift")).drop("at", "task", "s_task", "s_tree", "shift")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, also where body uses it many times or inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -23,10 +23,10 @@ are whole, however long; further columns are not part of a leaf and are not carr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let, placed, stored
 
 FAN, STRIDE = 8, 3
 GROUP = FAN**STRIDE
@@ -52,25 +52,6 @@ def leaf(values: list[Column]) -> Column:
     return digest(*map(part, values))
 
 
-def placed(nodes: DataFrame, tree: str, order: list[str]) -> DataFrame:
-    """nodes (a stored table comes back) with i, the place from 0 of each in its tree by order, and n, the tree's size.
-
-    One sort by range; places are a row's number in its task's part of the tree, plus what earlier tasks hold of the tree:
-    sums over a row for each task and tree."""
-    keys = [F.col(tree).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in order]]
-    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = nodes.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
-    at = F.monotonically_increasing_id()
-    numbered = stored(dealt.withColumn("at", at)).withColumn("task", F.shiftright("at", 33))
-    counts = numbered.groupBy("task", tree).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("here"))
-    whole = Window.partitionBy(tree)
-    before = F.sum("here").over(whole.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.col("task").alias("s_task"), F.col(tree).alias("s_tree"), F.col("first") - F.coalesce(before, F.lit(0)), F.sum("here").over(whole).alias("n"))
-    starts = starts.toDF("s_task", "s_tree", "shift", "n")
-    same = (F.col("task") == F.col("s_task")) & F.col(tree).eqNullSafe(F.col("s_tree"))
-    return numbered.join(starts, same).withColumn("i", F.col("at") - F.col("shift")).drop("at", "task", "s_task", "s_tree", "shift")
-
-
 def _runs(nodes: Column) -> Column:
     """The digests of successive runs of FAN digests."""
     run = lambda k: digest(F.array_join(F.slice(nodes, k * FAN + 1, F.lit(FAN)), ""))
@@ -137,7 +118,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: Colu
     values = [F.col(f"`{c}`") for c in columns]
     other = leaf([*values[:-1], tampered]) if tampered is not None else F.lit(None).cast("string")
     leaves = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col("`lang`").alias("lang"), leaf(values).alias("digest"), other.alias("other"))
-    leaves = leaves.withColumn("other", F.when(F.col("other") != F.col("digest"), F.col("other")))
+    leaves = stored(leaves.withColumn("other", F.when(F.col("other") != F.col("digest"), F.col("other"))))  # the sort's sample is then of these
     roots, groups = proofs(placed(leaves, "lang", ["id", "digest"]), "lang", ["id", "other"])
     one = F.lit(0).alias("tree")
     subroots = placed(roots.select(one, "lang", "digest"), "tree", ["lang"])

@@ -66,7 +66,7 @@ def rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None,
 
 
 def source_key(source: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit("-"))
 
 
 def mix(
@@ -81,9 +81,10 @@ def mix(
     table = cut(rates(docs, source, weights, size)).select(F.col("key").alias(key), F.col("rate").alias(rate))
     few = table.count() <= broadcast_rows
     drawn = docs.withColumn(key, source_key(source)).join(F.broadcast(table) if few else table, key)
-    seeds = [F.lit(seed), F.col(doc_id), F.when(F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text), F.lit(""))))]
+    id_ = F.col(f"`{doc_id}`")
+    seeds = [F.lit(seed), id_, F.when(id_.isNull(), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))]
     drawn = drawn.withColumn(n, F.when(F.col(rate) > 0, copies(F.col(rate), *seeds)).otherwise(0)).filter(F.col(n) > 0)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (copy, mix_key)]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (copy.lower(), mix_key.lower())]
     out = drawn.select(*kept, *[x.alias(f"{n}_{i}") for i, x in enumerate(seeds)], F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy))
     seeds = [F.col(f"{n}_{i}") for i in range(len(seeds))]
     order = F.md5(F.concat_ws("|", F.lit("order"), *[F.coalesce(x.cast("string"), F.lit("-")) for x in seeds], F.col(copy)))

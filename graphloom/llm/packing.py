@@ -180,6 +180,6 @@ def merger(length: int):
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, space: int = OPEN, max_gap: int = MAX_GAP, end: int = END) -> DataFrame:
     """The pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. tokenizer: its file's path on
     every executor. length must be a power of two."""
-    placed = stored(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).mapInArrow(packer(tokenizer, length, space, max_gap, end), DDL))
+    placed = stored(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(F.col(f"`{text}`")).alias("text")).mapInArrow(packer(tokenizer, length, space, max_gap, end), DDL))
     merged = placed.filter("sequence_id < 0").groupBy(F.floor((-1 - F.col("sequence_id")) / MERGE).alias("g")).applyInArrow(merger(length), DDL)
     return placed.filter("sequence_id >= 0").drop("ids").unionByName(merged.drop("ids"))

@@ -121,7 +121,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_rate: f
     partial sums and joined by Spark's own choice, so one large host is split like any skewed join."""
     rest = [c for c in docs.columns if c.lower() != text.lower() and c.lower() not in NEW]
     carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]
-    rated = docs.select(*carried, host_key(host).alias("host"), measures(text_of(text)).alias("m"))
+    rated = docs.select(*carried, host_key(host).alias("host"), measures(text_of(F.col(f"`{text}`"))).alias("m"))
     base, soft = failed("m")
     rated = cut(rated.select("*", base.alias("base"), soft.alias("soft")))
     hosts = host_rates(rated, "host", F.col("base") | F.col("soft"))

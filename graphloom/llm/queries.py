@@ -179,15 +179,14 @@ FROM d LEFT JOIN agg ON d.rid = agg.rid
 
 
 def _op8_sql() -> str:
-    t = [(name, [" ".join(s) for s in licenses.template_shingles(text)]) for name, text in licenses.TEMPLATES.items()]
-    span = max(len(licenses.template_words(x)) for x in licenses.TEMPLATES.values())
-    rows = ", ".join(f"('{name}', '{g}', {g.count(' ') + 1}, {len(gs)})" for name, gs in t for g in gs)
+    kinds = licenses.kinds(licenses.TEMPLATES)
+    rows = ", ".join(f"({kind.number}, {kind.k}, {kind.span}, '{name}', '{g}', {len(gs)})" for kind in kinds for name, gs in kind.templates.items() for g in gs)
     return rf"""
-WITH t(license, g, k, n) AS (VALUES {rows}),
+WITH t(class, k, span, license, g, n) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{licenses.SEPARATORS}'), lambda x: x <> '') AS w FROM documents),
 sh AS (SELECT rid, p - 1 AS p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d), (SELECT DISTINCT k FROM t) x WHERE p + k - 1 <= len(w)),
-hit AS (SELECT rid, license, sh.g, n, p // {span} AS j FROM sh JOIN t ON sh.g = t.g AND sh.k = t.k),
-win AS (SELECT rid, license, g, n, j AS win FROM hit UNION ALL SELECT rid, license, g, n, j - 1 FROM hit),
+hit AS (SELECT rid, class, license, sh.g, n, p, t.k, span FROM sh JOIN t ON sh.g = t.g AND sh.k = t.k),
+win AS (SELECT rid, class, license, g, n, p // span AS win FROM hit UNION ALL SELECT rid, class, license, g, n, p // span - 1 FROM hit WHERE p + k <= (p // span + 1) * span),
 ok AS (SELECT rid, license, win, count(DISTINCT g) / n AS c FROM win GROUP BY rid, license, win, n HAVING count(DISTINCT g) / n >= {licenses.MIN_CONTAINMENT}),
 agg AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS l, count(*) AS n, max(c) AS c FROM ok GROUP BY rid)
 SELECT doc_id, coalesce(l, '') AS licenses, coalesce(n, 0) AS n_windows, coalesce(round(c, 6), 0.0) AS containment FROM d LEFT JOIN agg ON d.rid = agg.rid

@@ -150,7 +150,7 @@ def token_facts(token: Column) -> Column:
 def scanned(docs: DataFrame, text: str, out: str) -> DataFrame:
     """docs with the column out: structs base (spans of KINDS by start and kind) and tokens (s, e, length class c,
     and f: n, t and z of token_facts)."""
-    t = text_of(text)
+    t = text_of(F.col(f"`{text}`"))
     base = F.array_sort(F.concat(*[located(t, p, g, least, kind, k) for k, (kind, p, g, least) in enumerate(KINDS)]))
     tokens = F.transform(
         located(t, TOKEN, 0, 20, "random", len(KINDS)),
@@ -237,4 +237,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     found = stored(scanned(docs, text, c))
     spans = all_spans(c, thresholds(found.select(c), c))
     own = free_name(docs, "spans")
-    return found.withColumn(own, spans).withColumn(text, F.when(F.size(own) > 0, marked(text_of(text), F.col(own), mark)).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{x}`") for x in docs.columns])
+    return found.withColumn(own, spans).withColumn(text, F.when(F.size(own) > 0, marked(text_of(F.col(f"`{text}`")), F.col(own), mark)).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{x}`") for x in docs.columns])

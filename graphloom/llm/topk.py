@@ -1,6 +1,7 @@
 """Operator 1, exact top-k search with block-at-a-time pruning.
 
-Vectors become integers, floor(scale * x). Candidates lie in blocks of `block` successive ids; a block keeps its forward
+Vectors become integers, floor(scale * x). Candidates are numbered in the order of their ids, and `block` successive ones
+make a block, however far apart their ids are; a block keeps its forward
 index (the integer matrix) and, per term (component), its maximum and minimum, so that the sum over terms of the larger
 of q * max and q * min bounds the score of every row in it. Queries are dealt to groups. First the bounds alone are
 computed, and each query is scored in the SEEDS blocks of the highest bounds, which gives it a k-th score to begin with.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, placed, stored
 
 K = 10
 SCALE = 1024
@@ -168,9 +169,9 @@ class Search:
 
     def __init__(self, vectors: DataFrame, is_query: Column, vec_id: str, embedding: str, k: int, scale: int, block: int):
         self.k = k
-        rows = stored(quantised(vectors, vec_id, embedding, scale)).withColumn("b", F.floor(F.col("vec_id") / block))
-        sizes = rows.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))  # above 1 where ids repeat
-        named = rows.join(sizes, "b").select(F.xxhash64("b", F.pmod(F.xxhash64("v"), "parts")).alias("block"), "vec_id", "v")
+        rows = stored(quantised(vectors, vec_id, embedding, scale))
+        ordered = placed(rows.withColumns({"one": F.lit(0), "h": F.xxhash64("v")}), "one", ["vec_id", "h"])
+        named = ordered.select(F.floor(F.col("i") / block).cast("long").alias("block"), "vec_id", "v")
         self.index = stored(named.groupBy("block").applyInArrow(index_block, INDEX))
         self.blocks, n = self.index.count(), rows.filter(is_query).select("vec_id").distinct().count()
         self.groups = max(1, -(-n // GROUP))
@@ -179,11 +180,11 @@ class Search:
         self.queries = stored(own.select(group.alias("g"), "query_id", "v", F.lit(None).cast("long").alias("kth")))
 
     def against_bounds(self, queries: DataFrame, body, schema: str) -> DataFrame:
-        """Each group of queries beside each chunk of bounds; these are some hundredths of the vectors."""
+        """Each group of queries beside each chunk of bounds: two rows of numbers for each block of vectors."""
         chunks = max(1, -(-self.blocks // CHUNK))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
         left = queries.withColumn("c", every(chunks))
-        right = self.index.select("block", "high", "low", F.pmod("block", F.lit(chunks)).cast("long").alias("c")).withColumn("g", every(self.groups))
+        right = self.index.select("block", "high", "low", F.pmod(F.xxhash64("block"), F.lit(chunks)).cast("long").alias("c")).withColumn("g", every(self.groups))
         return met(left, right, ("g", "c"), body, schema)
 
     def seeded(self) -> DataFrame:

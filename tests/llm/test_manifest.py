@@ -208,3 +208,26 @@ def test_kinds_of_pages(spark, tree):
     rows = got.collect()
     assert len(rows) == len(WEB) + 2 and all((r.text, r.n_chars) == (WEB[r.url][1], len(WEB[r.url][1])) for r in rows)
     assert main_text.extract(pages.filter("false"), tree).count() == 0
+
+
+def test_quoted_columns(spark):
+    """Columns with dots in their names, and clashes in another case."""
+    from graphloom.llm import mixing, packing, quality, repeated_words, secret_scan
+    from graphloom.llm.queries import vocabulary
+
+    docs = spark.createDataFrame([(1, "a b c " * 20, "s"), (None, None, None)], "`d.id` long, `t.x` string, `s.y` string").withColumn("Copy", F.lit(1))
+    assert mixing.mix(docs, doc_id="d.id", text="t.x", source="s.y", copy="copy").columns == ["d.id", "t.x", "s.y", "copy", "mix_key"]
+    assert mixing.mix(docs, doc_id="d.id", text="t.x", source="s.y", copy="Copy").columns == ["d.id", "t.x", "s.y", "Copy", "mix_key"]
+    assert quality.judge(docs, text="t.x", host="s.y").count() == 2
+    assert packing.pack(docs, vocabulary(), doc_id="d.id", text="t.x").count() >= 2
+    assert secret_scan.scan(docs, text="t.x").count() == 2
+    assert repeated_words.dedup(docs, doc_id="d.id", text="t.x").count() == 2
+
+
+def test_topk_sparse_ids(spark):
+    """Ids far apart fill blocks all the same."""
+    from graphloom.llm import topk
+
+    frame = spark.createDataFrame([(i * 1000, [float(i % 7), float(i % 11)]) for i in range(2048)], "vec_id long, embedding array<double>")
+    search = topk.Search(frame, F.col("vec_id") == 0, "vec_id", "embedding", 10, 1024, 128)
+    assert search.blocks == 16 and search.index.filter(F.length("ids") != 8 * 128).count() == 0
