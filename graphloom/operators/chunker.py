@@ -102,29 +102,33 @@ def elements(found: DataFrame) -> DataFrame:
     return out.withColumn("pattern", F.when(F.col("kind") == "heading", F.col("pattern"))).withColumn("heading_text", text).withColumn("active", active).drop("line")
 
 
-def levelled(found: DataFrame) -> DataFrame:
-    """Elements with level (headings) and stack, the headings they stand under. A document's elements meet in one row, as
-    its lines did, and leave it again."""
-    depth = F.when(F.startswith("pattern", F.lit("markdown_")), F.substring("pattern", 10, 2).cast("int"))
-    own = F.when(F.col("kind") != "special", F.col("active"))
-    row = found.withColumn("level", depth).withColumn("own", own)
-    rest = [c for c in row.columns if c not in ("doc_id", "e")]
-    whole = row.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("e", *rest))).alias("x"), F.coalesce(F.max("level"), F.lit(0)).alias("most"), F.collect_set("pattern").alias("patterns"))
-    families = F.array(*[F.lit(x) for x in HIERARCHY])
-    whole = whole.select("doc_id", "x", "most", F.filter(families, lambda p: F.array_contains("patterns", p)).alias("present"))
-    below = lambda x: F.when(x["pattern"].isNotNull(), F.col("most") + F.array_position("present", x["pattern"]).cast("int"))
-    whole = whole.select("doc_id", F.transform("x", lambda x: x.withField("level", F.coalesce(x["level"], below(x)))).alias("x"))
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("stack"), F.lit(None).cast("string").alias("own"), F.array().cast("array<array<string>>").alias("out"))
+#: Marks of the deepest Markdown heading; with the numbered families, as deep as a stack can be.
+MARKDOWN = 9
 
-    def step(a: Column, x: Column) -> Column:
-        kept = F.when(x["own"].eqNullSafe(a["own"]), a["stack"]).otherwise(none)
-        stack = F.when(x["kind"] == "heading", F.concat(F.slice(kept, 1, F.greatest(x["level"] - 1, F.lit(0))), F.array(x["heading_text"]))).otherwise(kept)
-        return F.struct(stack.alias("stack"), x["own"].alias("own"), F.concat(a["out"], F.array(F.when(x["kind"] == "heading", stack))).alias("out"))
 
-    stacks = F.aggregate("x", start, step, lambda a: a["out"])
-    each = whole.select("doc_id", "x", stacks.alias("stacks")).select("doc_id", F.explode(F.arrays_zip("x", "stacks")).alias("z"))
-    return each.select("doc_id", "z.x.e", *[F.col(f"z.x.{c}") for c in rest if c != "own"], F.col("z.stacks").alias("stack"))
+def levelled(found: DataFrame) -> DataFrame:
+    """Elements with level (headings) and stack, the headings they stand under, by windows over a document's elements.
+
+    A heading of level L cuts the stack to L - 1 and is put on top, and the stack begins anew where a special section does.
+    So the n-th heading since then has the place len(n) = min(len(n - 1) + 1, L(n)), which unrolls to n plus the least of 0
+    and of all L(m) - m so far: a running minimum. And what stands at a place of the stack is the last heading with that
+    place. All of that is running windows in one partitioning, so a document of many headings is as many rows."""
+    by, whole = Window.partitionBy("doc_id").orderBy("e"), Window.partitionBy("doc_id")
+    depth = F.when(F.startswith("pattern", F.lit("markdown_")), F.substring("pattern", 10, 2).cast("int"))
+    row = found.withColumns({"level": depth, "own": F.when(F.col("kind") != "special", F.col("active"))})
+    row = row.withColumns({"most": F.coalesce(F.max("level").over(whole), F.lit(0)), "patterns": F.collect_set("pattern").over(whole), "was": F.lag("own").over(by)})
+    present = F.filter(F.array(*[F.lit(x) for x in HIERARCHY]), lambda p: F.array_contains("patterns", p))
+    below = F.when(F.col("pattern").isNotNull(), F.col("most") + F.array_position(present, F.col("pattern")).cast("int"))
+    scope = F.sum((~F.col("own").eqNullSafe(F.col("was"))).cast("int")).over(by)
+    row = row.withColumns({"level": F.coalesce("level", below), "scope": scope})
+    within, heading = Window.partitionBy("doc_id", "scope").orderBy("e").rowsBetween(Window.unboundedPreceding, 0), F.col("kind") == "heading"
+    row = row.withColumn("n", F.sum(heading.cast("int")).over(within).cast("int"))
+    least = F.min(F.when(heading, F.col("level") - F.col("n"))).over(within)
+    row = row.withColumn("place", F.when(heading, F.col("n") + F.least(F.lit(0), least)))
+    last = [F.last(F.when(F.col("place") == k, F.col("heading_text")), ignorenulls=True).over(within).alias(f"at{k}") for k in range(1, MARKDOWN + len(HIERARCHY) + 1)]
+    held = row.select("*", *last)
+    stack = F.when(heading, F.slice(F.array(*[f"at{k}" for k in range(1, len(last) + 1)]), F.lit(1), F.col("place")))
+    return held.select(*found.columns, "level", stack.alias("stack"))
 
 
 def words(text: Column) -> Column:

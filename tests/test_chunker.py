@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import chunker
 
@@ -130,3 +131,17 @@ def test_split_by_vocabulary(spark):
     assert [r.tokens for r in found.filter("content IS NOT NULL").collect()] == [count(r.content) for r in found.filter("content IS NOT NULL").collect()]
     pieces = chunker.split_oversized(found, 40, overlap=5, tokenizer=path).filter("chunk_type = 'recursive_split'").orderBy("sub").collect()
     assert len(pieces) > 3 and all(count(r.content) <= 40 and r.level == 3 and r.parent == f"T_{r.sub}" for r in pieces)
+
+
+def test_many_headings(spark):
+    """A document of a hundred thousand headings, of levels that jump, in linear time: as a fold over its lines has them."""
+    n = 100_000
+    levels = [(i * 7919) % 6 + 1 if i % 5 else 1 for i in range(n)]
+    lines = [f"{'#' * d} H{i}" for i, d in enumerate(levels)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:50]))], "doc_id long, content string")
+    stack, want = [], []
+    for i, d in enumerate(levels):
+        stack = [*stack[: d - 1], f"H{i}"]
+        want.append(" > ".join(stack))
+    got = chunker.chunks(docs).select("doc_id", "chunk", F.array_join("hierarchy", " > ").alias("h")).orderBy("doc_id", "chunk").collect()
+    assert [r.h for r in got] == want + want[:50]
