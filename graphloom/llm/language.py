@@ -3,12 +3,15 @@
 Features are hashed n-grams (1 to 3 code points of the lower-case text) in DIM slots. Document frequencies are counted over
 all training documents. A text's vector is its relative n-gram counts times inverse document frequencies. The weights are
 trained by follow-the-regularised-leader with elastic-net penalties on a sample of labelled documents bounded by `sample`
-rows per language and `max_labels` languages (those of most documents, ties in alphabetical order); a part of the sample
-that training does not see sets the temperature of the softmax. Scoring reads whole texts and needs a table look-up per
-n-gram.
+rows per language; a part of the sample that training does not see sets the temperature of the softmax. Scoring reads
+whole texts and needs a table look-up per n-gram.
+
+All languages are learned, however many. Up to FAN of them are the classes of one model. More are split, in alphabetical
+order, into FAN parts and these again: each part with a model of its own over its parts or languages, trained in a task of
+its own on at most NODE_ROWS rows, and a text goes down the likeliest branch, its score being the product on the way.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; if nothing could be learned, every text is;
-documents without a label teach nothing; languages beyond max_labels are never predicted; rows are predicted one by one,
+documents without a label teach nothing; rows are predicted one by one,
 so repeated rows get equal results; an empty table gives an empty result; ties go to the alphabetically first language;
 other columns are carried, but those named lang_pred or score give way to the result.
 """
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import mixed
+from .common import cut
 
 BITS = 14
 DIM = 1 << BITS
@@ -31,7 +35,8 @@ ORDERS = (1, 2, 3)
 SAMPLE = 600  # documents of each language that training takes at most
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-5
-MAX_LABELS = 1000
+FAN = 32  # classes of a model
+NODE_ROWS = 9600  # rows a model is trained on, at most
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +80,20 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(idf: np.ndarray, labels: list[str]):
-    """An applyInArrow function: the sample (text, lang, o) to weights (slot, w: one per language) and, at slot -1, the
-    temperature."""
+def ftrl(idf: np.ndarray, sizes: dict[str, int]):
+    """An applyInArrow function: a model's sample (text, lang, o, node, class) to weights (slot, w: one per class) and, at
+    slot -1, the temperature. sizes: the classes of each model."""
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("o", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-        texts, y = table["text"].to_pylist(), np.array([labels.index(x) for x in table["lang"].to_pylist()])
+        node, texts, y = table["node"][0].as_py(), table["text"].to_pylist(), table["class"].to_numpy()
+        classes = sizes[node]
         vectors = []
         for t in texts:
             slots, count = np.unique(features([t])[0], return_counts=True)
             vectors.append((slots, count / max(count.sum(), 1) * idf[slots]))
         held = np.arange(len(y)) % 5 == 4
-        z, g2, w = (np.zeros((DIM, len(labels))) for _ in range(3))
+        z, g2, w = (np.zeros((DIM, classes)) for _ in range(3))
         for _ in range(EPOCHS):
             for i in np.flatnonzero(~held):
                 slots, x = vectors[i]
@@ -104,14 +110,30 @@ def ftrl(idf: np.ndarray, labels: list[str]):
         grid = np.exp(np.linspace(math.log(0.02), math.log(20), 120))
         loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in grid]
         at = np.flatnonzero(np.any(w != 0, axis=1))
-        return pa.table({"slot": pa.array(np.append(at, -1), pa.int64()), "w": pa.array([*w[at].tolist(), [float(grid[int(np.argmin(loss))])] * len(labels)], pa.list_(pa.float64()))})
+        rows = [*w[at].tolist(), [float(grid[int(np.argmin(loss))])] * classes]
+        return pa.table({"node": [node] * len(rows), "slot": pa.array(np.append(at, -1), pa.int64()), "w": pa.array(rows, pa.list_(pa.float64()))})
 
     return fit
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, max_labels: int = MAX_LABELS) -> dict:
-    """The model: labels, table (DIM x labels: idf times weight) and temperature. The driver gets DIM counts and DIM
-    rows of weights; one task trains on sample rows per language at most, the first by a hash of their ids."""
+def branches(labels: list[str], fan: int, node: str = "") -> dict[str, list[list[str]]]:
+    """The models by name, each with its classes: the languages of each. A class of several has a model named after it."""
+    size = 1
+    while size * fan < len(labels):
+        size *= fan
+    classes = [labels[i : i + size] for i in range(0, len(labels), size)]
+    out = {node: classes}
+    for k, part in enumerate(classes):
+        if len(part) > 1:
+            out |= branches(part, fan, f"{node}/{k}")
+    return out
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, max_labels: int | None = None, fan: int = FAN) -> dict:
+    """The model: labels, table (DIM x labels: idf times weight), temperature and below (the models of classes that are several
+    languages). The driver gets DIM counts and DIM rows of weights for each model; one task trains a model on `sample` rows per
+    class and NODE_ROWS in all at most, the first by a hash of their ids. max_labels: learn only that many languages, those of
+    most documents (ties in alphabetical order), where the caller wants that."""
     known = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = known.select("text").mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     total = next((r.n for r in counts if r.slot < 0), 0)
@@ -119,25 +141,36 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     for r in counts:
         if r.slot >= 0:
             idf[r.slot] = math.log((1 + total) / (1 + r.n))
-    labels = sorted(r.lang for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_labels).collect())
+    names = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    labels = sorted(r.lang for r in (names.limit(max_labels) if max_labels else names).collect())  # languages, not rows
     if not labels:
-        return {"labels": [], "table": np.zeros((DIM, 1), np.float32), "temperature": 1.0}
+        return {"labels": [], "table": np.zeros((DIM, 1), np.float32), "temperature": 1.0, "below": {}}
+    nodes = branches(labels, fan)
+    sizes = {node: len(classes) for node, classes in nodes.items()}
+    table = [(x, node, k, min(sample, max(5, NODE_ROWS // len(classes)))) for node, classes in nodes.items() for k, part in enumerate(classes) for x in part]
+    spots = docs.sparkSession.createDataFrame(table, "lang string, node string, class int, most int")
     order = F.xxhash64("i", F.lit(7))
-    ids = known.select("i", "lang", order.alias("o")).filter(F.col("lang").isin(labels)).distinct()
-    first = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("o", "i"))).filter(F.col("k") <= sample)
-    within = F.lit(False)
-    for name, bar in sorted((r.lang, r.o) for r in first.groupBy("lang").agg(F.max("o").alias("o")).collect()):
-        within = within | ((F.col("lang") == name) & (order <= bar))
-    rows_first = Window.partitionBy("lang").orderBy("o", F.md5("text"))  # an id may have many rows: only the first ones of a task leave it
-    chosen = known.filter(within).select("text", "lang", order.alias("o")).withColumn("k", F.row_number().over(rows_first)).filter(F.col("k") <= sample).drop("k")
-    rows = chosen.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(ftrl(idf, labels), "slot long, w array<double>").collect()
-    table, temperature = np.zeros((DIM, len(labels))), 1.0
-    for r in rows:
+    # joined by lang: some rows for each language; where these are few Spark broadcasts them, and a language is a row for each model
+    ids = known.select("i", "lang", order.alias("o")).distinct().join(spots, "lang").select("node", "class", "most", "o", "i").distinct()
+    first = ids.withColumn("k", F.row_number().over(Window.partitionBy("node", "class").orderBy("o", "i"))).filter(F.col("k") <= F.col("most"))
+    bars = cut(first.groupBy("node", "class", "most").agg(F.max("o").alias("bar")))
+    reached = known.withColumn("o", order).join(spots.drop("most").join(bars, ["node", "class"]), "lang").filter(F.col("o") <= F.col("bar"))
+    rows_first = Window.partitionBy("node", "class").orderBy("o", F.md5("text"))  # an id may have many rows: only the first ones of a task leave it
+    chosen = reached.withColumn("k", F.row_number().over(rows_first)).filter(F.col("k") <= F.col("most"))
+    trained = chosen.select("text", "lang", "o", "node", "class").groupBy("node").applyInArrow(ftrl(idf, sizes), "node string, slot long, w array<double>").collect()
+    weights = {node: (np.zeros((DIM, n)), [1.0]) for node, n in sizes.items()}
+    for r in trained:
         if r.slot < 0:
-            temperature = r.w[0]
+            weights[r.node][1][0] = r.w[0]
         else:
-            table[r.slot] = r.w
-    return {"labels": labels, "table": (table * idf[:, None]).astype(np.float32), "temperature": temperature}
+            weights[r.node][0][r.slot] = r.w
+
+    def model(node: str) -> dict:
+        classes, (w, temperature) = nodes[node], weights[node]
+        below = {k: model(f"{node}/{k}") for k, part in enumerate(classes) if len(part) > 1}
+        return {"labels": [part[0] for part in classes], "table": (w * idf[:, None]).astype(np.float32), "temperature": temperature[0], "below": below}
+
+    return model("")
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
@@ -145,20 +178,31 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "lang_pred", "score")]
-    labels, table, temperature = model["labels"], model["table"], model["temperature"]
+
+    def guess(texts: list[str], own: dict) -> tuple[list[str], np.ndarray]:
+        """The language of each text and its probability, by a model and those below it."""
+        slots, bounds = features(texts)
+        size = np.maximum(np.diff(bounds), 1)[:, None]
+        table = own["table"]
+        logits = np.stack([np.add.reduceat(np.append(table[:, c][slots], 0), bounds[:-1], dtype=np.float64) for c in range(len(own["labels"]))], axis=1) / size
+        p = softmax(logits / own["temperature"])
+        best = p.argmax(axis=1)
+        names, scores = [own["labels"][k] for k in best], p.max(axis=1)
+        for k, below in own["below"].items():
+            at = np.flatnonzero(best == k)
+            if len(at):
+                told, more = guess([texts[i] for i in at], below)
+                scores[at] *= more
+                for i, name in zip(at, told, strict=True):
+                    names[i] = name
+        return names, scores
 
     def score(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        ok = [bool(labels) and t is not None and any(map(str.isalpha, t)) for t in texts]
-        picked = [t for t, k in zip(texts, ok, strict=True) if k]
-        names, scores, done = ["und"] * len(texts), [0.0] * len(texts), []
-        for a in range(0, len(picked), 64):
-            slots, bounds = features(picked[a : a + 64])
-            size = np.maximum(np.diff(bounds), 1)[:, None]
-            logits = np.stack([np.add.reduceat(np.append(table[:, c][slots], 0), bounds[:-1], dtype=np.float64) for c in range(len(labels))], axis=1) / size
-            done.append(softmax(logits / temperature))
-        p = np.concatenate(done) if done else np.zeros((0, 1))
-        for i, row in zip(np.flatnonzero(ok), p, strict=True):
-            names[i], scores[i] = labels[int(row.argmax())], float(row.max())
+        names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        at = [i for i, t in enumerate(texts) if model["labels"] and t is not None and any(map(str.isalpha, t))]
+        for a in range(0, len(at), 64):
+            for i, name, p in zip(at[a : a + 64], *guess([texts[i] for i in at[a : a + 64]], model), strict=True):
+                names[i], scores[i] = name, float(p)
         return names, scores
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
