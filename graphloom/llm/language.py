@@ -36,6 +36,7 @@ SAMPLE = 600  # documents of each language that training takes at most
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-5
 FAN = 32  # classes of a model
+BROADCAST = 100_000  # languages and their models that go to every task; more are joined by shuffle
 NODE_ROWS = 9600  # rows a model is trained on, at most
 
 
@@ -150,11 +151,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     table = [(x, node, k, min(sample, max(5, NODE_ROWS // len(classes)))) for node, classes in nodes.items() for k, part in enumerate(classes) for x in part]
     spots = docs.sparkSession.createDataFrame(table, "lang string, node string, class int, most int")
     order = F.xxhash64("i", F.lit(7))
-    # joined by lang: some rows for each language; where these are few Spark broadcasts them, and a language is a row for each model
-    ids = known.select("i", "lang", order.alias("o")).distinct().join(spots, "lang").select("node", "class", "most", "o", "i").distinct()
+    held = F.broadcast if len(table) <= BROADCAST else lambda df: df  # a row for each language and model, counted here
+    ids = known.select("i", "lang", order.alias("o")).distinct().join(held(spots), "lang").select("node", "class", "most", "o", "i").distinct()
     first = ids.withColumn("k", F.row_number().over(Window.partitionBy("node", "class").orderBy("o", "i"))).filter(F.col("k") <= F.col("most"))
     bars = cut(first.groupBy("node", "class", "most").agg(F.max("o").alias("bar")))
-    reached = known.withColumn("o", order).join(spots.drop("most").join(bars, ["node", "class"]), "lang").filter(F.col("o") <= F.col("bar"))
+    reached = known.withColumn("o", order).join(held(spots.drop("most").join(bars, ["node", "class"])), "lang").filter(F.col("o") <= F.col("bar"))
     rows_first = Window.partitionBy("node", "class").orderBy("o", F.md5("text"))  # an id may have many rows: only the first ones of a task leave it
     chosen = reached.withColumn("k", F.row_number().over(rows_first)).filter(F.col("k") <= F.col("most"))
     trained = chosen.select("text", "lang", "o", "node", "class").groupBy("node").applyInArrow(ftrl(idf, sizes), "node string, slot long, w array<double>").collect()
