@@ -12,7 +12,7 @@ from graphloom.operators import chunker, extraction, graph, many, rank, vector
 from graphloom.plans import context, indexing, retrieval
 from graphloom.sources import index as indexes
 from graphloom.sources import hybrid as hybrids
-from graphloom.sources import snapshot, star
+from graphloom.sources import order, snapshot, star
 from graphloom.sources.shared import fresh, shared_folder
 
 QUERIES: dict = {}
@@ -76,6 +76,22 @@ def _(spark, d):
     return ents(spark, d).select("id").orderBy("id").offset(100).limit(50)
 
 
+@query("entity_page_keyset", f"{GRAPH} SELECT id, entity_type FROM entities ORDER BY id LIMIT 50 OFFSET 100")
+def _(spark, d):
+    """The third page of the stored order, each page by the last key of the one before."""
+    ordered = order.arrange(ents(spark, d).select("id", "entity_type"), ["id"], fresh(spark, "entities"))
+    after = None
+    for _ in range(2):
+        after = (ordered.page(after, 50).agg(F.max("id")).first()[0],)
+    return ordered.page(after, 50)
+
+
+@query("edge_page_at", f"{GRAPH} SELECT source, target, rel_type FROM edges ORDER BY source, target, rel_type LIMIT 100 OFFSET 1000")
+def _(spark, d):
+    """A page by its place, from the files it lies in."""
+    return order.arrange(star.edges(spark, d), ["source", "target", "rel_type"], fresh(spark, "edges")).page_at(1000, 100)
+
+
 @query("unique_id_check", f"{GRAPH} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids FROM entities")
 def _(spark, d):
     return ents(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
@@ -786,7 +802,8 @@ _COUNTS = "(SELECT count(*) FROM told WHERE doc_id IN (SELECT doc_id FROM dn)) A
 
 @query("index_counts", f"{INDEXED}, {DENSE} SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id // 5, id, entity_type, entity_role FROM nodes)) AS n_nodes, (SELECT count(*) FROM told) AS n_relationships, (SELECT count(*) FROM after) AS n_entities, (SELECT count(*) FROM (SELECT * FROM edges UNION SELECT * FROM born)) AS n_edges, {_COUNTS}")
 def _(spark, d):
-    return indexed(spark, d).counts()
+    _, counts = indexing.index_once(extracted(spark, d), ents(spark, d), star.edges(spark, d))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
 
 
 @query("index_cleared", f"WITH {TOLD}, {DENSE} SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id // 5, id, entity_type, entity_role FROM nodes)) AS n_nodes, (SELECT count(*) FROM told) AS n_relationships, (SELECT count(DISTINCT id) FROM nodes) AS n_entities, (SELECT count(*) FROM told) AS n_edges, {_COUNTS}")
@@ -811,3 +828,16 @@ def _(spark, d):
     indexes.drop(spark, name)
     told("dropped")
     return spark.createDataFrame(rows, "step string, points_count long, there boolean")
+
+
+def _told(content):
+    """A payload from a text's first two words, in the place of a model's answer."""
+    words = F.split(content, r"\s+")
+    return F.to_json(F.struct(F.array(*[F.struct(F.get(words, i).alias("id"), F.lit("word").alias("entity_type"), F.lit("").alias("entity_role")) for i in (0, 1)]).alias("nodes"), F.array(F.struct(F.get(words, 0).alias("source"), F.get(words, 1).alias("target"), F.lit("before").alias("relationship_type"))).alias("relationships")))
+
+
+@query("index_keyword", """WITH k AS (SELECT doc_id, text FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 10) SELECT count(*) AS n_documents FROM k""")
+def _(spark, d):
+    """From a keyword to points, counted by document."""
+    made, _ = indexing.index_keyword(docs(spark, d), "license", _told, ents(spark, d), star.edges(spark, d), clear=True)
+    return made.points.agg(F.count_distinct("doc_id").alias("n_documents"))
