@@ -210,18 +210,26 @@ def _(spark, d):
     return ents(spark, d).select("id", text.short_label(F.col("id"), 12).alias("label"), text.hover_text(F.col("id"), F.col("entity_type"), F.col("entity_role")).alias("hover"))
 
 
-NOISY = """noisy AS (SELECT c_custkey AS seq, CASE c_custkey % 4 WHEN 0 THEN '1. ' || n_name WHEN 1 THEN '- ' || n_name || ' (remark)' WHEN 2 THEN ' "' || n_name || '" ' ELSE n_name || '...' END AS id,
+NOISY = """noisy AS (SELECT c_custkey AS seq, CASE c_custkey % 8 WHEN 0 THEN '1. ' || n_name WHEN 1 THEN '- ' || n_name || ' (remark)' WHEN 2 THEN ' "' || n_name || '" ' WHEN 3 THEN n_name || '...'
+  WHEN 4 THEN '(a) * ' || n_name WHEN 5 THEN '#' || n_name || '_% (his home)' WHEN 6 THEN '12) [' || n_name || '] .....' ELSE '  + {' || n_name || '}' END AS id,
   CASE c_custkey % 3 WHEN 0 THEN 'nation' WHEN 1 THEN 'home country' ELSE '' END AS entity_type, c_mktsegment AS entity_role FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 def noisy(spark, d) -> DataFrame:
     n = star.table(spark, d, "customer").join(star.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    k, name = F.col("c_custkey"), F.col("n_name")
-    id_ = F.when(k % 4 == 0, F.concat(F.lit("1. "), name)).when(k % 4 == 1, F.concat(F.lit("- "), name, F.lit(" (remark)"))).when(k % 4 == 2, F.concat(F.lit(' "'), name, F.lit('" '))).otherwise(F.concat(name, F.lit("...")))
+    k, around = F.col("c_custkey"), [("1. ", ""), ("- ", " (remark)"), (' "', '" '), ("", "..."), ("(a) * ", ""), ("#", "_% (his home)"), ("12) [", "] ....."), ("  + {", "}")]
+    id_ = F.element_at(F.array(*[F.concat(F.lit(before), F.col("n_name"), F.lit(after)) for before, after in around]), (k % 8 + 1).cast("int"))
     return n.select(k.alias("seq"), id_.alias("id"), F.when(k % 3 == 0, "nation").when(k % 3 == 1, "home country").otherwise("").alias("entity_type"), F.col("c_mktsegment").alias("entity_role"))
 
 
-CLEAN = """clean AS (SELECT seq, regexp_extract(id, '[A-Za-z]+_[0-9]+') AS id, entity_type, entity_role FROM noisy)"""
+def _cleaned_sql(x: str) -> str:
+    """The cleaner's six steps: ends, list markers, a remark at the end, junk at the ends, dots, ends."""
+    junk = r"""[\s_#$!@+\-*/()\[\]{}%"'']+"""
+    x = rf"regexp_replace(trim({x}), '^\s*(\d+[.)]\s*|[*\-•+]\s*|\([a-zA-Z\d]+\)\s*)*', '')"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '\s+\([^)]*\)$', ''), '^{junk}|{junk}$', '', 'g'), '\s*\.{{3,}}$', ''))"
+
+
+CLEAN = f"clean AS (SELECT seq, {_cleaned_sql('id')} AS id, entity_type, entity_role FROM noisy)"
 
 
 @query("clean_names", f"WITH {NOISY}, {CLEAN} SELECT seq, id FROM clean")
@@ -267,36 +275,41 @@ def _(spark, d):
     return graph.dedup_edges(raw_edges(spark, d))
 
 
-@query("extraction_parse", f"""{GRAPH} SELECT id, entity_type, entity_role FROM entities WHERE entity_type IN ('nation', 'region')""")
+#: Payloads of which a part is lost, by the length of their id: JSON no more, so nothing is taken from them.
+_BROKEN = "length({}) % 5 = 0"
+
+
+def _chunks_of(rows: DataFrame) -> DataFrame:
+    """Rows of id and payload as chunks, some payloads cut off."""
+    cut = F.when(F.expr(_BROKEN.format("id")), F.left("payload", F.length("payload") - 2)).otherwise(F.col("payload"))
+    return rows.select(F.lit(0).cast("long").alias("seq"), F.col("id").alias("content"), cut.alias("payload"))
+
+
+@query("extraction_parse", f"{GRAPH} SELECT id, entity_type, coalesce(entity_role, '') AS entity_role FROM entities WHERE NOT {_BROKEN.format('id')}")
 def _(spark, d):
-    payload = F.to_json(F.struct(F.array(F.struct("id", "entity_type", "entity_role")).alias("nodes")))
-    rows = ents(spark, d).filter(F.col("entity_type").isin("nation", "region")).select(payload.alias("payload"))
-    nodes = F.coalesce(F.from_json("payload", "nodes array<struct<id:string,entity_type:string,entity_role:string>>")["nodes"], F.array().cast("array<struct<id:string,entity_type:string,entity_role:string>>"))
-    return rows.select(F.explode(nodes).alias("n")).select("n.*")
+    """A payload an entity; its role is left out of the JSON where there is none."""
+    node = F.struct("id", "entity_type", F.expr("nullif(entity_role, '')").alias("entity_role"))
+    rels = F.array().cast("array<struct<source:string,target:string,relationship_type:string>>")
+    rows = ents(spark, d).select("id", F.to_json(F.struct(F.array(node).alias("nodes"), rels.alias("relationships"))).alias("payload"))
+    return extraction.nodes(extraction.usable(_chunks_of(rows))).select(*extraction.NODE)
 
 
 def payloads(spark, d) -> DataFrame:
     """Extraction payloads as a model gives them (M8), made from the star schema: for each id, every entity of it as a node
-    and its outgoing edges as relationships."""
+    and its outgoing edges as relationships; some are cut off."""
     e = ents(spark, d).select("id", F.struct("id", "entity_type", "entity_role").alias("node"), F.lit(None).cast("struct<source:string,target:string,relationship_type:string>").alias("rel"))
     r = star.edges(spark, d).select(F.col("source").alias("id"), F.lit(None).cast("struct<id:string,entity_type:string,entity_role:string>").alias("node"), F.struct("source", "target", F.col("rel_type").alias("relationship_type")).alias("rel"))
-    return e.unionByName(r).groupBy("id").agg(F.to_json(F.struct(F.collect_list("node").alias("nodes"), F.collect_list("rel").alias("relationships"))).alias("payload")).select("payload")
-
-
-def parsed(rows: DataFrame, field: str, names: tuple[str, ...]) -> DataFrame:
-    """The structs in one array of the payloads; a payload without it gives none."""
-    kind = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
-    return rows.select(F.explode(F.from_json("payload", f"{field} {kind}")[field]).alias("x")).select("x.*")
+    return _chunks_of(e.unionByName(r).groupBy("id").agg(F.to_json(F.struct(F.collect_list("node").alias("nodes"), F.collect_list("rel").alias("relationships"))).alias("payload")))
 
 
-@query("extraction_parse_nodes", f"{GRAPH} SELECT id, entity_type, entity_role FROM entities")
+@query("extraction_parse_nodes", f"{GRAPH} SELECT id, entity_type, entity_role FROM entities WHERE NOT {_BROKEN.format('id')}")
 def _(spark, d):
-    return parsed(payloads(spark, d), "nodes", ("id", "entity_type", "entity_role"))
+    return extraction.nodes(extraction.usable(payloads(spark, d))).select(*extraction.NODE)
 
 
-@query("extraction_parse_relationships", f"{GRAPH} SELECT source, target, rel_type AS relationship_type FROM edges")
+@query("extraction_parse_relationships", f"{GRAPH} SELECT source, target, rel_type AS relationship_type FROM edges WHERE NOT {_BROKEN.format('source')}")
 def _(spark, d):
-    return parsed(payloads(spark, d), "relationships", ("source", "target", "relationship_type"))
+    return extraction.relationships(extraction.usable(payloads(spark, d))).select("source", "target", F.col("rel_type").alias("relationship_type"))
 
 
 def _snapshot(spark, d) -> str:
