@@ -758,16 +758,18 @@ def _(spark, d):
 
 
 def extracted(spark, d) -> DataFrame:
-    """Documents as chunks with payloads about the customer of their number; every seventh is cut off, every eleventh lacks a list."""
+    """All documents as chunks with payloads about the customer of their number (a guest from nowhere, where there is none);
+    every seventh is cut off, every eleventh lacks a list."""
     c = star.table(spark, d, "customer").join(star.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    k, name, land = F.col("doc_id"), F.col("c_name"), F.col("n_name")
+    k, segment = F.col("doc_id"), F.coalesce("c_mktsegment", F.lit("GUEST"))
+    name, land = F.coalesce("c_name", F.concat(F.lit("Guest "), k)), F.coalesce("n_name", F.lit("Nowhere"))
     node = lambda i, t, r: F.struct(i.alias("id"), F.lit(t).alias("entity_type"), r.alias("entity_role"))
     rel = lambda s, t, r: F.struct(s.alias("source"), t.alias("target"), F.lit(r).alias("relationship_type"))
-    nodes = F.array(node(F.concat(F.lit("- "), name), "customer", F.col("c_mktsegment")), node(F.concat(land, F.lit(" (land)")), "home country", F.lit(None).cast("string")))
+    nodes = F.array(node(F.concat(F.lit("- "), name), "customer", segment), node(F.concat(land, F.lit(" (land)")), "home country", F.lit(None).cast("string")))
     rels = F.array(rel(name, land, "born in"), rel(name, F.lit("nobody"), "knows"), rel(name, name, "is"))
     whole = F.to_json(F.struct(nodes.alias("nodes"), F.when(k % 11 != 0, rels).alias("relationships")))
     payload = F.when(k % 7 == 0, F.left(whole, F.length(whole) - 5)).otherwise(whole)
-    rows = docs(spark, d).join(c, F.col("doc_id") == F.col("c_custkey"))
+    rows = docs(spark, d).join(c, F.col("doc_id") == F.col("c_custkey"), "left")
     return rows.select(k.alias("seq"), F.when(k % 2 == 0, k).alias("chunk_id"), k.alias("doc_id"), F.lit("paragraph").alias("chunk_type"), F.col("text").alias("content"), payload.alias("payload"))
 
 
@@ -775,7 +777,8 @@ def indexed(spark, d, clear: bool = False):
     return indexing.index(extracted(spark, d), ents(spark, d), star.edges(spark, d), clear=clear)
 
 
-TOLD = """told AS (SELECT doc_id, c_name, n_name, c_mktsegment, text FROM documents JOIN customer ON doc_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+TOLD = """told AS (SELECT doc_id, coalesce(c_name, 'Guest ' || doc_id) AS c_name, coalesce(n_name, 'Nowhere') AS n_name, coalesce(c_mktsegment, 'GUEST') AS c_mktsegment, text
+  FROM documents LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON doc_id = c_custkey
   WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND regexp_matches(text, '\\S')),
 nodes AS (SELECT doc_id, c_name AS id, 'customer' AS entity_type, c_mktsegment AS entity_role FROM told UNION ALL SELECT doc_id, n_name, 'home country', '' FROM told)"""
 
