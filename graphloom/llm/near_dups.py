@@ -8,7 +8,7 @@ the element and level alone, so two sets agree in a coordinate with the probabil
 until every coordinate has its dart.
 
 Signatures are cut into BANDS bands of ROWS coordinates. The first document of a band's bucket (the least id) is its
-centre; it is compared with each other member, exactly, on the shingle sets, and pairs of SIMILARITY or more are links.
+centre; it is compared with each other member on the whole sets of 64-bit shingle hashes, and pairs of SIMILARITY or more are links.
 Members of a bucket that stay in another class than its centre are then compared with a further centre, for ROUNDS
 rounds in all, the first centre taken out and the buckets reduced to those that still hold several classes. In what
 is left then, all members of different classes are compared, so no two documents that share a bucket stay untried: pair
@@ -44,6 +44,7 @@ ROUNDS = 2
 PAIRED = 32
 BLOCK = 200_000
 LEAST = 800  # shingles that a document counts as at least: a block holds 250 documents at most
+MEAN = 50  # Poisson numbers of a larger mean are sums
 SLICE = 4096  # columns of a matrix at a time
 
 
@@ -60,10 +61,11 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def level_counts(seed: np.ndarray, mean: float) -> np.ndarray:
-    """Poisson numbers (mean above 50: rounded normal ones) by inversion at hashed uniform numbers."""
+    """Poisson numbers by inversion at hashed uniform numbers (mean above MEAN: sums of Poisson numbers of smaller ones)."""
+    if mean > MEAN:
+        parts = int(np.ceil(mean / MEAN))
+        return sum(level_counts(mixed(seed + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), mean / parts) for k in range(parts))
     u = ((seed >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-    if mean > 50:
-        return np.maximum(np.rint(mean + np.sqrt(mean) * (u**0.135 - (1 - u) ** 0.135) / 0.1975), 0).astype(np.int64)
     count, p, j = np.zeros(len(u), np.int64), np.exp(-mean), 0
     more, cdf = np.flatnonzero(u >= p), p
     while len(more):
@@ -139,9 +141,9 @@ def signer(bands: int, rows: int):
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, the set of 32-bit shingle hashes, sorted)."""
+    """(doc_id, text) to (doc_id, the set of 64-bit shingle hashes, sorted)."""
     for batch in batches:
-        sets = [np.unique(shingles(t).astype(np.uint32)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        sets = [np.unique(shingles(t)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "s"])
 
 
@@ -150,7 +152,7 @@ def similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(both / max(len(p) + len(q) - both, 1))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
@@ -163,7 +165,7 @@ def block_links(similarity: float):
 
     def link(table: pa.Table) -> pa.Table:
         side, rep, label = (np.array(table[c]) for c in ("side", "rep", "label"))
-        sets = [np.frombuffer(x, np.uint32) for x in table["s"].to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
         size = np.array([len(x) for x in sets])
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
@@ -189,7 +191,7 @@ def block_links(similarity: float):
 
 def compared_blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b, similarity) between the members (band, key, rep, label) of different labels of each bucket."""
-    sized = large.join(sets.select(F.col("doc_id").alias("rep"), (F.length("s") / 4).alias("n")), "rep")
+    sized = large.join(sets.select(F.col("doc_id").alias("rep"), (F.length("s") / 8).alias("n")), "rep")
     so_far = Window.partitionBy("band", "key").orderBy("label", "rep").rowsBetween(Window.unboundedPreceding, 0)
     placed = cut(sized.select("band", "key", "rep", "label", F.floor(F.sum(F.greatest("n", F.lit(LEAST))).over(so_far) / BLOCK).alias("block")))
     blocks = placed.groupBy("band", "key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))

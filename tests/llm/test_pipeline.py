@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,19 @@ def test_encoder_agrees():
         assert np.frombuffer(packing.Encoder(vocabulary()).ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def plain_shingles(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_level_counts():
+    """Mean and variance of the dart numbers below and above MEAN."""
+    seed = np.arange(20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for mean in (0.3, 7.0, 49.0, 51.0, 400.0):
+        n = near_dups.level_counts(near_dups.mixed(seed), mean)
+        assert n.mean() == pytest.approx(mean, rel=0.02) and n.var() == pytest.approx(mean, rel=0.05)
+
+
 def test_near_dups(spark, docs, empty):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words), " ".join([*words[:100], "new", *words[101:]]), " ".join(words[:120] + ["q"] * 80)]
@@ -99,7 +113,7 @@ def test_near_dups(spark, docs, empty):
     got = {r.doc_id: r.class_id for r in near_dups.classes(more).collect()}
     rows = more.filter("doc_id IS NOT NULL").collect()
     parent = {r.doc_id: r.doc_id for r in rows}
-    sets = {r.doc_id: set(near_dups.shingles((r.text or "").encode()).tolist()) for r in rows}
+    sets = {r.doc_id: plain_shingles(r.text) for r in rows}
     find = lambda x: x if parent[x] == x else find(parent[x])
     for a, b in combinations(sorted(sets), 2):
         both = len(sets[a] & sets[b])
@@ -126,6 +140,69 @@ def test_keep_one_takes_rows(spark):
 CLASH = ["licenses", "n_windows", "spans", "kept", "host_rate", "copy", "mix_key", "lang_pred", "score", "h", "rep", "label", "Host", "c0", "a.b"]
 
 
+def test_repeated_rows(spark, docs):
+    """Each of several equal rows gets its row, and the same one where the operator judges rows one by one."""
+    twice = docs.union(docs).union(docs)
+    key = lambda r: -1 if r.doc_id is None else r.doc_id
+    for once, more, columns in (
+        (licenses.scan(docs), licenses.scan(twice), ("licenses", "n_windows")),
+        (quality.judge(docs), quality.judge(twice), ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed")),
+        (secret_scan.scan(docs), secret_scan.scan(twice), ("spans",)),
+    ):
+        rows = lambda df: sorted((key(r), *[str(r[c]) for c in columns]) for r in df.collect())  # noqa: B023, E731
+        assert rows(more) == sorted(rows(once) * 3)
+    pieces = packing.pack(twice, vocabulary()).toPandas()
+    single = packing.pack(docs, vocabulary()).toPandas()
+    assert pieces.groupby(pieces.doc_id.fillna(-1)).length.sum().tolist() == (3 * single.groupby(single.doc_id.fillna(-1)).length.sum()).tolist()
+    mixed = mixing.mix(twice, size=3000.0).groupBy("doc_id", "copy").count()
+    assert mixed.filter("copy >= 0").count() > 0 and mixed.agg(F.sum("count")).first()[0] == pytest.approx(3000, abs=300)
+
+
+def test_random_tokens_are_found(spark):
+    """How many random tokens of each kind are reported among the texts of the tables (README has the figures), and no text token."""
+    rnd = random.Random(2)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"alnum": lower + lower.upper() + digits, "base64": lower + lower.upper() + digits + "+/", "HEX": digits + "ABCDEF", "small36": lower + digits, "base32": lower.upper() + "234567"}
+    least = {"alnum": 0.9, "base64": 0.9, "HEX": 0.5, "small36": 0.5, "base32": 0.1}
+    rows, where = [(i, r.text) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect())], {}
+    for kind, letters in kinds.items():
+        for n in (24, 32, 40, 64):
+            for _ in range(10):
+                where[len(rows)] = kind
+                rows.append((len(rows), "some words before it " + "".join(rnd.choice(letters) for _ in range(n)) + " and some after"))
+    got = {r.doc_id: [x for x in r.spans if x.kind == "random"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(x for i, x in got.items() if i not in where)
+    share = {kind: sum(bool(got[i]) for i, k in where.items() if k == kind) / 40 for kind in kinds}
+    print(share)
+    assert all(share[kind] >= least[kind] for kind in kinds), share
+
+
+def test_padding(spark):
+    """Little padding: of documents much shorter and much longer than a sequence."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("the of and a dog house river".split()) for _ in range(rnd.choice([3, 30, 300, 6000])))) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), vocabulary()).toPandas()
+    fill = got.groupby("sequence_id").length.sum()
+    room = fill.map(lambda n: n if n & (n - 1) == 0 else packing.LENGTH)
+    assert fill.max() <= packing.LENGTH and room.sum() <= 1.02 * fill.sum()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracle(spark, name):
+    """Every query of this subpackage that has SQL, against it on the smallest tables."""
+    own = QUERIES[name](spark, "/root/testdata/sf0.001")
+    columns = sorted(own.columns)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    with duckdb.connect() as db:
+        for table in ("documents", "embeddings"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{table}.parquet')")
+        want = db.execute(ORACLES[name])
+        names = [c[0] for c in want.description]
+        assert sorted(names) == columns
+        rows = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in want.fetchall())
+    assert sorted(repr([plain(r[c]) for c in columns]) for r in own.collect()) == rows
+
+
 def test_clashing_names(spark, docs):
     """Columns named like those the operators make, and ones with a dot."""
     named = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASH)})
