@@ -4,6 +4,7 @@ import random
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -97,6 +98,22 @@ def test_vectors_many(spark, points, metric):
         assert found.rest.filter(zero).count() < 0.3 * cells.count() * (len(sound) - 1)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "inverse"])
+def test_steps_of_points_and_queries(spark, points, metric, monkeypatch):
+    """Cells and queries beyond a step's size are dealt over several; of a large group of copies a step gives k rows."""
+    monkeypatch.setattr(many, "POINTS", 16)
+    monkeypatch.setattr(many, "ASKED", 2)
+    copies = points.unionByName(spark.createDataFrame([(5000 + i, [1.0] * 8) for i in range(200)], points.schema))
+    table, cells = many.celled(copies, 8)
+    asked = copies.filter("(vec_id % 150 = 0 and vec_id < 3000) or vec_id = 5100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = lists(many.best_vectors(table, cells, asked, 9, metric).rows.collect())
+    for r in asked.collect():
+        assert found[r.query_id] == [(k + 1, x.vec_id, x.score) for k, x in enumerate(vector.search(copies, r.vector, 9, metric).collect())]
+    same = pa.table({"doc_id": list(range(300, 0, -1)), "v": [[1.0, 2.0]] * 300})
+    step = many.nearest_of(metric, 9, 2)(same, pa.table({"query_id": [1], "vector": [[1.0, 0.0]], "bar": pa.array([None], pa.float64())}))
+    assert sorted(step["doc_id"].to_pylist()) == list(range(1, 10))
+
+
 def test_no_vectors(spark, points):
     table, cells = many.celled(points.filter("vec_id >= 3000"), 8)
     asked = points.limit(1).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
