@@ -158,3 +158,18 @@ def test_encoders(spark):
     v = [r[0] for r in docs.select(encode.hashed(16)(F.col("t"))).collect()]
     assert sum(x * x for x in v[0]) == pytest.approx(1) and v[1] == v[2] == [] and max(v[3]) == 1.0
     assert [r[0] for r in docs.select(encode.sparse(F.col("t"))).collect()] == [{"red": pytest.approx(1 + math.log(2)), "fox": 1.0}, {}, {}, {}]
+
+
+def test_cascade_reads_edges_only_where_entities_meet(spark):
+    """Neither a name nor a token near one is there: the edges are read by the substring search alone."""
+    e = spark.createDataFrame([("alpha#1", "t", "r", ["Entity"]), ("beta#2", "t", "r", ["Entity"])], "id string, entity_type string, entity_role string, labels array<string>")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for batch in rows:
+            read.add(1)
+            yield batch
+
+    r = spark.createDataFrame([("alpha#1", "beta#2", "R")], "source string, target string, rel_type string").coalesce(1).mapInPandas(seen, "source string, target string, rel_type string")
+    found = graph.cascade(e, r, ["lpha#"])
+    assert read.value == 0 and [x.target_id for x in found.collect()] == ["beta#2"]
