@@ -173,3 +173,12 @@ def test_cascade_reads_edges_only_where_entities_meet(spark):
     r = spark.createDataFrame([("alpha#1", "beta#2", "R")], "source string, target string, rel_type string").coalesce(1).mapInPandas(seen, "source string, target string, rel_type string")
     found = graph.cascade(e, r, ["lpha#"])
     assert read.value == 0 and [x.target_id for x in found.collect()] == ["beta#2"]
+
+
+def test_upsert_joins_ids_alone(spark):
+    """Old rows are told apart by the new rows' ids; no row is chosen twice for that."""
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "vec_id long, t string")
+    new = spark.createDataFrame([(2, "c", 1), (2, None, 2), (3, "e", 1), (3, "d", 1)], "vec_id long, t string, seq int")
+    both = vector.upsert(old, new, seq="seq")
+    assert sorted(map(tuple, both.collect())) == [(1, "a"), (2, None), (3, "e")]
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
