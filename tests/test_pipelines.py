@@ -182,3 +182,10 @@ def test_upsert_joins_ids_alone(spark):
     both = vector.upsert(old, new, seq="seq")
     assert sorted(map(tuple, both.collect())) == [(1, "a"), (2, None), (3, "e")]
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_encoding_in_steps(spark):
+    """Texts are counted some at a time; the vectors do not depend on how many."""
+    docs = spark.createDataFrame([("aa bb aa",), ("",), (None,), ("cc",), ("dd ee ff dd",)], "t string").coalesce(1)
+    whole, steps = ([r[0] for r in docs.select(encode.hashed(16, **o)(F.col("t"))).collect()] for o in ({}, {"step": 2}))
+    assert whole == steps and [len(v) for v in steps] == [16, 0, 0, 16, 16]
